@@ -23,7 +23,7 @@ QUERIES = {
 ORACLES = {
     "op4_substring_dedup": r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents
 ), g AS (
   SELECT doc_id, ws, len(ws) AS n FROM w
 ), win AS (
@@ -38,7 +38,7 @@ WITH w AS (
 )
 SELECT g.doc_id, CAST(g.n AS BIGINT) AS n_words, CAST(coalesce(lost.n_removed, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(array_to_string(CASE WHEN lost.ps IS NULL THEN ws
-         ELSE list_transform(list_filter(range(1, n + 1), p -> NOT list_contains(lost.ps, p)), p -> ws[p]) END, ' '), '')) AS kept_sha256
+         ELSE [ws[p] FOR p IN range(1, n + 1) IF NOT list_contains(lost.ps, p)] END, ' '), '')) AS kept_sha256
 FROM g LEFT JOIN lost USING (doc_id)
 """,
 }
