@@ -212,6 +212,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
             yield pa.RecordBatch.from_pydict({"chunk": [k], "payload": [c.pack()], "n_docs": [len(c)], "n_bytes": [len(c.data)], "n_words": [n_words]})
             k += 1
 
+    scratch.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
     out = scratch.bucketed(rows.mapInArrow(make, "chunk long, payload binary, n_docs long, n_bytes long, n_words long"), "chunks", "chunk", n)

@@ -12,12 +12,30 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = Path(tempfile.mkdtemp(prefix="quill-ship-")) / "quillgraph_llm.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        z.write(root / "__init__.py", "quillgraph/__init__.py")
+        for f in sorted((root / "llm").glob("*.py")):
+            z.write(f, f"quillgraph/llm/{f.name}")
+    sc.addPyFile(str(packed))
+    _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, set to a new temporary one if the session names none."""
     sc = spark.sparkContext
