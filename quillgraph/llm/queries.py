@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, mixing, substring_dedup, suffix_dedup, topk, url_filter
+from quillgraph.llm import decontaminate, mixing, ngram_join, substring_dedup, suffix_dedup, topk, url_filter
 
 # The rules of op8 as (action, host, path).
 URL_RULES = [
@@ -25,6 +25,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"), weights=(1, 2, 3), share=1.0, most=3.0)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(_read(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(_read(spark, sf_dir, "documents"), n=13)
 
@@ -47,6 +51,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_ngram_join": op3_ngram_join,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_suffix_dedup": op7_suffix_dedup,
