@@ -87,6 +87,7 @@ class Chunk:
 
     def __init__(self, ids, id_null, text_null, offsets, data):
         self.ids, self.id_null, self.text_null, self.offsets, self.data = ids, id_null, text_null, offsets, data
+        self.number: int | None = None
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -166,11 +167,23 @@ def from_batch(batch: pa.RecordBatch) -> Chunk:
     return Chunk(ids, id_null, text_null, offsets, data)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Chunk]:
-    """Batches dealt into chunks of about ``limit`` bytes; a longer document is its own chunk."""
+def pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[Chunk, bytes]]:
+    """Batches dealt into chunks of about ``limit`` bytes; a longer document is its own chunk.
+
+    With each chunk come the columns after the second, as a compressed Arrow stream.
+    """
     held: list[Chunk] = []
+    rest: list[pa.RecordBatch] = []
     size = 0
 
+    def others() -> bytes:
+        if not rest or not rest[0].num_columns:
+            return b""
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rest[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(pa.Table.from_batches(rest).combine_chunks())
+        return sink.getvalue().to_pybytes()
+
     def joined() -> Chunk:
         offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(c.offsets) for c in held]))]).astype(np.int64)
         return Chunk(*(np.concatenate([getattr(c, k) for c in held]) for k in ("ids", "id_null", "text_null")), offsets, np.concatenate([c.data for c in held]))
@@ -185,17 +198,21 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Chunk]:
             if to > at:
                 lo, hi = whole.offsets[at], whole.offsets[to]
                 held.append(Chunk(whole.ids[at:to], whole.id_null[at:to], whole.text_null[at:to], whole.offsets[at : to + 1] - lo, whole.data[lo:hi].copy()))
+                rest.append(batch.slice(at, to - at).select(list(range(2, batch.num_columns))))
                 size += int(hi - lo)
                 at = to
             if at < len(whole) or size >= limit:
-                yield joined()
-                held, size = [], 0
+                yield joined(), others()
+                held, rest, size = [], [], 0
     if held:
-        yield joined()
+        yield joined(), others()
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, dict]:
-    """Write (chunk, payload, n_docs, n_bytes, n_words) of (doc_id, text) and return it with its totals.
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: bool = False) -> tuple[DataFrame, dict]:
+    """Write (chunk, payload, rest, n_docs, n_bytes, n_words) of ``docs`` and return it with its totals.
+
+    rest holds all columns but text, for :func:`rewrite`; without ``carry`` it is empty and only
+    doc_id and text are read.
 
     The table is in buckets by chunk, so that answers come to the chunks and no text is
     shuffled. It has a file for each chunk; over very large corpora take larger chunks, as far
@@ -206,16 +223,17 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
         from pyspark import TaskContext
 
         k = TaskContext.get().partitionId() << 32
-        for c in pieces(batches, chunk_bytes):
+        for c, rest in pieces(batches, chunk_bytes):
             inside = ~SPACE[c.data]
             n_words = int(np.count_nonzero(inside[1:] & ~inside[:-1]) + inside[:1].sum()) + len(c)
-            yield pa.RecordBatch.from_pydict({"chunk": [k], "payload": [c.pack()], "n_docs": [len(c)], "n_bytes": [len(c.data)], "n_words": [n_words]})
+            yield pa.RecordBatch.from_pydict({"chunk": [k], "payload": [c.pack()], "rest": pa.array([rest], type=pa.binary()), "n_docs": [len(c)], "n_bytes": [len(c.data)], "n_words": [n_words]})
             k += 1
 
     scratch.ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    others = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns) if c != "text"] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
-    out = scratch.bucketed(rows.mapInArrow(make, "chunk long, payload binary, n_docs long, n_bytes long, n_words long"), "chunks", "chunk", n)
+    out = scratch.bucketed(rows.mapInArrow(make, "chunk long, payload binary, rest binary, n_docs long, n_bytes long, n_words long"), "chunks", "chunk", n)
     sums = out.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_bytes", "n_words"))).first()
     return out, sums.asDict()
 
@@ -254,12 +272,43 @@ def exchange(chunks: DataFrame, send: Callable, answer: Callable) -> DataFrame:
 
 
 def with_answers(chunks: DataFrame, answers: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """``make(Chunk, {bucket: answer})`` for each chunk; it returns a pandas frame of ``schema``."""
+    """``make(Chunk, {bucket: answer})`` for each chunk; it returns a pandas frame of ``schema``.
+
+    The chunk's number is its attribute ``number``.
+    """
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         replies = dict(zip(right["bucket"].tolist(), right["answer"].tolist(), strict=True))
-        done = [make(Chunk.unpack(x), replies) for x in left["payload"]]
+        done = []
+        for number, payload in zip(left["chunk"].tolist(), left["payload"], strict=True):
+            chunk = Chunk.unpack(payload)
+            chunk.number = number
+            done.append(make(chunk, replies))
         return pd.concat(done, ignore_index=True) if len(done) != 1 else done[0]
 
     left = chunks.select("chunk", "payload").groupBy("chunk")
     return left.cogroup(answers.groupBy("chunk")).applyInPandas(both, schema)
+
+
+def rewrite(chunks: DataFrame, facts: DataFrame, decide: Callable, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, carried by ``chunks``, with the texts and without the rows that ``decide`` says.
+
+    ``decide(Chunk, facts)`` gets the rows of ``facts`` (keyed by chunk) as an Arrow table and
+    returns the row numbers that stay and their texts as a list, or None to keep the texts.
+    """
+    schema, at = docs.schema, docs.columns.index("text")
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for payload, rest in zip(left.column("payload").to_pylist(), left.column("rest").to_pylist(), strict=True):
+            chunk = Chunk.unpack(payload)
+            stay, texts = decide(chunk, right)
+            if texts is None:
+                texts = [None if chunk.text_null[k] else chunk.text(k).decode("utf-8", "replace") for k in stay]
+            columns = pa.ipc.open_stream(rest).read_all().take(pa.array(stay, type=pa.int64())).columns
+            columns.insert(at, pa.chunked_array([pa.array(texts, type=pa.string())]))
+            out.append(pa.Table.from_arrays(columns, names=schema.names))
+        return pa.concat_tables(out)
+
+    left = chunks.select("chunk", "payload", "rest").groupBy("chunk")
+    return left.cogroup(facts.groupBy("chunk")).applyInArrow(both, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import scratch
-from quillgraph.llm.chunks import _ROOTS, U64, Chunk, bucket_of, buckets_for, chunked, exchange, mix, rolling, windows, with_answers
+from quillgraph.llm.chunks import _ROOTS, U64, Chunk, bucket_of, buckets_for, chunked, exchange, mix, rewrite, rolling, windows, with_answers
 from quillgraph.llm.components import components
 from quillgraph.llm.substring_dedup import cuts
 
@@ -84,14 +84,14 @@ def _first(keys: np.ndarray, n: int) -> np.ndarray:
     return np.argpartition(keys, n - 1)[:n] if n < len(keys) else np.arange(len(keys))
 
 
-def shingled(docs: DataFrame, n: int, percent: int, chunk_bytes: int) -> DataFrame:
-    """(doc_id, n, class, tokens, second, third, hashes) for each document, written once.
+def shingled(docs: DataFrame, n: int, percent: int, chunk_bytes: int, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The chunks, and (chunk, row, doc_id, n, class, tokens, second, third, hashes) of each document.
 
-    class stands for the set of shingles (null if empty). tokens are the prefix tokens under the
+    Both are written once. class stands for the set of shingles (null if empty). tokens are the prefix tokens under the
     first order that other documents hold too; only where there are any, second and third have
     the prefixes under the other orders and hashes the whole set.
     """
-    chunks, sums = chunked(docs, chunk_bytes)
+    chunks, sums = chunked(docs, chunk_bytes, carry)
     n_buckets = buckets_for(docs.sparkSession, sums["n_words"] * 4)
 
     def send(chunk: Chunk):
@@ -111,24 +111,24 @@ def shingled(docs: DataFrame, n: int, percent: int, chunk_bytes: int) -> DataFra
                 frequency[lo:hi] = np.frombuffer(zstandard.ZstdDecompressor().decompress(replies[b]), dtype=np.uint8)
         rows = []
         for k, s in enumerate(sets):
-            row = [None if chunk.id_null[k] else int(chunk.ids[k]), len(s), None, None, None, None, None]
+            row = [chunk.number, k, None if chunk.id_null[k] else int(chunk.ids[k]), len(s), None, None, None, None, None]
             if len(s):
                 f = frequency[np.searchsorted(tokens, s)]
-                row[2] = struct.pack("<QQ", int(mix(s ^ SALTS[0]).sum(dtype=U64)), int(np.bitwise_xor.reduce(mix(s ^ SALTS[1]))) ^ len(s))
+                row[4] = struct.pack("<QQ", int(mix(s ^ SALTS[0]).sum(dtype=U64)), int(np.bitwise_xor.reduce(mix(s ^ SALTS[1]))) ^ len(s))
                 size = len(s) + (-percent * len(s) // 100) + 1
                 at = _first((f.astype(U64) << U64(56)) | (mix(s ^ SALTS[0]) >> U64(8)), size)
                 at = at[f[at] > 1]
                 if len(at):
                     magnitude = np.log2(f).astype(np.uint64)
-                    row[3] = s[at].view(np.int64)
-                    row[4] = s[_first((magnitude << U64(56)) | (mix(s ^ SALTS[1]) >> U64(8)), size)].astype(np.uint32).view(np.int32)
-                    row[5] = s[_first(mix(s ^ SALTS[2]), size)].astype(np.uint32).view(np.int32)
-                    row[6] = s.tobytes()
+                    row[5] = s[at].view(np.int64)
+                    row[6] = s[_first((magnitude << U64(56)) | (mix(s ^ SALTS[1]) >> U64(8)), size)].astype(np.uint32).view(np.int32)
+                    row[7] = s[_first(mix(s ^ SALTS[2]), size)].astype(np.uint32).view(np.int32)
+                    row[8] = s.tobytes()
             rows.append(row)
-        return pd.DataFrame(rows, columns=["doc_id", "n", "class", "tokens", "second", "third", "hashes"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["chunk", "row", "doc_id", "n", "class", "tokens", "second", "third", "hashes"]).astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, n long, class binary, tokens array<long>, second array<int>, third array<int>, hashes binary"
-    return scratch.table(with_answers(chunks, exchange(chunks, send, _count), each, schema), "shingled")
+    schema = "chunk long, row int, doc_id long, n long, class binary, tokens array<long>, second array<int>, third array<int>, hashes binary"
+    return chunks, scratch.table(with_answers(chunks, exchange(chunks, send, _count), each, schema), "shingled")
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -149,21 +149,12 @@ def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "hashes_a", "hashes_b").mapInArrow(check, "a binary, b binary")
 
 
-def join_components(docs: DataFrame, n: int = 5, percent: int = 80, chunk_bytes: int = 2 << 20) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``.
+def labelled(rows: DataFrame, percent: int) -> DataFrame:
+    """(class, label, low) for every non-empty set: its component and its first row.
 
-    A document's set is its distinct shingles of ``n`` words, words being runs of anything but
-    space and U+0009 to U+000D with A-Z lower-cased; a text of fewer words is one shingle, and
-    null texts and texts without words have an empty set and no links. Two documents link if
-    100 times the intersection is ``percent`` times the union at least; component_id is the
-    smallest doc_id reachable by links, their own included. Rows that repeat a doc_id are nodes
-    of their own; rows without one link like others but are never the smallest (component_id is
-    null if no row of the component has an id). Columns other than doc_id and text are not read.
-    An empty table gives an empty result.
+    low is (without id, doc_id, chunk, row), so rows without an id come after all others.
     """
-    rows = shingled(docs, n, percent, chunk_bytes)
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = rows.where("tokens is not null").groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "second", "third", "hashes")))
     nodes = scratch.bucketed(some, "nodes", "class", parts)
     tokens = nodes.select("class", "n", F.explode("tokens").alias("token"))
@@ -196,10 +187,38 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, chunk_bytes:
             before = labels.join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
             fresh = merged.join(labels.select("node"), "node", "left_anti")
             labels = scratch.table(before.unionByName(fresh), "labels")
-    lows = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"))
-    lows = lows.join(labels, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("label", "class").alias("label"))
-    least = lows.groupBy("label").agg(F.min("low").alias("component_id"))
-    found = lows.join(least, "label").select("class", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "chunk", "row"))
+    lows = rows.where("class is not null").groupBy("class").agg(first.alias("low"))
+    return lows.join(labels, F.col("class") == F.col("node"), "left").select("class", F.coalesce("label", "class").alias("label"), "low")
+
+
+def join_components(docs: DataFrame, n: int = 5, percent: int = 80, chunk_bytes: int = 2 << 20) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs``.
+
+    A document's set is its distinct shingles of ``n`` words, words being runs of anything but
+    space and U+0009 to U+000D with A-Z lower-cased; a text of fewer words is one shingle, and
+    null texts and texts without words have an empty set and no links. Two documents link if
+    100 times the intersection is ``percent`` times the union at least; component_id is the
+    smallest doc_id reachable by links, their own included. Rows that repeat a doc_id are nodes
+    of their own; rows without one link like others but are never the smallest (component_id is
+    null if no row of the component has an id). Columns other than doc_id and text are not read.
+    An empty table gives an empty result.
+    """
+    _, rows = shingled(docs, n, percent, chunk_bytes)
+    lows = labelled(rows, percent)
+    least = lows.groupBy("label").agg(F.min("low").alias("least"))
+    found = lows.join(least, "label").select("class", F.col("least.doc_id").alias("component_id"))
     # the copies of one text may be a third of all rows; the adaptive skew join splits them
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(found, "class", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, chunk_bytes: int = 2 << 20) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest doc_id; all columns stay.
+
+    Of rows that tie, one stays; rows without words all stay. Otherwise as :func:`join_components`.
+    """
+    chunks, rows = shingled(docs, n, percent, chunk_bytes, carry=True)
+    kept = labelled(rows, percent).groupBy("label").agg(F.min("low").alias("low")).select("low.chunk", "low.row")
+    kept = kept.unionByName(rows.where("class is null").select("chunk", "row"))
+    return rewrite(chunks, kept, lambda chunk, facts: (sorted(facts.column("row").to_pylist()), None), docs)

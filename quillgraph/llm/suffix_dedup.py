@@ -27,15 +27,18 @@ import struct
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import scratch
-from quillgraph.llm.chunks import _BYTES, _ROOTS, U64, Chunk, bucket_of, buckets_for, chunked, exchange, mix, powers, with_answers
+from quillgraph.llm.chunks import _BYTES, _ROOTS, U64, Chunk, bucket_of, buckets_for, chunked, exchange, mix, powers, rewrite, with_answers
 
 GRAM = 64
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
+#: Windows whose minimizers are found at a time; bounds the memory of long documents.
+SLICE = 1 << 18
 
 
 # --- suffix arrays -----------------------------------------------------------------------
@@ -182,46 +185,27 @@ def find(key: np.ndarray, sa: np.ndarray, other: np.ndarray, starts: np.ndarray,
 
 
 class Blocks:
-    """The blocks of a chunk: windows first..last share the minimizer at ``pick``."""
+    """The blocks of a chunk: windows first..last share a minimizer.
+
+    unique and text_hash are the minimizers and the hashes of the texts of the distinct blocks,
+    heads one block of each, entry the distinct block of every block, and copies tells which
+    distinct blocks stand in the chunk more than once.
+    """
 
     def __init__(self, chunk: Chunk, length: int):
         self.length, self.data = length, chunk.data
-        gram = min(GRAM, length)
         data, n = chunk.data, len(chunk.data)
-        m, reach = n - gram + 1, length - gram + 1
-        empty = np.zeros(0, dtype=np.int64)
-        self.first = self.last = self.pick = empty
-        self.unique, self.text_hash, self.entry = np.zeros(0, dtype=U64), np.zeros(0, dtype=U64), empty
-        self.heads, self.copies = empty, np.zeros(0, dtype=bool)
-        if n < length:
-            return
-        up, down = powers(_ROOTS[0][0], n + 1)
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(_BYTES[0][data] * up[:n], out=sums[1:])
-        grams = mix((sums[gram:] - sums[:m]) * down[:m])
-        # the smallest hash, leftmost if tied: high bits of the hash above the position
-        bits = U64(int(m).bit_length())
-        key = ((grams >> bits) << bits) | np.arange(m, dtype=U64)
-        size = -(-m // reach) * reach
-        key = np.concatenate([key, np.full(size - m, np.iinfo(np.uint64).max, dtype=U64)]).reshape(-1, reach)
-        left = np.minimum.accumulate(key, axis=1).ravel()
-        right = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
         starts = n - length + 1
-        low = np.minimum(right[:starts], left[reach - 1 : reach - 1 + starts])
-        pick = (low & ((U64(1) << bits) - U64(1))).astype(np.int64)
-        # windows that stay in one document
-        ends = np.repeat(chunk.offsets[1:], np.diff(chunk.offsets))[:starts]
-        valid = np.arange(starts) + length <= ends
-        change = np.ones(starts, dtype=bool)
-        change[1:] = (pick[1:] != pick[:-1]) | (valid[1:] != valid[:-1]) | (ends[1:] != ends[:-1])
-        runs = np.flatnonzero(change)
-        last = np.append(runs[1:], starts) - 1
-        ok = valid[runs]
-        first, last = runs[ok], last[ok]
-        pick = pick[first]
-        minimizer = grams[pick]
-        stop = last + length
-        text = mix((sums[stop] - sums[first]) * down[first] + (stop - first).astype(U64))
+        parts = [_runs(data, lo, min(lo + SLICE, starts), length, chunk.offsets) for lo in range(0, starts, SLICE)]
+        first, last, pick, minimizer = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for k in range(4))
+        if len(parts) > 1:  # a block may go on over the end of a slice
+            new = np.ones(len(first), dtype=bool)
+            new[1:] = (pick[1:] != pick[:-1]) | (first[1:] != last[:-1] + 1)
+            heads = np.flatnonzero(new)
+            last = last[np.append(heads[1:], len(first)) - 1]
+            first, minimizer = first[heads], minimizer[heads]
+        view = memoryview(np.ascontiguousarray(data))
+        text = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)), dtype=U64, count=len(first))
         order = np.lexsort((text, minimizer))
         head = np.ones(len(order), dtype=bool)
         head[1:] = (minimizer[order][1:] != minimizer[order][:-1]) | (text[order][1:] != text[order][:-1])
@@ -230,10 +214,40 @@ class Blocks:
         self.entry = np.empty(len(order), dtype=np.int64)
         self.entry[order] = np.cumsum(head) - 1
         self.heads = order[at]
-        self.unique, self.text_hash = minimizer[self.heads], text[self.heads]
+        self.unique, self.text_hash = minimizer[self.heads].astype(U64), text[self.heads]
         self.copies = np.diff(np.append(at, len(order))) > 1
 
 
+def _runs(data: np.ndarray, lo: int, hi: int, length: int, offsets: np.ndarray):
+    """(first, last, place, hash of the minimizer) of the runs of windows that start in lo..hi-1."""
+    gram = min(GRAM, length)
+    reach = length - gram + 1
+    part = data[lo : hi + length - 1]
+    m = len(part) - gram + 1
+    up, down = powers(_ROOTS[0][0], SLICE + length)
+    sums = np.zeros(len(part) + 1, dtype=U64)
+    np.cumsum(_BYTES[0][part] * up[: len(part)], out=sums[1:])
+    grams = mix((sums[gram:] - sums[:m]) * down[:m])
+    # the smallest hash, leftmost if tied: the high bits of the hash above the position
+    bits = U64(20 if m <= 1 << 20 else int(m).bit_length())
+    key = np.full(-(-m // reach) * reach, np.iinfo(np.uint64).max, dtype=U64)
+    key[:m] = ((grams >> bits) << bits) | np.arange(m, dtype=U64)
+    key = key.reshape(-1, reach)
+    left = np.minimum.accumulate(key, axis=1).ravel()
+    right = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
+    count = hi - lo
+    pick = (np.minimum(right[:count], left[reach - 1 : reach - 1 + count]) & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    doc = np.searchsorted(offsets, np.arange(lo, hi), side="right")  # the document after the one it starts in
+    valid = np.arange(lo, hi) + length <= offsets[np.minimum(doc, len(offsets) - 1)]
+    change = np.ones(count, dtype=bool)
+    change[1:] = (pick[1:] != pick[:-1]) | (valid[1:] != valid[:-1]) | (doc[1:] != doc[:-1])
+    runs = np.flatnonzero(change)
+    last = np.append(runs[1:], count) - 1
+    ok = valid[runs]
+    runs, last = runs[ok], last[ok]
+    return runs + lo, last + lo, pick[runs] + lo, grams[pick[runs]]
+
+
 def _cuts(buckets: np.ndarray):
     edges = np.flatnonzero(np.diff(buckets)) + 1
     for lo, hi in zip([0, *edges], [*edges, len(buckets)], strict=True):
@@ -352,20 +366,83 @@ def _compare(parts: list[bytes], length: int) -> list[bytes | None]:
     return out
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 400, chunk_bytes: int = 2 << 20, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) for each row of ``docs``.
+class _Plan:
+    """The chunks of a table, what is known of their windows, and how to read it."""
+
+    def __init__(self, docs: DataFrame, length: int, chunk_bytes: int, carry: bool):
+        self.length = length
+        self.chunks, self.answers, self.n_meet, self.n_text = _compared(docs, length, chunk_bytes, carry)
+
+    def gone(self):
+        """A function that marks the removed bytes of a chunk, given its answers."""
+        length, n_meet, n_text = self.length, self.n_meet, self.n_text
+        return lambda chunk, replies: _removed(chunk, replies, length, n_meet, n_text)
+
+
+def remove_repeated_bytes(docs: DataFrame, length: int = 400, chunk_bytes: int = 2 << 20) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``.
 
     n_spans counts the maximal removed runs of bytes; kept_sha256 is of the remaining bytes end to
-    end. With ``with_text`` the remaining bytes come as a string, without the broken parts of
-    characters at cuts. Null and empty texts have no bytes (kept_text of null is null); texts
-    shorter than ``length`` lose nothing. Two rows of equal text remove each other, whatever
-    their ids; doc_id may be null. Columns other than doc_id and text are not read. An empty
-    table gives an empty result.
+    end. Null and empty texts have no bytes; texts shorter than ``length`` lose nothing. Two rows
+    of equal text remove each other, whatever their ids; doc_id may be null. Columns other than
+    doc_id and text are not read. An empty table gives an empty result.
 
     The removed bytes are exact but for two strings that agree in 96 bits of hash beside the
     bucket's by chance.
     """
-    chunks, sums = chunked(docs, chunk_bytes)
+    plan = _Plan(docs, length, chunk_bytes, carry=False)
+    mark = plan.gone()
+
+    def finish(chunk: Chunk, replies: dict) -> pd.DataFrame:
+        gone = mark(chunk, replies)
+        rows = []
+        for k in range(len(chunk)):
+            lo, hi = chunk.offsets[k], chunk.offsets[k + 1]
+            out = gone[lo:hi]
+            lost = int(np.count_nonzero(out))
+            spans = int(out[:1].sum() + np.count_nonzero(out[1:] & ~out[:-1])) if lost else 0
+            kept = (chunk.data[lo:hi][~out] if lost else chunk.data[lo:hi]).tobytes()
+            rows.append((None if chunk.id_null[k] else int(chunk.ids[k]), int(hi - lo), lost, spans, hashlib.sha256(kept).hexdigest()))
+        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+
+    return with_answers(plan.chunks, plan.answers, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 2 << 20) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of text; all rows and all other columns stay.
+
+    Parts of characters that are left at cuts go too. A text that is repeated as a whole becomes
+    empty; a null text stays null. Otherwise as :func:`remove_repeated_bytes`.
+    """
+    plan = _Plan(docs, length, chunk_bytes, carry=True)
+    mark = plan.gone()
+
+    def decide(chunk: Chunk, facts):
+        gone = mark(chunk, dict(zip(facts.column("bucket").to_pylist(), facts.column("answer").to_pylist(), strict=True)))
+        texts = []
+        for k in range(len(chunk)):
+            lo, hi = chunk.offsets[k], chunk.offsets[k + 1]
+            kept = chunk.data[lo:hi][~gone[lo:hi]].tobytes()
+            texts.append(None if chunk.text_null[k] else kept.decode("utf-8", "ignore"))
+        return range(len(chunk)), texts
+
+    return rewrite(plan.chunks, plan.answers, decide, docs)
+
+
+def _read(blocks: Blocks, replies: dict, n_meet: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which distinct blocks are repeated as a whole, and which have a minimizer with other texts."""
+    same, other = blocks.copies.copy(), np.zeros(len(blocks.unique), dtype=bool)
+    for b, lo, hi in _cuts(bucket_of(blocks.unique, n_meet)):
+        if b in replies:
+            bits = np.unpackbits(np.frombuffer(replies[b], dtype=np.uint8), count=2 * (hi - lo)).astype(bool)
+            same[lo:hi] |= bits[: hi - lo]
+            other[lo:hi] |= bits[hi - lo :]
+    return same, np.flatnonzero(other)
+
+
+def _compared(docs: DataFrame, length: int, chunk_bytes: int, carry: bool):
+    """The chunks, the answers of both exchanges, and the numbers of their buckets."""
+    chunks, sums = chunked(docs, chunk_bytes, carry)
     spark = docs.sparkSession
     windows_each = max(1, (length - min(GRAM, length) + 2) // 2)
     n_meet = buckets_for(spark, sums["n_bytes"] * BLOCK.itemsize // windows_each)
@@ -380,21 +457,12 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, chunk_bytes: int =
 
     met = scratch.table(exchange(chunks, send, _meet), "minimizers")
 
-    def read(blocks: Blocks, replies: dict) -> tuple[np.ndarray, np.ndarray]:
-        same, other = blocks.copies.copy(), np.zeros(len(blocks.unique), dtype=bool)
-        for b, lo, hi in _cuts(bucket_of(blocks.unique, n_meet)):
-            if b in replies:
-                bits = np.unpackbits(np.frombuffer(replies[b], dtype=np.uint8), count=2 * (hi - lo)).astype(bool)
-                same[lo:hi] |= bits[: hi - lo]
-                other[lo:hi] |= bits[hi - lo :]
-        return same, np.flatnonzero(other)
-
     def ask(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
         replies = dict(zip(rhs["bucket"].tolist(), rhs["answer"].tolist(), strict=True))
         rows = []
         for k, payload in zip(lhs["chunk"], lhs["payload"], strict=True):
             blocks = Blocks(Chunk.unpack(payload), length)
-            _, other = read(blocks, replies)
+            _, other = _read(blocks, replies, n_meet)
             for b, lo, hi in _cuts(bucket_of(blocks.unique[other], n_text)):
                 rows.append((k, b, _send_texts(blocks, other[lo:hi])))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "part"])
@@ -408,41 +476,30 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, chunk_bytes: int =
     compared = asked.groupBy("bucket").applyInPandas(back, "chunk long, bucket long, answer binary")
     answers = met.unionByName(compared.withColumn("bucket", -1 - F.col("bucket")))
 
-    def finish(chunk: Chunk, replies: dict) -> pd.DataFrame:
-        blocks = Blocks(chunk, length)
-        same, other = read(blocks, replies)
-        n = len(chunk.data)
-        change = np.zeros(n + 1, dtype=np.int32)
-        counts = blocks.last - blocks.first + 1
-        whole = same[blocks.entry] if len(blocks.entry) else np.zeros(0, dtype=bool)
-        np.add.at(change, blocks.first[whole], 1)
-        np.add.at(change, blocks.last[whole] + length, -1)
-        if len(other):
-            each = counts[blocks.heads[other]]
-            bits: dict[int, np.ndarray] = {}
-            for b, lo, hi in _cuts(bucket_of(blocks.unique[other], n_text)):
-                if -1 - b in replies:
-                    got = np.unpackbits(np.frombuffer(replies[-1 - b], dtype=np.uint8), count=int(each[lo:hi].sum())).astype(bool)
-                    at = np.concatenate([[0], np.cumsum(each[lo:hi])])
-                    for j in range(lo, hi):
-                        part = got[at[j - lo] : at[j - lo + 1]]
-                        if part.any():
-                            bits[int(other[j])] = np.flatnonzero(part)
-            for i in np.flatnonzero(np.isin(blocks.entry, list(bits))).tolist() if bits else []:
-                starts = blocks.first[i] + bits[int(blocks.entry[i])]
-                np.add.at(change, starts, 1)
-                np.add.at(change, starts + length, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        rows = []
-        for k in range(len(chunk)):
-            lo, hi = chunk.offsets[k], chunk.offsets[k + 1]
-            out = gone[lo:hi]
-            lost = int(np.count_nonzero(out))
-            spans = int(out[:1].sum() + np.count_nonzero(out[1:] & ~out[:-1])) if lost else 0
-            kept = (chunk.data[lo:hi][~out] if lost else chunk.data[lo:hi]).tobytes()
-            rows.append((None if chunk.id_null[k] else int(chunk.ids[k]), int(hi - lo), lost, spans, hashlib.sha256(kept).hexdigest(), *([None if chunk.text_null[k] else kept.decode("utf-8", "ignore")] if with_text else [])))
-        frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])])
-        return frame.astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return with_answers(chunks, answers, finish, schema)
+    return chunks, answers, n_meet, n_text
+
+
+def _removed(chunk: Chunk, replies: dict, length: int, n_meet: int, n_text: int) -> np.ndarray:
+    """The bytes of a chunk that repeated windows cover."""
+    blocks = Blocks(chunk, length)
+    same, other = _read(blocks, replies, n_meet)
+    change = np.zeros(len(chunk.data) + 1, dtype=np.int32)
+    whole = same[blocks.entry] if len(blocks.entry) else np.zeros(0, dtype=bool)
+    np.add.at(change, blocks.first[whole], 1)
+    np.add.at(change, blocks.last[whole] + length, -1)
+    if len(other):
+        each = (blocks.last - blocks.first + 1)[blocks.heads[other]]
+        bits: dict[int, np.ndarray] = {}
+        for b, lo, hi in _cuts(bucket_of(blocks.unique[other], n_text)):
+            if -1 - b in replies:
+                got = np.unpackbits(np.frombuffer(replies[-1 - b], dtype=np.uint8), count=int(each[lo:hi].sum())).astype(bool)
+                at = np.concatenate([[0], np.cumsum(each[lo:hi])])
+                for j in range(lo, hi):
+                    part = got[at[j - lo] : at[j - lo + 1]]
+                    if part.any():
+                        bits[int(other[j])] = np.flatnonzero(part)
+        for i in np.flatnonzero(np.isin(blocks.entry, list(bits))).tolist() if bits else []:
+            starts = blocks.first[i] + bits[int(blocks.entry[i])]
+            np.add.at(change, starts, 1)
+            np.add.at(change, starts + length, -1)
+    return np.cumsum(change[:-1]) > 0
