@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import scratch
-from quillgraph.llm.chunks import from_batch
+from quillgraph.llm.chunks import Chunk, from_batch
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE = 16, 4
@@ -170,24 +170,43 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     sent = spark.sparkContext.broadcast(net)
 
     def run(batches):
-        net = sent.value
         for batch in batches:
-            c = from_batch(batch)
-            out = np.empty(len(c))
-            k = 0
-            while k < len(c):  # documents of about 2 MB together
-                to = max(k + 1, int(np.searchsorted(c.offsets, c.offsets[k] + (2 << 20), side="right")) - 1)
-                texts = [cut(c.text(j)) for j in range(k, to)]
-                sizes = np.array([len(t) for t in texts])
-                pool = np.concatenate([net.pooled(t) for t in texts]) if len(texts) == 1 else net.pooled(np.concatenate(texts))
-                out[k:to] = net.probabilities(pool, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                k = to
+            out = batch_scores(sent.value, from_batch(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
+def batch_scores(net: Network, c: Chunk) -> np.ndarray:
+    out = np.empty(len(c))
+    k = 0
+    while k < len(c):  # documents of about 1 MB together
+        to = max(k + 1, int(np.searchsorted(c.offsets, c.offsets[k] + (1 << 20), side="right")) - 1)
+        texts = [cut(c.text(j)) for j in range(k, to)]
+        sizes = np.array([len(t) for t in texts])
+        pool = net.pooled(texts[0] if len(texts) == 1 else np.concatenate(texts))
+        out[k:to] = net.probabilities(pool, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        k = to
+    return out
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, **options) -> DataFrame:
+    """``docs`` without the rows whose score is below ``threshold``; all columns stay."""
+    spark = docs.sparkSession
+    scratch.ship(spark)
+    sent = spark.sparkContext.broadcast(train(docs, labels, label, **options))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            ids = pa.array(np.zeros(batch.num_rows, dtype=np.int64))
+            texts = pa.RecordBatch.from_arrays([ids, batch.column(at)], names=["doc_id", "text"])
+            yield batch.filter(pa.array(batch_scores(sent.value, from_batch(texts)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, **options) -> DataFrame:
     """(doc_id, score, predicted) for each row of ``docs``; ``labels`` holds the rows to learn from.
 

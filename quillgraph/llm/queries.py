@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, mixing, ngram_join, substring_dedup, suffix_dedup, topk, url_filter
+from quillgraph.llm import decontaminate, langid, mixing, ngram_join, quality, substring_dedup, suffix_dedup, topk, toxicity, url_filter
 
 # The rules of op8 as (action, host, path).
 URL_RULES = [
@@ -21,10 +21,24 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int):
+    """crc32 of the id as text modulo n; null without an id."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def _held_out(df: DataFrame, n: int, remainder: int, columns: str) -> DataFrame:
+    return df.withColumn("held_out", F.coalesce(_remainder(n) == remainder, F.lit(False))).select("doc_id", "held_out", *columns.split())
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"), weights=(1, 2, 3), share=1.0, most=3.0)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(_read(spark, sf_dir, "documents"), learned=_remainder(3) != 1)
+    return _held_out(found, 3, 1, "lang_pred score")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(_read(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -33,6 +47,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(_read(spark, sf_dir, "documents"), n=13)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = _read(spark, sf_dir, "labels").where(_remainder(4) != 2)
+    return _held_out(quality.classify(_read(spark, sf_dir, "documents"), learned, "quality", threshold=0.7), 4, 2, "score predicted")
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -49,14 +68,22 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), n=13, coverage=0.05)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = _read(spark, sf_dir, "labels").where(_remainder(5) != 0)
+    return _held_out(toxicity.classify(_read(spark, sf_dir, "documents"), learned, "toxic", threshold=0.5), 5, 0, "score predicted")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_language_id": op2_language_id,
     "op3_ngram_join": op3_ngram_join,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality": op5_quality,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
