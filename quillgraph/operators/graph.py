@@ -53,7 +53,11 @@ def topic_edges(links: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def _top_neighbours(pairs: DataFrame, relation: str, k: int) -> DataFrame:
-    """Each paper's k strongest of the undirected pairs (a, b, weight), as directed edges."""
+    """Each paper's k strongest of the undirected pairs (a, b, weight), as directed edges.
+
+    Weights are rounded to 12 digits first, so that equal fractions tie however they were formed.
+    """
+    pairs = pairs.withColumn("weight", F.round("weight", 12))
     both = pairs.select("a", "b", "weight").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     w = Window.partitionBy("a").orderBy(F.desc("weight"), F.desc("b"))
     kept = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
