@@ -164,7 +164,7 @@ TOKENS = """
 stops AS (SELECT ['a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'were', 'with'] AS s),
 dt AS (SELECT doc_id AS id, unnest([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') IF x <> '']) AS term FROM documents),
 tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM dt, stops WHERE NOT list_contains(s, term) GROUP BY ALL),
-q0 AS (SELECT item_id AS query, ([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') IF x <> '' AND NOT list_contains((SELECT s FROM stops), x)])[1:3] AS ws FROM benchmark),
+q0 AS (SELECT item_id AS query, ([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') IF x <> '' AND NOT list_contains(s, x)])[1:3] AS ws FROM benchmark, stops),
 q AS MATERIALIZED (SELECT DISTINCT query, unnest(ws) AS term FROM q0),
 hits AS MATERIALIZED (
   SELECT h.query, h.id, round(h.rank, 9) AS rank FROM (SELECT query, id, count(DISTINCT q.term) AS met, sum(0.4 * ln(1 + tf)) AS rank FROM q JOIN tf ON tf.term = q.term GROUP BY ALL) h
