@@ -14,7 +14,7 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,10 @@ MOST_MISTAKES = 10_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _strings(**columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, type=pa.string()) for v in columns.values()], names=list(columns))
+
+
 class Bloom:
     """A filter for a stated number of keys and rate of mistakes; the seed sets its hashes."""
 
@@ -82,12 +86,12 @@ def build(listed: Iterable[str], universe: DataFrame, rate: float | None = None,
         raise ValueError(f"{len(listed)} listed keys need {len(first.bits)} bytes; {MOST_BYTES} are sent at most")
     sent, known = spark.sparkContext.broadcast(first), spark.sparkContext.broadcast(frozenset(listed))
 
-    def mistakes(frames):
-        for f in frames:
-            keys = f[name].dropna().drop_duplicates()
-            yield pd.DataFrame({"key": [k for k in keys if sent.value.has(k) and k not in known.value]}, columns=["key"])
+    def mistakes(batches):
+        for batch in batches:
+            keys = set(batch.column(0).to_pylist()) - {None}
+            yield _strings(key=[k for k in keys if sent.value.has(k) and k not in known.value])
 
-    wrong = universe.select(name).mapInPandas(mistakes, "key string").distinct()
+    wrong = universe.select(name).mapInArrow(mistakes, "key string").distinct()
     wrong = sorted(r.key for r in wrong.limit(MOST_MISTAKES + 1).collect())
     if len(wrong) > MOST_MISTAKES:
         raise ValueError(f"the first level lets more than {MOST_MISTAKES} keys through; give a smaller rate")
@@ -136,26 +140,25 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     urls = parsed(pages)
     sizes = sorted({len(p) for _, _, p in rules})
 
-    def keys(frames):
-        for f in frames:
-            f = f[["host", "path"]].drop_duplicates()
-            yield pd.DataFrame({"key": sorted({k for h, p in zip(f["host"], f["path"], strict=True) for k in page_keys(h, p, sizes)})}, columns=["key"])
+    def keys(batches):
+        for batch in batches:
+            urls = set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            yield _strings(key=sorted({k for h, p in urls for k in page_keys(h, p, sizes)}))
 
-    universe = urls.select("host", "path").mapInPandas(keys, "key string")
+    universe = urls.select("host", "path").mapInArrow(keys, "key string")
     lists = {a: build([h + p for x, h, p in rules if x == a], universe, rate) for a in ("allow", "block")}
     sent = spark.sparkContext.broadcast(lists)
 
-    def decide(frames):
-        for f in frames:
+    def decide(batches):
+        for batch in batches:
             found: dict[tuple[str, str], tuple[str | None, str]] = {}
             rule, verdict = [], []
-            for h, p in zip(f["host"], f["path"], strict=True):
+            for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if (h, p) not in found:
                     found[h, p] = next(((k, a) for k in page_keys(h, p, sizes) for a in ("block", "allow") if k in sent.value[a]), (None, default))
                 rule.append(found[h, p][0])
                 verdict.append(found[h, p][1])
-            yield f.assign(rule=pd.Series(rule, index=f.index, dtype=object), verdict=verdict)
+            more = _strings(rule=rule, verdict=verdict)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more.columns], names=["page_id", "host", "path", "rule", "verdict"])
 
-    # ids go through pandas as strings: with a null among them they would turn into floats
-    out = urls.select(F.col("page_id").cast("string"), "host", "path").mapInPandas(decide, "page_id string, host string, path string, rule string, verdict string")
-    return out.withColumn("page_id", F.col("page_id").cast("long"))
+    return urls.select("page_id", "host", "path").mapInArrow(decide, "page_id long, host string, path string, rule string, verdict string")
