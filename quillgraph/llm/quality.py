@@ -76,8 +76,9 @@ class Network:
         both = np.concatenate([np.add.reduceat(pooled, starts) / sizes, np.maximum.reduceat(pooled, starts)], axis=1)
         return 1 / (1 + np.exp(-np.clip(both @ self.out + self.bias, -30, 30)))
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.004, seed: int = 7) -> None:
-        """Adam on the log loss; each label weighs half of the whole."""
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, least_steps: int = 500, batch: int = 32, rate: float = 0.004, seed: int = 7) -> None:
+        """Adam on the log loss; each label weighs half of the whole. Small samples get more epochs."""
+        epochs = max(epochs, min(60, -(-least_steps // -(-len(texts) // batch))))
         rng = np.random.default_rng(seed)
         weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
         names = ["embed", "filters", "shift", "out", "bias"]
@@ -136,10 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAI
         picked = part if picked is None else picked.unionByName(part)
     ids = {r.doc_id: r.y for r in picked.collect()}
     if len(set(ids.values())) < 2:
-        net = Network()
-        net.out[:] = 0
-        net.bias[:] = 0.0 if not ids else 4.0 if set(ids.values()) == {1} else -4.0
-        return net
+        return _constant(set(ids.values()))
     chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))  # 2 * train_rows at most
 
     def shorten(batches):
@@ -155,8 +153,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAI
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
     rows = rows.mapInArrow(shorten, "doc_id long, chunks binary").toArrow().sort_by("doc_id")
     texts = [np.frombuffer(x.as_buffer(), dtype=np.uint16).reshape(-1, CHUNK) for x in rows.column(1)]
+    known = np.array([ids[i] for i in rows.column(0).to_pylist()], dtype=np.int64)
+    if len(set(known.tolist())) < 2:
+        return _constant(set(known.tolist()))
     net = Network()
-    net.fit(texts, np.array([ids[i] for i in rows.column(0).to_pylist()]))
+    net.fit(texts, known)
+    return net
+
+
+def _constant(labels: set[int]) -> Network:
+    """A network that says the same of every text: what the only label says, or nothing."""
+    net = Network()
+    net.out[:] = 0
+    net.bias[:] = 0.0 if not labels else 4.0 if labels == {1} else -4.0
     return net
 
 

@@ -55,14 +55,14 @@ def test_quality_gradients():
         return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
 
     grads = net._gradients(chunks, sizes, y, w)
-    for name, at in (("out", 3), ("bias", 0), ("shift", 2)):
-        value, eps = getattr(net, name), 1e-2
+    for name, at in (("out", 3), ("bias", 0), ("shift", 5)):
+        value, eps = getattr(net, name), 2e-3  # small, as the maximum has kinks
         value[at] += eps
         up = loss()
         value[at] -= 2 * eps
         down = loss()
         value[at] += eps
-        assert grads[name][at] == pytest.approx((up - down) / (2 * eps), rel=0.1, abs=2e-3)
+        assert grads[name][at] == pytest.approx((up - down) / (2 * eps), rel=0.1, abs=2e-3), name
 
 
 def test_chunks_cover_every_byte():
