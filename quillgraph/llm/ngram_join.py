@@ -9,14 +9,18 @@ taken in. Three orders are used:
 2. by the magnitude of the frequency, then by another hash;
 3. by a third hash alone.
 
-A pair found under the first order is verified only if its prefixes meet under the other two as
-well, and its sizes are close enough. Frequencies are counted over all documents by the packed
+A pair found under the first order at a token must be able to share enough from there on: what
+stands before a pair's first common token in either set is not shared, so a token counts only
+if the smaller remainder reaches the overlap that is asked for. Most pairs of a group of
+near copies that are too far from each other fall at this, by the rare tokens of each. A pair is
+verified only if its prefixes meet under the other two orders as well. Frequencies are counted over all documents by the packed
 exchange (:mod:`chunks`); prefix tokens of frequency 1 make no candidates.
 
 Documents with the same set are one node. Candidates of one token are first held only against
-one of them (a star), verified, and merged into components; a second star is centred at the
-other end; what then remains in different components is held against each other in full. A
-pair of linked documents thus ends in one component whether it was ever compared or not, and no
+one of them (a star): the one with the fewest rarer tokens, which in a group of copies is the
+nearest to the original. They are verified and merged into components; a second star has its
+centre among those that the first left in other components; what then remains in different
+components is held against each other in full. A pair of linked documents thus ends in one component whether it was ever compared or not, and no
 group of copies makes all its pairs.
 """
 
@@ -85,7 +89,7 @@ def _first(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, n: int, percent: int, chunk_bytes: int, carry: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The chunks, and (chunk, row, doc_id, n, class, tokens, second, third, hashes) of each document.
+    """The chunks, and (chunk, row, doc_id, n, class, tokens, second, third, hashes, places) of each document.
 
     Both are written once. class stands for the set of shingles (null if empty). tokens are the prefix tokens under the
     first order that other documents hold too; only where there are any, second and third have
@@ -111,30 +115,39 @@ def shingled(docs: DataFrame, n: int, percent: int, chunk_bytes: int, carry: boo
                 frequency[lo:hi] = np.frombuffer(zstandard.ZstdDecompressor().decompress(replies[b]), dtype=np.uint8)
         rows = []
         for k, s in enumerate(sets):
-            row = [chunk.number, k, None if chunk.id_null[k] else int(chunk.ids[k]), len(s), None, None, None, None, None]
+            row = [chunk.number, k, None if chunk.id_null[k] else int(chunk.ids[k]), len(s), None, None, None, None, None, None]
             if len(s):
                 f = frequency[np.searchsorted(tokens, s)]
                 row[4] = struct.pack("<QQ", int(mix(s ^ SALTS[0]).sum(dtype=U64)), int(np.bitwise_xor.reduce(mix(s ^ SALTS[1]))) ^ len(s))
                 size = len(s) + (-percent * len(s) // 100) + 1
-                at = _first((f.astype(U64) << U64(56)) | (mix(s ^ SALTS[0]) >> U64(8)), size)
-                at = at[f[at] > 1]
+                key = (f.astype(U64) << U64(56)) | (mix(s ^ SALTS[0]) >> U64(8))
+                at = _first(key, size)
+                at = at[np.argsort(key[at])]
+                place = np.flatnonzero(f[at] > 1)
+                at = at[place]
                 if len(at):
                     magnitude = np.log2(f).astype(np.uint64)
                     row[5] = s[at].view(np.int64)
+                    row[9] = place.astype(np.int32)
                     row[6] = s[_first((magnitude << U64(56)) | (mix(s ^ SALTS[1]) >> U64(8)), size)].astype(np.uint32).view(np.int32)
                     row[7] = s[_first(mix(s ^ SALTS[2]), size)].astype(np.uint32).view(np.int32)
                     row[8] = s.tobytes()
             rows.append(row)
-        return pd.DataFrame(rows, columns=["chunk", "row", "doc_id", "n", "class", "tokens", "second", "third", "hashes"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["chunk", "row", "doc_id", "n", "class", "tokens", "second", "third", "hashes", "places"]).astype({"doc_id": "Int64"})
 
-    schema = "chunk long, row int, doc_id long, n long, class binary, tokens array<long>, second array<int>, third array<int>, hashes binary"
+    schema = "chunk long, row int, doc_id long, n long, class binary, tokens array<long>, second array<int>, third array<int>, hashes binary, places array<int>"
     return chunks, scratch.table(with_answers(chunks, exchange(chunks, send, _count), each, schema), "shingled")
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the other two orders and are linked."""
-    left, right = (nodes.select(F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("second", "third", "hashes"))) for x in ("a", "b"))
-    met = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+
+    def beside(df: DataFrame, x: str, columns: list[str]) -> DataFrame:
+        return df.join(nodes.select(F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)), x)
+
+    met = beside(beside(pairs, "a", ["second", "third"]), "b", ["second", "third"])
+    met = met.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+    met = beside(beside(met, "a", ["hashes"]), "b", ["hashes"])
 
     def check(batches):
         for batch in batches:
@@ -155,24 +168,31 @@ def labelled(rows: DataFrame, percent: int) -> DataFrame:
     low is (without id, doc_id, chunk, row), so rows without an id come after all others.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = rows.where("tokens is not null").groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "second", "third", "hashes")))
+    some = rows.where("tokens is not null").groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "places", "second", "third", "hashes")))
     nodes = scratch.bucketed(some, "nodes", "class", parts)
-    tokens = nodes.select("class", "n", F.explode("tokens").alias("token"))
-    close = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    tokens = nodes.select("class", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("class", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
+    # close in size, and enough left from this token on
+    able = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * least(n - place, m - spot) >= {percent} * (n + m)")
     labels: DataFrame | None = None
-    for turn in ("least", "greatest", "all"):
+
+    def centres(of: DataFrame) -> DataFrame:
+        middle = F.min(F.struct("place", "class", "n", "label")).alias("c")
+        return of.groupBy("token").agg(middle).select("token", F.col("c.class").alias("other"), F.col("c.n").alias("m"), F.col("c.place").alias("spot"), F.col("c.label").alias("far"))
+
+    for turn in ("first star", "second star", "all"):
         known = tokens.withColumn("label", F.col("class"))
         if labels is not None:
-            known = tokens.join(labels, F.col("class") == F.col("node"), "left").select("class", "n", "token", F.coalesce("label", "class").alias("label"))
-        middle = F.struct("class", "n", "label")
-        groups = known.groupBy("token").agg((F.max if turn == "greatest" else F.min)(middle).alias("middle"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+            known = tokens.join(labels, F.col("class") == F.col("node"), "left").select("class", "n", "token", "place", F.coalesce("label", "class").alias("label"))
+        apart = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
         if turn == "all":
-            open_ = known.join(groups.select("token"), "token")
-            other = open_.select("token", F.col("class").alias("other"), F.col("n").alias("m"), F.col("label").alias("far"))
-            pairs = open_.join(other, "token").where((F.col("label") < F.col("far")) & close)
+            open_ = known.join(apart, "token")
+            other = open_.select("token", F.col("class").alias("other"), F.col("n").alias("m"), F.col("place").alias("spot"), F.col("label").alias("far"))
+            pairs = open_.join(other, "token").where((F.col("label") < F.col("far")) & able)
         else:
-            one = groups.select("token", F.col("middle.class").alias("other"), F.col("middle.n").alias("m"), F.col("middle.label").alias("far"))
-            pairs = known.join(one, "token").where((F.col("label") != F.col("far")) & close)
+            one = centres(known).join(apart, "token")
+            if turn == "second star":
+                one = centres(known.join(one.select("token", "far"), "token").where("label != far").drop("far"))
+            pairs = known.join(one, "token").where((F.col("label") != F.col("far")) & able)
         pairs = pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
         linked = scratch.table(_verify(pairs, nodes, percent), "linked")
         if labels is not None:
