@@ -93,21 +93,26 @@ def sized(docs: DataFrame) -> DataFrame:
 class Mix:
     """The plan and the frames of one mix; see :func:`mix_sources`."""
 
-    def __init__(self, docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: float = 3.0, block_words: int = 128, shard_slots: int = 4096, seed: int = 17, split_docs: int = 20_000):
+    def __init__(self, docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: float = 3.0, block_words: int = 128, shard_slots: int = 4096, seed: int = 17, split_docs: int = 2_000):
         spark = docs.sparkSession
         scratch.ship(spark)
         self.block_words = block_words
         rows = sized(docs)
-        sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+        # sources are told apart by a long, for which the broadcast table takes little memory
+        key = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("source_key")
+        rows = rows.withColumn("source_key", key)
+        sums = rows.groupBy("source", "source_key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
         if len(sums) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
+        if len({r.source_key for r in sums}) < len(sums):
+            raise ValueError("two sources have the same hash")
         sums.sort(key=lambda r: (r.source is None, r.source or ""))
         sizes = [int(r["size"]) for r in sums]
         targets = word_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
         blocks = [-(-s // block_words) for s in sizes]
         quota = [min(round(t * b / s), int(most * b)) if s else 0 for t, s, b in zip(targets, sizes, blocks, strict=True)]
-        plan = [(i, r.source, s, float(t), b) for i, (r, s, t, b) in enumerate(zip(sums, sizes, targets, blocks, strict=True))]
-        self.sources = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, n_blocks long")
+        plan = [(i, r.source_key, s, float(t), b) for i, (r, s, t, b) in enumerate(zip(sums, sizes, targets, blocks, strict=True))]
+        self.sources = spark.createDataFrame(plan, "source_no int, source_key long, source_size long, target double, n_blocks long")
         start = [0] * len(sizes)
         draws = []
         for shard, counts in enumerate(shard_counts(quota, shard_slots, seed)):
@@ -122,7 +127,7 @@ class Mix:
         split = max(1, sum(r.n for r in sums) // split_docs)
         bounded = F.broadcast(self.sources)  # at most MOST_SOURCES rows
         known = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(split)).cast("long"))
-        known = known.join(bounded, known.source.eqNullSafe(bounded.source)).drop(bounded.source)
+        known = known.join(bounded, "source_key")
         by = Window.partitionBy("source_no", "part").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
         parts = known.groupBy("source_no", "part").agg(F.sum("size").alias("words"))
         before = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
