@@ -14,6 +14,7 @@ bucket's size depends on the count of distinct fingerprints, not on how often th
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Callable, Iterator
 
@@ -82,6 +83,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: workers live on, and what one stage needed adds up."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 class Chunk:
     """The documents of one chunk: ids, whether id and text are null, and texts end to end."""
 
@@ -228,6 +239,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: bool = False
             n_words = int(np.count_nonzero(inside[1:] & ~inside[:-1]) + inside[:1].sum()) + len(c)
             yield pa.RecordBatch.from_pydict({"chunk": [k], "payload": [c.pack()], "rest": pa.array([rest], type=pa.binary()), "n_docs": [len(c)], "n_bytes": [len(c.data)], "n_words": [n_words]})
             k += 1
+            trim()
 
     scratch.ship(docs.sparkSession)
     others = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns) if c != "text"] if carry else []
@@ -261,9 +273,11 @@ def exchange(chunks: DataFrame, send: Callable, answer: Callable) -> DataFrame:
                 sent = list(send(Chunk.unpack(payload.as_py())))
                 if sent:
                     yield pa.RecordBatch.from_pydict({"chunk": [k] * len(sent), "bucket": [int(b) for b, _ in sent], "part": [x for _, x in sent]})
+                trim()
 
     def back(group: pd.DataFrame) -> pd.DataFrame:
         got = answer(list(group["part"]))
+        trim()
         keep = [i for i, x in enumerate(got) if x is not None]
         return pd.DataFrame({"chunk": group["chunk"].to_numpy()[keep], "bucket": group["bucket"].to_numpy()[keep], "answer": [got[i] for i in keep]}, columns=["chunk", "bucket", "answer"])
 
@@ -284,6 +298,7 @@ def with_answers(chunks: DataFrame, answers: DataFrame, make: Callable, schema:
             chunk = Chunk.unpack(payload)
             chunk.number = number
             done.append(make(chunk, replies))
+            trim()
         return pd.concat(done, ignore_index=True) if len(done) != 1 else done[0]
 
     left = chunks.select("chunk", "payload").groupBy("chunk")
@@ -308,6 +323,7 @@ def rewrite(chunks: DataFrame, facts: DataFrame, decide: Callable, docs: DataFra
             columns = pa.ipc.open_stream(rest).read_all().take(pa.array(stay, type=pa.int64())).columns
             columns.insert(at, pa.chunked_array([pa.array(texts, type=pa.string())]))
             out.append(pa.Table.from_arrays(columns, names=schema.names))
+            trim()
         return pa.concat_tables(out)
 
     left = chunks.select("chunk", "payload", "rest").groupBy("chunk")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import scratch
-from quillgraph.llm.chunks import from_batch
+from quillgraph.llm.chunks import from_batch, trim
 
 #: The items are held on the driver and sent to all tasks; beyond this many bytes that is refused.
 MOST_ITEM_BYTES = 64 << 20
@@ -240,6 +240,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, coverage: float =
                     texts[k] = _without(raw, spans)
             if strip:
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, type=batch.schema.field(at).type))
+            trim()
             yield batch.filter(pa.array(stay, type=pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

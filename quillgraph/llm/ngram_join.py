@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import scratch
-from quillgraph.llm.chunks import _ROOTS, U64, Chunk, bucket_of, buckets_for, chunked, exchange, mix, rewrite, rolling, windows, with_answers
+from quillgraph.llm.chunks import _ROOTS, U64, Chunk, bucket_of, buckets_for, chunked, exchange, mix, rewrite, rolling, trim, windows, with_answers
 from quillgraph.llm.components import components
 from quillgraph.llm.substring_dedup import cuts
 
@@ -158,6 +158,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 linked.append(100 * common >= percent * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(linked, type=pa.bool_()))
+            trim()
 
     return met.select("a", "b", "hashes_a", "hashes_b").mapInArrow(check, "a binary, b binary")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import scratch
-from quillgraph.llm.chunks import Chunk, from_batch
+from quillgraph.llm.chunks import Chunk, from_batch, trim
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE = 16, 4
@@ -181,6 +181,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = batch_scores(sent.value, from_batch(batch))
+            trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -211,7 +212,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", thresh
         for batch in batches:
             ids = pa.array(np.zeros(batch.num_rows, dtype=np.int64))
             texts = pa.RecordBatch.from_arrays([ids, batch.column(at)], names=["doc_id", "text"])
-            yield batch.filter(pa.array(batch_scores(sent.value, from_batch(texts)) >= threshold))
+            good = batch_scores(sent.value, from_batch(texts)) >= threshold
+            trim()
+            yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
 

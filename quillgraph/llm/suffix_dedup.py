@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import scratch
-from quillgraph.llm.chunks import _BYTES, _ROOTS, U64, Chunk, bucket_of, buckets_for, chunked, exchange, mix, powers, rewrite, with_answers
+from quillgraph.llm.chunks import _BYTES, _ROOTS, U64, Chunk, bucket_of, buckets_for, chunked, exchange, mix, powers, rewrite, trim, with_answers
 
 GRAM = 64
 SHARD_BYTES = 1 << 19
@@ -465,10 +465,12 @@ def _compared(docs: DataFrame, length: int, chunk_bytes: int, carry: bool):
             _, other = _read(blocks, replies, n_meet)
             for b, lo, hi in _cuts(bucket_of(blocks.unique[other], n_text)):
                 rows.append((k, b, _send_texts(blocks, other[lo:hi])))
+            trim()
         return pd.DataFrame(rows, columns=["chunk", "bucket", "part"])
 
     def back(group: pd.DataFrame) -> pd.DataFrame:
         got = _compare(list(group["part"]), length)
+        trim()
         keep = [i for i, x in enumerate(got) if x is not None]
         return pd.DataFrame({"chunk": group["chunk"].to_numpy()[keep], "bucket": group["bucket"].to_numpy()[keep], "answer": [got[i] for i in keep]}, columns=["chunk", "bucket", "answer"])
 
