@@ -6,12 +6,16 @@ goes to the language with the lowest cross-entropy per character; a temperature
 bounded sample of labelled rows turns the entropies into a probability, below which texts can be
 rejected.
 
-Counts are taken from every learned text, in the tasks that read it, and summed by n-gram; only
-the most frequent ``most_grams`` of each language come to the driver.
+Counts are taken from every learned text, in the tasks that read it, and summed by n-gram, and all
+of them make the models. Models are cut into shards by the two symbols in the middle of a 4-gram:
+the gram, its context and what it backs off to of order 3 stand in one shard, so a shard answers
+for its grams as the whole model would. Orders 1 and 2 are as small as the alphabet and go with
+every shard. The driver and the tasks hold one shard at a time, however many there are.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -22,11 +26,13 @@ from pyspark.sql import functions as F
 from quillgraph.llm import scratch
 
 ORDER = 4
-#: n-grams of a language that the model keeps, and labelled rows that the temperature is fitted on.
-MOST_GRAMS = 200_000
+#: n-grams of a shard, all languages together, and labelled rows that the temperature is fitted on.
+SHARD_GRAMS = 2_000_000
 CALIBRATION_ROWS = 2_000
 #: Languages are models on the driver and in every task.
 MOST_LANGUAGES = 1_000
+#: Symbols of texts that a task judges with a shard before it takes the next.
+SLICE = 4_000_000
 
 
 @lru_cache(maxsize=1)
@@ -55,26 +61,38 @@ def grams(s: np.ndarray) -> np.ndarray:
     return s[:m] << 24 | s[1 : m + 1] << 16 | s[2 : m + 2] << 8 | s[3 : m + 3]
 
 
+def middle(codes: np.ndarray) -> np.ndarray:
+    """The two symbols in the middle of each 4-gram."""
+    return codes >> np.uint32(8) & np.uint32(0xFFFF)
+
+
+def discount(ones: int, twos: int) -> float:
+    """From how many n-grams of an order were counted once and twice."""
+    return min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+
 class Model:
-    """One language: for each order, sorted codes with their probability, and contexts with their weight."""
+    """One language: for each order, sorted codes with their probability, and contexts with their weight.
+
+    With the tables of the orders below (``lower``) and the discounts of those above, by order, it
+    is made of a shard's codes only.
+    """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(codes)
-        codes, counts = codes[order].astype(np.uint32), counts[order].astype(np.float64)
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int = ORDER, lower: tuple = (), discounts: dict[int, float] | None = None):
+        by_code = np.argsort(codes)
+        codes, counts = codes[by_code].astype(np.uint32), counts[by_code].astype(np.float64)
         levels = [(codes, counts)]
-        for _ in range(ORDER - 1):  # how many different symbols stand before each shorter gram
-            shorter = levels[-1][0] & np.uint32((1 << 8 * (ORDER - len(levels))) - 1)
-            u, n = np.unique(shorter, return_counts=True)
+        for k in range(order - 1, len(lower), -1):  # how many different symbols stand before each shorter gram
+            u, n = np.unique(levels[-1][0] & np.uint32((1 << 8 * k) - 1), return_counts=True)
             levels.append((u, n.astype(np.float64)))
-        self.tables = []  # from order 1 up: codes, probabilities, context codes, context weights
-        for k, (u, n) in enumerate(reversed(levels), 1):
-            ones, twos = np.count_nonzero(n == 1), np.count_nonzero(n == 2)
-            discount = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        self.tables = list(lower)  # from order 1 up: codes, probabilities, context codes, context weights
+        for k, (u, n) in enumerate(reversed(levels), len(lower) + 1):
+            off = discounts[k] if discounts else discount(np.count_nonzero(n == 1), np.count_nonzero(n == 2))
             contexts, at = np.unique(u >> np.uint32(8), return_inverse=True)
             total, kinds = np.bincount(at, weights=n), np.bincount(at)
-            weight = discount * kinds / total
+            weight = off * kinds / total
             below = self.probability(u & np.uint32((1 << 8 * (k - 1)) - 1), k - 1)
-            p = np.maximum(n - discount, 0) / total[at] + weight[at] * below
+            p = np.maximum(n - off, 0) / total[at] + weight[at] * below
             self.tables.append((u, p, contexts, weight))
 
     def probability(self, codes: np.ndarray, k: int = ORDER) -> np.ndarray:
@@ -82,6 +100,8 @@ class Model:
         if k == 0:
             return np.full(len(codes), 1 / 256)
         u, p, contexts, weight = self.tables[k - 1]
+        if not len(u):  # nothing of this language in the shard
+            return self.probability(codes & np.uint32((1 << 8 * (k - 1)) - 1), k - 1)
         at = np.minimum(np.searchsorted(u, codes), len(u) - 1)
         known = u[at] == codes
         out = p[at]
@@ -95,24 +115,72 @@ class Model:
 
 
 class Identifier:
-    def __init__(self, models: dict[str, Model], scale: float = 1.0):
-        self.names, self.models, self.scale = sorted(models), models, scale
-
-    def entropies(self, text: str | None) -> tuple[np.ndarray, int] | None:
-        """Nats per symbol under each model and the number of symbols; None without a letter."""
-        s = symbols(text or "")
-        if not self.names or not s.any():
-            return None
-        codes, counts = np.unique(grams(s), return_counts=True)
-        return np.array([-(np.log(self.models[x].probability(codes)) @ counts) / counts.sum() for x in self.names]), int(counts.sum())
-
-    def predict(self, text: str | None, reject_below: float = 0.0) -> tuple[str, float]:
-        found = self.entropies(text)
-        if found is None:
-            return "und", 0.0
-        best = int(np.argmin(found[0]))
-        p = confidence(found[0], found[1], self.scale)[best]
-        return ("und" if p < reject_below else self.names[best]), float(p)
+    """Models of the languages ``names`` in shards, of which one is held at a time.
+
+    ``shards`` and ``base`` are broadcast: by language, a shard's tables of orders 3 and 4, and those
+    of orders 1 and 2. Shard i has the grams whose middle is at least ``starts[i]``.
+    """
+
+    def __init__(self, names: list[str], starts: np.ndarray, shards: list, base, scale: float = 1.0):
+        self.names, self.starts, self.shards, self.base, self.scale = names, starts, shards, base, scale
+        self._at, self._held = -1, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_at": -1, "_held": None}
+
+    def _models(self, i: int) -> list[Model]:
+        if i != self._at:
+            self._held = None  # free before the next is loaded
+            upper, models = self.shards[i].load_from_path(self.shards[i]._path), []
+            for x in self.names:
+                m = Model.__new__(Model)
+                m.tables = [*self.base.value[x], *upper[x]]
+                models.append(m)
+            self._at, self._held = i, models
+        return self._held
+
+    def entropies(self, texts: list[str | None]) -> list[tuple[np.ndarray, int] | None]:
+        """Nats per symbol under each model and the number of symbols, by text; None without a letter."""
+        found = []
+        for text in texts if self.names else []:
+            s = symbols(text or "")
+            found.append(np.unique(grams(s), return_counts=True) if s.any() else None)
+        sums = np.zeros((len(texts), len(self.names)))
+        for i in range(len(self.shards)):
+            for row, x in enumerate(found):
+                if x is None:
+                    continue
+                codes, counts = x
+                if len(self.shards) > 1:
+                    mine = np.searchsorted(self.starts, middle(codes), side="right") - 1 == i
+                    if not mine.any():
+                        continue
+                    codes, counts = codes[mine], counts[mine]
+                sums[row] -= [np.log(m.probability(codes)) @ counts for m in self._models(i)]
+        return [None if x is None else (sums[row] / x[1].sum(), int(x[1].sum())) for row, x in enumerate(found)] or [None] * len(texts)
+
+    def predict(self, texts: list[str | None], reject_below: float = 0.0) -> list[tuple[str, float]]:
+        out = []
+        for found in self.entropies(texts):
+            if found is None:
+                out.append(("und", 0.0))
+                continue
+            best = int(np.argmin(found[0]))
+            p = confidence(found[0], found[1], self.scale)[best]
+            out.append((("und" if p < reject_below else self.names[best]), float(p)))
+        return out
+
+
+def slices(texts: list[str | None], most: int = SLICE):
+    """(start, end) of runs of texts of about ``most`` characters, one text at the least."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        if held and held + len(text or "") > most:
+            yield start, i
+            start, held = i, 0
+        held += len(text or "")
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def confidence(entropy: np.ndarray, n: int, scale: float) -> np.ndarray:
@@ -144,38 +212,75 @@ def _counted(learn: DataFrame) -> DataFrame:
     return learn.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def train(learn: DataFrame, most_grams: int = MOST_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
+def _starts(counts: DataFrame, shard_grams: int) -> np.ndarray:
+    """Where shards of about ``shard_grams`` start; a middle has at most 65,536 grams of a language."""
+    got = counts.groupBy("middle").count().orderBy("middle").collect()  # at most 65,536 rows
+    starts, held = [0], 0
+    for r in got:
+        if held and held + r["count"] > shard_grams:
+            starts.append(r.middle)
+            held = 0
+        held += r["count"]
+    return np.array(starts)
+
+
+def _by_language(df: DataFrame, *columns: str) -> dict[str, list[np.ndarray]]:
+    got = df.select("lang", *columns).toArrow()
+    lang = got.column("lang").combine_chunks().dictionary_encode()
+    at, values = lang.indices.to_numpy(), [got.column(c).to_numpy() for c in columns]
+    return {name: [v[at == i] for v in values] for i, name in enumerate(lang.dictionary.to_pylist())}
+
+
+def train(learn: DataFrame, shard_grams: int = SHARD_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
     """Models from the columns lang and text of ``learn``; rows with a null in either are left out."""
+    sc = learn.sparkSession.sparkContext
     learn = learn.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = scratch.table(_counted(learn), "grams")
-    # a language keeps the grams from a count on at which they are few enough
-    shape: dict[str, list[tuple[int, int]]] = {}
-    for r in counts.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).count().collect():
-        shape.setdefault(r.lang, []).append((r.n, r["count"]))
-    if len(shape) > MOST_LANGUAGES:
+    counted = _counted(learn).withColumn("middle", F.shiftright("code", 8).bitwiseAND(0xFFFF))
+    counts = scratch.table(counted.sortWithinPartitions("middle"), "grams")  # sorted, so that a shard reads few pages
+    once = [F.count_if(F.col("n") == i).alias(x) for i, x in ((1, "ones"), (2, "twos"))]
+    most = {r.lang: discount(r.ones, r.twos) for r in counts.groupBy("lang").agg(*once).collect()}
+    if len(most) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    least = {}
-    for lang, steps in shape.items():
-        kept = 0
-        for n, many in sorted(steps, reverse=True):
-            kept += many
-            if kept > most_grams and lang in least:
-                break
-            least[lang] = n
-    models = {}
-    for lang, n in least.items():
-        got = counts.where((F.col("lang") == F.lit(lang)) & (F.col("n") >= n)).select("code", "n").toArrow()
-        models[lang] = Model(got.column(0).to_numpy(), got.column(1).to_numpy())
-    out = Identifier(models)
-    if len(models) > 1:
-        rows = learn.select("lang", F.substring("text", 1, 2000).alias("text")).orderBy(F.xxhash64("text")).limit(calibration_rows).toArrow()
-        seen = [(out.names.index(lang), found) for lang, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True) if (found := out.entropies(text)) is not None]
-        scales = 2.0 ** np.arange(-6, 4)
-        loss = [sum(-np.log(max(1e-9, confidence(e, n, s)[k])) for k, (e, n) in seen) for s in scales]
-        out.scale = float(scales[int(np.argmin(loss))])
+    names = sorted(most)
+    threes = scratch.table(counts.groupBy("lang", F.col("code").bitwiseAND(0xFFFFFF).alias("code")).agg(F.count("*").alias("n")), "threes")
+    less = {r.lang: discount(r.ones, r.twos) for r in threes.groupBy("lang").agg(*once).collect()}
+    twos = _by_language(threes.groupBy("lang", F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.count("*").alias("n")), "code", "n")
+    base = {x: Model(*twos[x], order=2).tables for x in names}
+    starts, shards = _starts(counts, shard_grams), []
+    none = [np.zeros(0, dtype=np.int64)] * 2
+    for low, high in zip(starts, [*starts[1:], 1 << 16], strict=True) if names else ():
+        got = _by_language(counts.where(F.col("middle").between(int(low), int(high) - 1)), "code", "n")
+        shards.append(sc.broadcast({x: Model(*got.get(x, none), lower=base[x], discounts={3: less[x], 4: most[x]}).tables[2:] for x in names}))
+    out = Identifier(names, starts, shards, sc.broadcast(base))
+    if len(names) > 1:
+        out.scale = _scale(learn, out, calibration_rows)
     return out
 
 
+def _scale(learn: DataFrame, model: Identifier, rows: int) -> float:
+    """The temperature with the least loss on whole texts of ``rows`` rows, those whose hash is lowest."""
+    keyed = learn.withColumn("key", F.xxhash64("text"))
+    picked = Counter((r.key, r.lang) for r in keyed.select("key", "lang").orderBy("key", "lang").limit(rows).collect())
+
+    def measure(batches):
+        seen = set()
+        for batch in batches:
+            keys, langs, texts = (batch.column(i).to_pylist() for i in range(3))
+            new = {(k, x): t for k, x, t in zip(keys, langs, texts, strict=True) if (k, x) not in seen}
+            seen |= set(new)
+            for a, b in slices(list(new.values())):
+                mine = list(new)[a:b]
+                found = [(k, x, *f) for (k, x), f in zip(mine, model.entropies([new[m] for m in mine]), strict=True) if f is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2].tolist() for f in found], pa.list_(pa.float64())), pa.array([f[3] for f in found], pa.int64())], names=["key", "lang", "entropy", "n"])
+
+    last = max(k for k, _ in picked)
+    got = keyed.where(F.col("key") <= last).select("key", "lang", "text").mapInArrow(measure, "key long, lang string, entropy array<double>, n long").collect()
+    found = {(r.key, r.lang): (np.array(r.entropy), r.n) for r in got if (r.key, r.lang) in picked}
+    scales = 2.0 ** np.arange(-6, 4)
+    loss = [sum(-np.log(max(1e-9, confidence(*found[x], s)[model.names.index(x[1])])) * picked[x] for x in sorted(found)) for s in scales]
+    return float(scales[int(np.argmin(loss))])
+
+
 def identify(docs: DataFrame, learned, reject_below: float = 0.0, **options) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``docs``.
 
@@ -187,11 +292,12 @@ def identify(docs: DataFrame, learned, reject_below: float = 0.0, **options) ->
     """
     spark = docs.sparkSession
     scratch.ship(spark)
-    sent = spark.sparkContext.broadcast(train(docs.where(learned), **options))
+    model = train(docs.where(learned), **options)
 
     def judge(batches):
         for batch in batches:
-            found = [sent.value.predict(text, reject_below) for text in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [x for a, b in slices(texts) for x in model.predict(texts[a:b], reject_below)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], type=pa.string()), pa.array([p for _, p in found], type=pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -28,6 +28,37 @@ def test_models_are_distributions():
     assert model.probability(every).sum() == pytest.approx(1.0, abs=1e-6)
 
 
+def test_language_models_keep_every_gram(spark):
+    rng = np.random.default_rng(3)
+    # Chinese of 300,000 random letters has more than 200,000 different 4-grams, nearly all of them once
+    rows = [("zh", "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 3000)))) for _ in range(100)]
+    rows += [(x, "".join(rng.choice(list(letters), 3000))) for x, letters in (("en", "etaoin shrdlu"), ("de", "enisra tdhulc")) for _ in range(20)]
+    rows += [("en", "enisra " * 400 + "etaoin shrdlu " * 300)] * 3  # the first 2,000 letters are like de
+    learn = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    whole = {}
+    for lang in ("de", "en", "zh"):
+        codes, n = np.unique(np.concatenate([langid.grams(langid.symbols(t)) for x, t in rows if x == lang]), return_counts=True)
+        whole[lang] = langid.Model(codes, n)
+    assert len(whole["zh"].tables[3][0]) > 200_000
+
+    def entropy(text):
+        codes, n = np.unique(langid.grams(langid.symbols(text)), return_counts=True)
+        return np.array([-(np.log(m.probability(codes)) @ n) / n.sum() for m in whole.values()]), int(n.sum())
+
+    seen = [(list(whole).index(x), *entropy(t)) for x, t in rows]
+    scales = 2.0 ** np.arange(-6, 4)
+    best = scales[np.argmin([sum(-np.log(max(1e-9, langid.confidence(e, n, s)[k])) for k, e, n in seen) for s in scales])]
+    texts = [rows[0][1], rows[105][1], rows[-1][1][:50], "the of and", rows[3][1][::-1], None, "12"]
+    for options in ({}, {"shard_grams": 50_000}):
+        model = langid.train(learn, **options)
+        assert len(model.shards) > 4 if options else len(model.shards) == 1
+        assert model.scale == best
+        found = model.entropies(texts)
+        assert found[5:] == [None, None]
+        for text, (e, n) in zip(texts[:5], found, strict=False):
+            assert n == entropy(text)[1] and e == pytest.approx(entropy(text)[0], rel=1e-12)
+
+
 def test_language_edges(spark, nothing):
     docs = spark.createDataFrame([(1, "der die das", "de"), (2, "the of and", "en"), (3, None, "en"), (4, "123 ... !", "de"), (None, "the the", None), (1, "", "de")], "doc_id long, text string, lang string")
     found = {(r.doc_id, r.lang_pred) for r in langid.identify(docs, F.col("doc_id") <= 2).collect()}
