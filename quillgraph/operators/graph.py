@@ -124,15 +124,6 @@ def build(c) -> DataFrame:
     return dedupe(out)
 
 
-def light(c) -> DataFrame:
-    """Citation and entity edges only, merged: what the ranking queries run on."""
-    out = citation_edges(c.citations, c.works_base)
-    out = out.unionByName(entity_edges(c.work_authors, c.authors, "author_id", "author", "authored_by", "wrote"))
-    out = out.unionByName(topic_edges(c.work_topics, c.topics))
-    out = out.unionByName(entity_edges(c.work_venues, c.venues, "venue_id", "venue", "published_in", "publishes"))
-    return dedupe(out.unionByName(entity_edges(c.work_institutions, c.institutions, "institution_id", "institution", "affiliated", "hosts")))
-
-
 def view(edges: DataFrame, context: str) -> DataFrame:
     """The edges of a context: paper edges always, entity edges of the context; "" has all."""
     if context == "":

@@ -27,12 +27,12 @@ def _round(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
 
 
 class _Setting:
-    """A corpus with its light graph, written once, and the trust list of the examples."""
+    """A corpus with its whole graph, written once, and the trust list of the examples."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.c = testdata.read(spark, sf_dir)
         self.works = cut(self.c.works, "works")
-        self.edges = cut(graph.light(self.c), "edges")
+        self.edges = cut(graph.build(self.c), "edges")
         self.trust = cut(testdata.trust_set(self.works), "trust")
 
     def positive(self) -> DataFrame:
@@ -93,7 +93,7 @@ def edges_citation(spark, sf_dir):
 
 def edges_entity(spark, sf_dir):
     c = testdata.read(spark, sf_dir)
-    return _round(graph.light(c).where(F.col("context").isin(*ENTITY_CONTEXTS)), "weight")
+    return _round(graph.build(c).where(F.col("context").isin(*ENTITY_CONTEXTS)), "weight")
 
 
 def coupling_topk(spark, sf_dir):
@@ -112,14 +112,14 @@ def edges_dedup(spark, sf_dir):
 
 
 def node_kinds(spark, sf_dir):
-    return traverse.kind_counts(graph.light(testdata.read(spark, sf_dir)))
+    return traverse.kind_counts(graph.build(testdata.read(spark, sf_dir)))
 
 
 # --- scores -------------------------------------------------------------------------------
 
 
 def transition(spark, sf_dir):
-    return _round(score.transition(graph.light(testdata.read(spark, sf_dir))), "p")
+    return _round(score.transition(graph.build(testdata.read(spark, sf_dir))), "p")
 
 
 def return_diagonal(spark, sf_dir):
