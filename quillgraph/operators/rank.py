@@ -150,16 +150,20 @@ def concentration(rows: DataFrame, dimension: str, category: str, each: int = 4,
     return top.orderBy(F.desc("share"), dimension, category).limit(most).select(dimension, category, "n", "share", "place")
 
 
-def moves(before: DataFrame, after: DataFrame, limit: int = 100) -> DataFrame:
+def moves(before: DataFrame, after: DataFrame, limit: int = 100, beyond_both: bool = False) -> DataFrame:
     """(node, rank_before, rank_after, delta_rank, delta_score): the largest moves, up being positive.
 
-    Both are (node, rank, score); a node missing on one side stands just past that side's end.
+    Both are (node, rank, score) and full rankings. A node missing on one side stands just past
+    that side's end, or with ``beyond_both`` just past the ends of both laid end to end.
     """
     ends = before.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("end_before")).crossJoin(F.broadcast(after.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("end_after"))))  # one row each
     a = before.select("node", F.col("rank").alias("rank_before"), F.col("score").alias("score_before"))
     b = after.select("node", F.col("rank").alias("rank_after"), F.col("score").alias("score_after"))
     both = a.join(b, "node", "full").crossJoin(F.broadcast(ends))
-    was, now = F.coalesce("rank_before", F.col("end_before") + 1), F.coalesce("rank_after", F.col("end_after") + 1)
+    past_before, past_after = (F.col(x) + 1 for x in ("end_before", "end_after"))
+    if beyond_both:
+        past_before = past_after = F.col("end_before") + F.col("end_after") + 1
+    was, now = F.coalesce("rank_before", past_before), F.coalesce("rank_after", past_after)
     change = F.coalesce("score_after", F.lit(0.0)) - F.coalesce("score_before", F.lit(0.0))
     out = both.select("node", was.alias("rank_before"), now.alias("rank_after"), (was - now).alias("delta_rank"), F.round(change, 9).alias("delta_score")).where("delta_rank != 0 or delta_score != 0")
     return out.orderBy(F.desc(F.abs("delta_rank")), F.desc(F.abs("delta_score")), "node").limit(limit)

@@ -280,11 +280,10 @@ def simulate_moves(spark, sf_dir):
     s = _Setting(spark, sf_dir)
     p = s.transition()
     back = cut(score.return_diagonal(p), "return")
-    before = s.ranking().select("node", "rank", "score")
     less = s.trust.where("pos <= 5")
-    after = resample.ranked(rank.visible(_round(score.signed(p, rank.seed_weights(less), [], back=back), "score", digits=12), s.works, s.trust), "score").where("rank <= 50")
-    before = resample.ranked(_round(before.drop("rank"), "score", digits=12), "score").where("rank <= 50")
-    return rank.moves(before, after)
+    after = resample.ranked(rank.visible(_round(score.signed(p, rank.seed_weights(less), [], back=back), "score", digits=12), s.works, s.trust), "score")
+    before = resample.ranked(_round(s.ranking().select("node", "score"), "score", digits=12), "score")
+    return rank.moves(before, after, beyond_both=True)
 
 
 def _observations(spark, sf_dir) -> DataFrame:
