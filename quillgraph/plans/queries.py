@@ -48,9 +48,9 @@ class _Setting:
         return cut(resample.ranked(rank.visible(found, self.works, self.trust), "score"), "ranking")
 
     def merit(self) -> DataFrame:
-        """(node, score): closeness to the most cited papers."""
+        """(node, score): closeness to the 200 most cited papers."""
         p = self.transition()
-        found = score.signed(p, rank.global_seeds(self.works, 20), [], back=cut(score.return_diagonal(p), "return"))
+        found = score.signed(p, rank.global_seeds(self.works), [], back=cut(score.return_diagonal(p), "return"))
         return cut(found.join(self.works.select(F.col("id").alias("node")), "node", "left_semi"), "merit")
 
 

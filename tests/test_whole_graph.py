@@ -47,3 +47,10 @@ def test_the_setting_has_similarity_edges(spark):
 @pytest.mark.parametrize("name", ["transition", "propagate_signed", "explain_paths"])
 def test_whole_graph(spark, name):
     same(queries.QUERIES[name](spark, SF).collect(), answer(whole(oracles.ORACLES[name])))
+
+
+@pytest.mark.parametrize("name", ["blindspots", "recommendations"])
+def test_merit_from_200_seeds(spark, name):
+    sql = oracles.ORACLES[name]
+    assert sql.count("in_corpus_cited_by DESC, id LIMIT 20)") == 1
+    same(queries.QUERIES[name](spark, SF).collect(), answer(whole(sql.replace("in_corpus_cited_by DESC, id LIMIT 20)", "in_corpus_cited_by DESC, id LIMIT 200)"))))
