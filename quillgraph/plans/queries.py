@@ -324,8 +324,7 @@ def subgraph(spark, sf_dir):
 
 def _search(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("body"))
-    words = F.slice(search.tokens(F.col("text")), 1, 3)
-    queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(words).alias("term"))
+    queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(search.tokens(F.col("text"))).alias("term"))
     return search.postings(docs), queries
 
 
@@ -335,8 +334,8 @@ def text_rank(spark, sf_dir):
 
 def rrf_fuse(spark, sf_dir):
     found = _round(search.text_rank(*_search(spark, sf_dir)), "rank").withColumn("cited", F.col("id") % 17)
-    merit = _read(spark, sf_dir, "documents").where("lang != 'es'").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 97).cast("double").alias("score"))
-    return search.rrf(found, merit, limit=100)
+    merit = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 97).cast("double").alias("score"))
+    return search.rrf(found, merit)
 
 
 def _titles(spark, sf_dir) -> DataFrame:
