@@ -57,18 +57,26 @@ def _top_neighbours(pairs: DataFrame, relation: str, k: int) -> DataFrame:
 
     Weights are rounded to 12 digits first, so that equal fractions tie however they were formed.
     """
-    pairs = pairs.withColumn("weight", F.round("weight", 12))
-    both = pairs.select("a", "b", "weight").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    weight = F.round("weight", 12).alias("weight")
+    # each pair both ways from one row, so that the pairs are made once
+    ways = F.array(F.struct(F.col("a"), F.col("b"), weight), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), weight))
+    both = pairs.select(F.explode(ways).alias("way")).select("way.*")
     w = Window.partitionBy("a").orderBy(F.desc("weight"), F.desc("b"))
     kept = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return _edges(kept, F.col("a"), F.col("b"), F.col("weight"), BASELINE, relation)
 
 
 def _pairs(links: DataFrame, key: str, member: str) -> DataFrame:
-    """(a, b, n): members a < b that share n keys. Keys are capped before this, so no group is a hub."""
-    left = links.select(F.col(key).alias("k"), F.col(member).alias("a"))
-    right = links.select(F.col(key).alias("k"), F.col(member).alias("b"))
-    return left.join(right, "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """(a, b, n): members a < b that share n keys. Keys are capped before this, so no group is a hub.
+
+    Links are dealt by key over a stated number of partitions: they are few bytes, but the pairs
+    that come of them are many, so partitions must not be merged by the size of the links.
+    """
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = links.repartition(parts, key).groupBy(key).agg(F.sort_array(F.collect_list(member)).alias("members"))
+    first = groups.select("members", F.posexplode("members").alias("at", "a"))
+    each = first.select("a", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("b"))
+    return each.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def coupling(citations: DataFrame, cap: int = HUB_CAP, least: int = LEAST_SHARED, k: int = NEIGHBOURS) -> DataFrame:
@@ -107,21 +115,28 @@ def dedupe(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "context").agg(best).select("src", "dst", "best.weight", "context", "best.relation")
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def entity_families(c) -> DataFrame:
+    """Author, topic, venue and institution edges of a corpus, each way."""
+    return _union(
+        [
+            entity_edges(c.work_authors, c.authors, "author_id", "author", "authored_by", "wrote"),
+            topic_edges(c.work_topics, c.topics),
+            entity_edges(c.work_venues, c.venues, "venue_id", "venue", "published_in", "publishes"),
+            entity_edges(c.work_institutions, c.institutions, "institution_id", "institution", "affiliated", "hosts"),
+        ]
+    )
+
+
 def build(c) -> DataFrame:
     """All families of a corpus, merged."""
-    families = [
-        citation_edges(c.citations, c.works_base),
-        entity_edges(c.work_authors, c.authors, "author_id", "author", "authored_by", "wrote"),
-        topic_edges(c.work_topics, c.topics),
-        entity_edges(c.work_venues, c.venues, "venue_id", "venue", "published_in", "publishes"),
-        entity_edges(c.work_institutions, c.institutions, "institution_id", "institution", "affiliated", "hosts"),
-        coupling(c.citations),
-        cocitation(c.citations),
-    ]
-    out = families[0]
-    for f in families[1:]:
-        out = out.unionByName(f)
-    return dedupe(out)
+    return dedupe(_union([citation_edges(c.citations, c.works_base), entity_families(c), coupling(c.citations), cocitation(c.citations)]))
 
 
 def view(edges: DataFrame, context: str) -> DataFrame:

@@ -57,10 +57,33 @@ entity AS MATERIALIZED (
 )
 """
 
-EDGES = f"""{CORPUS}, {AGED}, {ENTITY},
+COUPLED = """
+deg AS (SELECT dst_id, count(*) AS n FROM cit GROUP BY 1),
+kept AS MATERIALIZED (SELECT c.* FROM cit c JOIN deg USING (dst_id) WHERE n BETWEEN 2 AND 200),
+cn AS MATERIALIZED (SELECT x.src_id AS a, y.src_id AS b, count(*) AS n FROM kept x JOIN kept y ON x.dst_id = y.dst_id AND x.src_id < y.src_id GROUP BY ALL HAVING count(*) >= 3),
+alln AS (SELECT x.src_id AS a, y.src_id AS b, count(*) AS n FROM cit x JOIN cit y ON x.dst_id = y.dst_id AND x.src_id < y.src_id GROUP BY ALL),
+cp AS MATERIALIZED (
+  SELECT cn.a, cn.b, round(CAST(0.35 AS DOUBLE) * cn.n / (ra.ref_count + rb.ref_count - alln.n), 12) AS weight FROM cn JOIN alln ON alln.a = cn.a AND alln.b = cn.b JOIN works ra ON ra.id = cn.a JOIN works rb ON rb.id = cn.b
+)"""
+COCITED = """
+few AS (SELECT src_id FROM cit GROUP BY 1 HAVING count(*) <= 200),
+ckept AS MATERIALIZED (SELECT * FROM cit WHERE src_id IN (SELECT src_id FROM few)),
+ccn AS MATERIALIZED (SELECT x.dst_id AS a, y.dst_id AS b, count(*) AS n FROM ckept x JOIN ckept y ON x.src_id = y.src_id AND x.dst_id < y.dst_id GROUP BY ALL),
+cc AS MATERIALIZED (SELECT a, b, round(CAST(0.30 AS DOUBLE) * ln(1 + n) / ln(1 + (SELECT max(n) FROM ccn)), 12) AS weight FROM ccn WHERE n >= 3)"""
+COUPLING = f"{CORPUS}, {COUPLED}"
+NEAREST = f"""{COUPLED}, {COCITED},
+e1 AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b DESC) AS i FROM (SELECT a, b, weight FROM cp UNION ALL SELECT b, a, weight FROM cp)),
+e2 AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b DESC) AS i FROM (SELECT a, b, weight FROM cc UNION ALL SELECT b, a, weight FROM cc)),
+similar_edges AS MATERIALIZED (
+  SELECT a AS src, b AS dst, weight, 'citation' AS context, 'couples' AS relation, 4 AS place FROM e1 WHERE i <= 15
+  UNION ALL SELECT a, b, weight, 'citation', 'co_cited', 5 FROM e2 WHERE i <= 15
+)
+"""
+
+EDGES = f"""{CORPUS}, {AGED}, {ENTITY}, {NEAREST},
 edges AS MATERIALIZED (
   SELECT src, dst, max(weight) AS weight, context, arg_max(relation, (weight, -place)) AS relation
-  FROM (SELECT * FROM cites UNION ALL SELECT * FROM entity) GROUP BY src, dst, context
+  FROM (SELECT * FROM cites UNION ALL SELECT * FROM entity UNION ALL SELECT * FROM similar_edges) GROUP BY src, dst, context
 ),
 trust AS MATERIALIZED (
   SELECT id AS work_id, CAST((pos - 1) % 5 + 1 AS INTEGER) AS strength, pos, [0.2, 0.45, 0.7, 1.0, 1.4][CAST((pos - 1) % 5 + 1 AS INTEGER)] AS weight
@@ -110,7 +133,7 @@ SHOWN = "NOT is_stub AND id NOT IN (SELECT work_id FROM trust)"
 RANKING = f"""{EDGES}, {P}, {SEEDS}, {signed("sg", "seeds")},
 ranking AS MATERIALIZED (SELECT node, round(score, 12) AS score FROM sg JOIN works ON id = node WHERE {SHOWN})"""
 MERIT = f"""
-gseeds AS MATERIALIZED (SELECT id AS node, 1.0 AS weight FROM works WHERE NOT is_stub ORDER BY in_corpus_cited_by DESC, id LIMIT 20),
+gseeds AS MATERIALIZED (SELECT id AS node, 1.0 AS weight FROM works WHERE NOT is_stub ORDER BY in_corpus_cited_by DESC, id LIMIT 200),
 {signed("gm", "gseeds")},
 merit AS MATERIALIZED (SELECT node, round(score, 12) AS score FROM gm JOIN works ON id = node)"""
 
@@ -144,27 +167,13 @@ def _neighbours(pairs: str, relation: str) -> str:
 FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b DESC) AS i FROM (SELECT a, b, weight FROM {pairs} UNION ALL SELECT b, a, weight FROM {pairs})) WHERE i <= 15"""
 
 
-COUPLING = f"""{CORPUS},
-deg AS (SELECT dst_id, count(*) AS n FROM cit GROUP BY 1),
-kept AS MATERIALIZED (SELECT c.* FROM cit c JOIN deg USING (dst_id) WHERE n BETWEEN 2 AND 200),
-cn AS MATERIALIZED (SELECT x.src_id AS a, y.src_id AS b, count(*) AS n FROM kept x JOIN kept y ON x.dst_id = y.dst_id AND x.src_id < y.src_id GROUP BY ALL HAVING count(*) >= 3),
-alln AS (SELECT x.src_id AS a, y.src_id AS b, count(*) AS n FROM cit x JOIN cit y ON x.dst_id = y.dst_id AND x.src_id < y.src_id GROUP BY ALL),
-cp AS MATERIALIZED (
-  SELECT cn.a, cn.b, round(CAST(0.35 AS DOUBLE) * cn.n / (ra.ref_count + rb.ref_count - alln.n), 12) AS weight FROM cn JOIN alln ON alln.a = cn.a AND alln.b = cn.b JOIN works ra ON ra.id = cn.a JOIN works rb ON rb.id = cn.b
-)"""
-COCITED = """
-few AS (SELECT src_id FROM cit GROUP BY 1 HAVING count(*) <= 200),
-ckept AS MATERIALIZED (SELECT * FROM cit WHERE src_id IN (SELECT src_id FROM few)),
-ccn AS MATERIALIZED (SELECT x.dst_id AS a, y.dst_id AS b, count(*) AS n FROM ckept x JOIN ckept y ON x.src_id = y.src_id AND x.dst_id < y.dst_id GROUP BY ALL),
-cc AS MATERIALIZED (SELECT a, b, round(CAST(0.30 AS DOUBLE) * ln(1 + n) / ln(1 + (SELECT max(n) FROM ccn)), 12) AS weight FROM ccn WHERE n >= 3)"""
-
 UNITS = "units AS MATERIALIZED (SELECT work_id, strength, CASE WHEN pos <= 2 THEN 'u:1' WHEN pos = 3 THEN 'u:2' ELSE 'w:' || work_id END AS unit FROM trust)"
 
 TOKENS = """
 stops AS (SELECT ['a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'were', 'with'] AS s),
 dt AS (SELECT doc_id AS id, unnest([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') IF x <> '']) AS term FROM documents),
 tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM dt, stops WHERE NOT list_contains(s, term) GROUP BY ALL),
-q0 AS (SELECT item_id AS query, ([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') IF x <> '' AND NOT list_contains(s, x)])[1:3] AS ws FROM benchmark, stops),
+q0 AS (SELECT item_id AS query, ([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') IF x <> '' AND NOT list_contains(s, x)]) AS ws FROM benchmark, stops),
 q AS MATERIALIZED (SELECT DISTINCT query, unnest(ws) AS term FROM q0),
 hits AS MATERIALIZED (
   SELECT h.query, h.id, round(h.rank, 9) AS rank FROM (SELECT query, id, count(DISTINCT q.term) AS met, sum(0.4 * ln(1 + tf)) AS rank FROM q JOIN tf ON tf.term = q.term GROUP BY ALL) h
@@ -325,10 +334,8 @@ LEFT JOIN (SELECT work_id, string_agg(s_name, ', ' ORDER BY position) AS names F
     "edges_entity": f"WITH {EDGES} SELECT src, dst, round(weight, 9) AS weight, context, relation FROM edges WHERE context <> 'citation'",
     "coupling_topk": f"WITH {COUPLING} {_neighbours('cp', 'couples')}",
     "cocitation_topk": f"WITH {CORPUS}, {COCITED} {_neighbours('cc', 'co_cited')}",
-    "edges_dedup": f"""WITH {COUPLING}, {COCITED}, {AGED},
-e1 AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b DESC) AS i FROM (SELECT a, b, weight FROM cp UNION ALL SELECT b, a, weight FROM cp)),
-e2 AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b DESC) AS i FROM (SELECT a, b, weight FROM cc UNION ALL SELECT b, a, weight FROM cc)),
-fam AS (SELECT src, dst, weight, context, relation, place FROM cites UNION ALL SELECT a, b, weight, 'citation', 'couples', 4 FROM e1 WHERE i <= 15 UNION ALL SELECT a, b, weight, 'citation', 'co_cited', 5 FROM e2 WHERE i <= 15),
+    "edges_dedup": f"""WITH {CORPUS}, {AGED}, {NEAREST},
+fam AS (SELECT * FROM cites UNION ALL SELECT * FROM similar_edges),
 best AS (SELECT src, dst, context, max(weight) AS weight, arg_max(relation, (weight, -place)) AS relation FROM fam GROUP BY 1, 2, 3)
 SELECT context, relation, count(*) AS n, round(sum(weight), 6) AS total FROM best GROUP BY 1, 2""",
     "node_kinds": f"""WITH {EDGES}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)
@@ -342,9 +349,9 @@ SELECT * FROM (SELECT node, round(score, 9) AS score FROM sg) WHERE score <> 0""
 bs AS MATERIALIZED (SELECT node, 1.0 / (SELECT count(*) FROM ns) AS mass FROM ns), {diffuse("x", "bs")} SELECT node, round(score, 12) AS score FROM x JOIN works ON id = node WHERE score > 0""",
     "compose_mean": f"""WITH {CONTEXTS}, {compose("c", "cs", {"author": 2.0, "citation": 1.0, "topic": 1.0, "venue": 1.0, "institution": 1.0})}
 SELECT * FROM (SELECT node, round(score, 9) AS score FROM c) WHERE score <> 0""",
-    "context_breakdown": f"""WITH {CONTEXTS}, cp AS (SELECT cs.* FROM cs JOIN works ON id = node WHERE NOT is_stub),
-grid AS (SELECT n.node, v.context FROM (SELECT DISTINCT node FROM cp) n, (SELECT unnest(['citation', 'author', 'topic', 'venue', 'institution']) AS context) v),
-f AS (SELECT g.node, g.context, coalesce(s.score, 0) AS score, coalesce(b.score, 0) AS base FROM grid g LEFT JOIN cp s ON s.node = g.node AND s.view = g.context LEFT JOIN cp b ON b.node = g.node AND b.view = 'citation'),
+    "context_breakdown": f"""WITH {CONTEXTS}, papers AS (SELECT cs.* FROM cs JOIN works ON id = node WHERE NOT is_stub),
+grid AS (SELECT n.node, v.context FROM (SELECT DISTINCT node FROM papers) n, (SELECT unnest(['citation', 'author', 'topic', 'venue', 'institution']) AS context) v),
+f AS (SELECT g.node, g.context, coalesce(s.score, 0) AS score, coalesce(b.score, 0) AS base FROM grid g LEFT JOIN papers s ON s.node = g.node AND s.view = g.context LEFT JOIN papers b ON b.node = g.node AND b.view = 'citation'),
 m AS (SELECT node, context, score, CASE WHEN context = 'citation' THEN score ELSE score - base END AS marginal FROM f),
 t AS (SELECT *, sum(abs(marginal)) OVER (PARTITION BY node) AS total FROM m)
 SELECT node, context, round(score, 7) AS score, CASE WHEN round(marginal, 7) = 0 THEN 0.0 ELSE round(marginal, 7) END AS marginal, round(CASE WHEN total > 0 THEN abs(marginal) / total ELSE 0 END, 7) AS share FROM t""",
@@ -377,9 +384,10 @@ SELECT * FROM (SELECT row_number() OVER (ORDER BY blend DESC, node) AS rank, nod
 g AS (SELECT gp.node, round(gp - coalesce(tp, 0), 9) AS gap, gp, coalesce(tp, 0) AS tp FROM gp JOIN works ON id = gp.node LEFT JOIN mp ON mp.node = gp.node WHERE {SHOWN})
 SELECT * FROM (SELECT row_number() OVER (ORDER BY gap DESC, node) AS rank, node, gap, round(gp, 9) AS global_pct, round(tp, 9) AS trust_pct FROM g WHERE gap > 0) WHERE rank <= 25""",
     "simulate_moves": f"""WITH {RANKING}, s5 AS MATERIALIZED (SELECT work_id AS node, weight FROM trust WHERE pos <= 5), {signed("s2", "s5")},
-a AS (SELECT * FROM (SELECT node, score, row_number() OVER (ORDER BY score DESC, node) AS rank FROM ranking) WHERE rank <= 50),
-b AS (SELECT * FROM (SELECT node, round(score, 12) AS score, row_number() OVER (ORDER BY round(score, 12) DESC, node) AS rank FROM s2 JOIN works ON id = node WHERE {SHOWN}) WHERE rank <= 50),
-m AS (SELECT coalesce(a.node, b.node) AS node, coalesce(a.rank, 51) AS rank_before, coalesce(b.rank, 51) AS rank_after, round(coalesce(b.score, 0) - coalesce(a.score, 0), 9) AS delta_score FROM a FULL JOIN b ON a.node = b.node)
+a AS (SELECT node, score, row_number() OVER (ORDER BY score DESC, node) AS rank FROM ranking),
+b AS (SELECT node, round(score, 12) AS score, row_number() OVER (ORDER BY round(score, 12) DESC, node) AS rank FROM s2 JOIN works ON id = node WHERE {SHOWN}),
+m AS (SELECT coalesce(a.node, b.node) AS node, coalesce(a.rank, past) AS rank_before, coalesce(b.rank, past) AS rank_after, round(coalesce(b.score, 0) - coalesce(a.score, 0), 9) AS delta_score
+  FROM a FULL JOIN b ON a.node = b.node, (SELECT (SELECT count(*) FROM a) + (SELECT count(*) FROM b) + 1 AS past))
 SELECT node, rank_before, rank_after, rank_before - rank_after AS delta_rank, delta_score FROM m WHERE rank_before <> rank_after OR delta_score <> 0 ORDER BY abs(rank_before - rank_after) DESC, abs(delta_score) DESC, node LIMIT 100""",
     "diversity_entropy": f"""WITH {OBSERVATIONS}, h AS (SELECT dimension, CAST(sum(n) AS BIGINT) AS n_obs, count(*) AS n_categories, -sum(share * ln(share)) AS entropy FROM shares GROUP BY 1),
 w AS (SELECT *, CASE WHEN least(greatest(n_obs, 1), greatest(n_categories, 1)) > 1 THEN ln(least(greatest(n_obs, 1), greatest(n_categories, 1))) ELSE 0 END AS most FROM h)
@@ -392,8 +400,8 @@ SELECT dimension, category, n, share, CAST(place AS INTEGER) AS place FROM r WHE
 WHERE (src IN (SELECT work_id FROM trust) OR dst IN (SELECT work_id FROM trust)) AND substr(src, 1, 1) IN ('C', 'P', 'A', 'V') AND substr(dst, 1, 1) IN ('C', 'P', 'A', 'V')
 ORDER BY weight DESC, src, dst, context, relation LIMIT 150""",
     "text_rank": f"WITH {TOKENS} SELECT query, id, rank FROM hits",
-    "rrf_fuse": f"""WITH {TOKENS}, r AS (SELECT * FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY rank DESC, id % 17 DESC, id) AS text_rank FROM hits) WHERE text_rank <= 100),
-k AS (SELECT r.query, r.id, row_number() OVER (PARTITION BY r.query ORDER BY CAST(d.n_chars % 97 AS DOUBLE) DESC, r.id) AS mr FROM r JOIN documents d ON d.doc_id = r.id AND d.lang <> 'es'),
+    "rrf_fuse": f"""WITH {TOKENS}, r AS (SELECT * FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY rank DESC, id % 17 DESC, id) AS text_rank FROM hits) WHERE text_rank <= 500),
+k AS (SELECT r.query, r.id, row_number() OVER (PARTITION BY r.query ORDER BY CAST(d.n_chars % 97 AS DOUBLE) DESC, r.id) AS mr FROM r JOIN documents d ON d.doc_id = r.id),
 j AS (SELECT r.query, r.id, text_rank, coalesce(mr, count(mr) OVER (PARTITION BY r.query) + 1) AS merit_rank FROM r LEFT JOIN k ON k.query = r.query AND k.id = r.id),
 f AS (SELECT *, 1.0 / (60 + text_rank) + 1.0 / (60 + merit_rank) AS rrf FROM j)
 SELECT query, row_number() OVER (PARTITION BY query ORDER BY rrf DESC, merit_rank, text_rank, id) AS position, id, round(rrf, 12) AS rrf, text_rank, merit_rank FROM f""",

@@ -9,7 +9,6 @@ from quillgraph.functions import text as tx
 from quillgraph.operators import biblio, corpus, evaluate, graph, rank, resample, score, search, traverse
 from quillgraph.plans import layouts
 from quillgraph.plans.lineage import cut
-from quillgraph.schema import ENTITY_CONTEXTS
 from quillgraph.sources import testdata
 
 WALKS, WALK_STEPS = 1000, 4
@@ -30,7 +29,7 @@ class _Setting:
     """A corpus with its whole graph, written once, and the trust list of the examples."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.c = testdata.read(spark, sf_dir)
+        self.c = testdata.read(spark, sf_dir).stored()
         self.works = cut(self.c.works, "works")
         self.edges = cut(graph.build(self.c), "edges")
         self.trust = cut(testdata.trust_set(self.works), "trust")
@@ -92,34 +91,34 @@ def edges_citation(spark, sf_dir):
 
 
 def edges_entity(spark, sf_dir):
-    c = testdata.read(spark, sf_dir)
-    return _round(graph.build(c).where(F.col("context").isin(*ENTITY_CONTEXTS)), "weight")
+    c = testdata.read(spark, sf_dir).stored()
+    return _round(graph.dedupe(graph.entity_families(c)), "weight")
 
 
 def coupling_topk(spark, sf_dir):
-    return _round(graph.coupling(testdata.read(spark, sf_dir).citations), "weight")
+    return _round(graph.coupling(cut(testdata.read(spark, sf_dir).citations, "citations")), "weight")
 
 
 def cocitation_topk(spark, sf_dir):
-    return _round(graph.cocitation(testdata.read(spark, sf_dir).citations), "weight")
+    return _round(graph.cocitation(cut(testdata.read(spark, sf_dir).citations, "citations")), "weight")
 
 
 def edges_dedup(spark, sf_dir):
-    c = testdata.read(spark, sf_dir)
+    c = testdata.read(spark, sf_dir).stored()
     families = graph.citation_edges(c.citations, c.works_base).unionByName(graph.coupling(c.citations)).unionByName(graph.cocitation(c.citations))
     kept = graph.dedupe(families)
     return _round(kept.groupBy("context", "relation").agg(F.count("*").alias("n"), F.sum("weight").alias("total")), "total", digits=6)
 
 
 def node_kinds(spark, sf_dir):
-    return traverse.kind_counts(graph.build(testdata.read(spark, sf_dir)))
+    return traverse.kind_counts(graph.build(testdata.read(spark, sf_dir).stored()))
 
 
 # --- scores -------------------------------------------------------------------------------
 
 
 def transition(spark, sf_dir):
-    return _round(score.transition(graph.build(testdata.read(spark, sf_dir))), "p")
+    return _round(score.transition(graph.build(testdata.read(spark, sf_dir).stored())), "p")
 
 
 def return_diagonal(spark, sf_dir):

@@ -7,13 +7,14 @@ topics (T...), part types are venues (V...), nations are institutions (I...).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators import corpus as derive
+from quillgraph.plans.lineage import cut
 
 
 @dataclass
@@ -28,6 +29,11 @@ class Corpus:
     work_institutions: DataFrame  # work_id, institution_id
     names: DataFrame  # id, display_name of all entities
 
+    def stored(self) -> Corpus:
+        """The same corpus with each frame written once, for plans that read them many times."""
+        names = ("works_base", "citations", "work_authors", "work_topics", "work_institutions")
+        return replace(self, **{name: cut(getattr(self, name), name) for name in names})
+
     @cached_property
     def works(self) -> DataFrame:
         return derive.with_citation_counts(self.works_base, self.citations)

@@ -1,4 +1,4 @@
-"""Queries over the whole graph against their SQL, to which the similarity edges are added here."""
+"""Queries over the whole graph, similarity edges included, against their SQL."""
 
 import duckdb
 import pytest
@@ -6,19 +6,6 @@ import pytest
 from quillgraph.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
-FEW = "FROM (SELECT * FROM cites UNION ALL SELECT * FROM entity) GROUP BY src, dst, context"
-SIMILAR = """e1 AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b DESC) AS i FROM (SELECT a, b, weight FROM cp UNION ALL SELECT b, a, weight FROM cp)),
-e2 AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b DESC) AS i FROM (SELECT a, b, weight FROM cc UNION ALL SELECT b, a, weight FROM cc)),
-"""
-ALL = """FROM (SELECT * FROM cites UNION ALL SELECT * FROM entity
-  UNION ALL SELECT a, b, weight, 'citation', 'couples', 4 FROM e1 WHERE i <= 15 UNION ALL SELECT a, b, weight, 'citation', 'co_cited', 5 FROM e2 WHERE i <= 15) GROUP BY src, dst, context"""
-
-
-def whole(sql):
-    """The SQL with couples and co_cited among its edges."""
-    assert sql.count(FEW) == 1 and sql.count("edges AS MATERIALIZED (") == 1
-    pairs = oracles.COUPLING.removeprefix(oracles.CORPUS).lstrip(" ,\n") + ", " + oracles.COCITED.lstrip(" ,\n") + ",\n"
-    return sql.replace(FEW, ALL).replace("edges AS MATERIALIZED (", pairs + SIMILAR + "edges AS MATERIALIZED (")
 
 
 def answer(sql):
@@ -44,13 +31,6 @@ def test_the_setting_has_similarity_edges(spark):
     assert {"couples", "co_cited"} <= found
 
 
-@pytest.mark.parametrize("name", ["transition", "propagate_signed", "explain_paths"])
+@pytest.mark.parametrize("name", ["transition", "propagate_signed", "explain_paths", "blindspots", "recommendations"])
 def test_whole_graph(spark, name):
-    same(queries.QUERIES[name](spark, SF).collect(), answer(whole(oracles.ORACLES[name])))
-
-
-@pytest.mark.parametrize("name", ["blindspots", "recommendations"])
-def test_merit_from_200_seeds(spark, name):
-    sql = oracles.ORACLES[name]
-    assert sql.count("in_corpus_cited_by DESC, id LIMIT 20)") == 1
-    same(queries.QUERIES[name](spark, SF).collect(), answer(whole(sql.replace("in_corpus_cited_by DESC, id LIMIT 20)", "in_corpus_cited_by DESC, id LIMIT 200)"))))
+    same(queries.QUERIES[name](spark, SF).collect(), answer(oracles.ORACLES[name]))
