@@ -1,11 +1,11 @@
 """Toxicity by weak supervision.
 
 Many weak voters look at a document: a lexicon of insults, and patterns (words and word
-beginnings) that labelled rows suggest. A generative model estimates how often each voter fires
-on toxic and on other documents and how far voters fire together, by expectation-maximisation
-over their votes; voters that mostly repeat others count less. Its posteriors, not the labels,
-then train a linear classifier on the counts of hashed words and word beginnings, which scores
-every whole text.
+beginnings) that labelled rows suggest. A generative model of the votes estimates how often each
+voter fires on toxic and on other documents, and which voters fire together beyond that, by
+expectation-maximisation that starts from the votes and never sees a label but the share of
+toxic rows. Its posteriors, not the labels, then train a linear classifier on the counts of
+hashed words and word beginnings, which scores every whole text.
 
 Voters, label model and classifier are fitted on a bounded sample of labelled rows.
 """
@@ -23,7 +23,9 @@ from quillgraph.llm.chunks import _BYTES, _ROOTS, LOWER, U64, Chunk, from_batch,
 BITS = 22  # features are hashed to 2**BITS places
 PREFIXES = (5, 6, 8)  # bytes of a word's beginning that are features beside the word
 TRAIN_ROWS = 4_000  # labelled rows of each label that are learned from
-VOTERS, FEATURES = 400, 6_000
+VOTERS, FEATURES = 400, 6_000  # sizes of the model, whatever the size of the corpus: pattern voters and features
+BETTER = 2.0  # how much likelier a voter fires alone on toxic documents, at the least
+CHANCE = 11.0  # twice the log likelihood that a dependence of two voters must gain
 
 # Insults that vote from the start; patterns from labelled rows join them.
 LEXICON = (
@@ -79,33 +81,92 @@ def lexicon_places() -> np.ndarray:
 
 
 class LabelModel:
-    """Voters fire or abstain; the last one votes either way.
+    """The generative model of the votes: a class, and a forest of voters below it.
 
-    Each has a rate of firing on toxic and on other documents, and a share of novelty: how far
-    voters fire together among documents of one class tells which of them repeat one signal.
+    A voter fires with a rate that depends on the class and, if it has a parent, on whether that
+    voter fired: voters that repeat one signal hang together, so that it counts once. The forest is
+    the spanning tree of the largest conditional mutual information given the class, cut where
+    that does not differ from chance. Classes, rates and forest are fitted by
+    expectation-maximisation from the votes alone; the prior is given.
     """
 
-    def __init__(self, votes: np.ndarray, guess: np.ndarray, rounds: int = 6):
-        """``votes`` is (document, voter), ``guess`` the first belief that a document is toxic."""
-        belief = guess.astype(np.float64)
-        self.prior = float(np.clip(belief.mean(), 0.01, 0.99))
+    def __init__(self, votes: np.ndarray, prior: float, rounds: int = 12):
+        """``votes`` is (document, voter) of 0 and 1; the first belief is the share of voters that fire, by rank."""
+        self.prior = float(np.clip(prior, 0.005, 0.995))
+        votes = votes.astype(np.float64)
+        belief = self.first_belief(votes)
         for _ in range(rounds):
-            on, off = belief.sum(), (1 - belief).sum()
-            self.rate_on = (belief @ votes + 0.02) / (on + 0.04)
-            self.rate_off = ((1 - belief) @ votes + 0.02) / (off + 0.04)
-            rest = votes - np.outer(belief, self.rate_on) - np.outer(1 - belief, self.rate_off)
-            spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            self.correlation = np.abs((rest.T @ rest) / len(votes) / np.outer(spread, spread))
-            self.novelty = 1 / np.maximum(1, np.where(self.correlation > 0.5, self.correlation, 0).sum(axis=0))
-            belief = self.posterior(votes)
+            self.estimate(votes, belief)
+            before, belief = belief, self.posterior(votes)
+            if np.abs(belief - before).max(initial=0) < 1e-4:
+                break
+
+    def first_belief(self, votes: np.ndarray) -> np.ndarray:
+        """The documents with the most votes, as many as the prior says and ties with them, at 0.9; others at 0.1."""
+        fired = votes.sum(axis=1)
+        at = min(len(fired) - 1, int(len(fired) * self.prior))
+        least = max(1.0, np.sort(fired)[::-1][at]) if len(fired) else 1.0
+        return np.where(fired >= least, 0.9, 0.1)
+
+    def estimate(self, votes: np.ndarray, belief: np.ndarray) -> None:
+        """Forest and rates by the beliefs."""
+        n, width = votes.shape
+        weights = (1 - belief, belief)
+        together = [votes.T @ (w[:, None] * votes) for w in weights]
+        totals = [max(1e-9, w.sum()) for w in weights]
+        mutual = sum(_mutual(t, total, n) for t, total in zip(together, totals, strict=True))
+        self.parent = _forest(mutual, 2 * n * mutual > CHANCE)
+        has, of = self.parent >= 0, np.maximum(self.parent, 0)
+        at = np.arange(width)
+        self.rates = np.empty((2, 2, width))  # class, whether the parent fired, voter
+        for c in (0, 1):
+            alone = together[c][at, at]
+            plain = (alone + 0.02) / (totals[c] + 0.04)
+            fired, both = together[c][of, of], together[c][at, of]
+            self.rates[c, 1] = np.where(has, (both + 2 * plain) / (fired + 2), plain)
+            self.rates[c, 0] = np.where(has, (alone - both + 2 * plain) / (totals[c] - fired + 2), plain)
+        # what tells the classes apart: a vote speaks for the class that it is cast for, and the more so if it stands alone
+        self.rates[1] = np.maximum(self.rates[1], self.rates[0] * np.array([[BETTER], [1.0]]))
+        self.rates = np.clip(self.rates, 1e-6, 1 - 1e-6)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        fired = np.log(self.rate_on / self.rate_off) * self.novelty
-        quiet = np.log((1 - self.rate_on[-1]) / (1 - self.rate_off[-1]))
-        x = np.log(self.prior / (1 - self.prior)) + votes @ fired + (1 - votes[:, -1]) * quiet
+        """The belief that each document is toxic."""
+        fire, quiet = np.log(self.rates[1] / self.rates[0]), np.log((1 - self.rates[1]) / (1 - self.rates[0]))
+        quiet[:, :-1] = 0  # a voter that does not fire abstains; the last one votes either way
+        above = votes[:, np.maximum(self.parent, 0)] * (self.parent >= 0)
+        x = np.log(self.prior / (1 - self.prior)) + quiet[0].sum()
+        x = x + votes @ (fire[0] - quiet[0]) + above @ (quiet[1] - quiet[0]) + (votes * above) @ (fire[1] - quiet[1] - fire[0] + quiet[0])
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _mutual(together: np.ndarray, total: float, n: int) -> np.ndarray:
+    """Mutual information of each two voters within one class, times the share of the class."""
+    p = np.diag(together) / total
+    out = np.zeros_like(together)
+    for joint, a, b in (
+        (together / total, p[:, None], p[None, :]),
+        (p[:, None] - together / total, p[:, None], 1 - p[None, :]),
+        (p[None, :] - together / total, 1 - p[:, None], p[None, :]),
+        (1 - p[:, None] - p[None, :] + together / total, 1 - p[:, None], 1 - p[None, :]),
+    ):
+        joint = np.maximum(joint, 0)
+        out += joint * np.log(np.maximum(joint, 1e-12) / np.maximum(a * b, 1e-12))
+    return out * total / n
+
+
+def _forest(gain: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """The parent of each voter, -1 for roots: Prim's tree of the largest gain, edges that are not real cut."""
+    width = len(gain)
+    gain = np.where(real, gain, 0.0)
+    parent, best, inside = np.full(width, -1), np.zeros(width), np.zeros(width, dtype=bool)
+    for _ in range(width):
+        k = int(np.argmax(np.where(inside, -1.0, best)))
+        inside[k] = True
+        nearer = ~inside & (gain[k] > best)
+        parent[nearer], best[nearer] = k, gain[k][nearer]
+    return parent
+
+
 class Classifier:
     """A weight for each hashed place, most of them 0."""
 
@@ -158,8 +219,7 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray) ->
     votes[doc[dense], number[which[dense]]] = 1
     fired = np.bincount(doc[number[which] >= 0], weights=count[number[which] >= 0], minlength=n)
     votes[:, -1] = fired * 60 >= np.maximum(words, 10)  # patterns of any kind, once in 60 words
-    model = LabelModel(votes, np.where(labels == 1, 0.9, 0.1))
-    belief = model.posterior(votes)
+    belief = LabelModel(votes, on / n).posterior(votes)
     # the linear classifier: rates of the places that go with the posteriors
     p = np.bincount(which, weights=belief[doc])
     q = np.bincount(which) - p
