@@ -2,9 +2,10 @@
 
 Each language has a model of order 4 over letters, everything between letters counting as one
 break. Its n-grams stand in sorted arrays of their codes and are found by binary search. A text
-goes to the language with the lowest cross-entropy per character; a temperature fitted on a
-bounded sample of labelled rows turns the entropies into a probability, below which texts can be
-rejected.
+goes to the language with the lowest cross-entropy per character. A bounded sample of labelled
+rows is kept out of the models and calibrates them: a temperature turns the entropies into a
+probability, a floor stands for answers that no entropy foretells, and a text is rejected if its
+probability is below the cut from which on the stated share of these rows was answered rightly.
 
 Counts are taken from every learned text, in the tasks that read it, and summed by n-gram, and all
 of them make the models. Models are cut into shards by the two symbols in the middle of a 4-gram:
@@ -26,9 +27,12 @@ from pyspark.sql import functions as F
 from quillgraph.llm import scratch
 
 ORDER = 4
-#: n-grams of a shard, all languages together, and labelled rows that the temperature is fitted on.
+#: n-grams of a shard, all languages together.
 SHARD_GRAMS = 2_000_000
-CALIBRATION_ROWS = 2_000
+#: Labelled rows that calibrate, at most a tenth of a language's; languages of fewer rows than this give none.
+CALIBRATION_ROWS, CALIBRATED_FROM = 2_000, 20
+#: The share of right answers among those that are not rejected.
+TARGET = 0.99
 #: Languages are models on the driver and in every task.
 MOST_LANGUAGES = 1_000
 #: Symbols of texts that a task judges with a shard before it takes the next.
@@ -121,8 +125,9 @@ class Identifier:
     of orders 1 and 2. Shard i has the grams whose middle is at least ``starts[i]``.
     """
 
-    def __init__(self, names: list[str], starts: np.ndarray, shards: list, base, scale: float = 1.0):
-        self.names, self.starts, self.shards, self.base, self.scale = names, starts, shards, base, scale
+    def __init__(self, names: list[str], starts: np.ndarray, shards: list, base, scale: float = 1.0, floor: float = 0.0, least: float = 0.0):
+        self.names, self.starts, self.shards, self.base = names, starts, shards, base
+        self.scale, self.floor, self.least = scale, floor, least
         self._at, self._held = -1, None
 
     def __getstate__(self):
@@ -159,15 +164,16 @@ class Identifier:
                 sums[row] -= [np.log(m.probability(codes)) @ counts for m in self._models(i)]
         return [None if x is None else (sums[row] / x[1].sum(), int(x[1].sum())) for row, x in enumerate(found)] or [None] * len(texts)
 
-    def predict(self, texts: list[str | None], reject_below: float = 0.0) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, probability, whether it is rejected) of each text."""
         out = []
         for found in self.entropies(texts):
             if found is None:
-                out.append(("und", 0.0))
+                out.append(("und", 0.0, True))
                 continue
             best = int(np.argmin(found[0]))
-            p = confidence(found[0], found[1], self.scale)[best]
-            out.append((("und" if p < reject_below else self.names[best]), float(p)))
+            p = float(confidence(found[0], found[1], self.scale, self.floor)[best])
+            out.append((self.names[best], p, p < self.least))
         return out
 
 
@@ -183,11 +189,14 @@ def slices(texts: list[str | None], most: int = SLICE):
         yield start, len(texts)
 
 
-def confidence(entropy: np.ndarray, n: int, scale: float) -> np.ndarray:
-    """Probabilities of the languages; neighbouring symbols depend, so length counts by its root."""
+def confidence(entropy: np.ndarray, n: int, scale: float, floor: float = 0.0) -> np.ndarray:
+    """Probabilities of the languages; neighbouring symbols depend, so length counts by its root.
+
+    A share ``floor`` of the answers is taken to be any language.
+    """
     x = -scale * (entropy - entropy.min()) * np.sqrt(n)
     e = np.exp(x)
-    return e / e.sum()
+    return (1 - floor) * e / e.sum() + floor / len(e)
 
 
 def _counted(learn: DataFrame) -> DataFrame:
@@ -232,9 +241,19 @@ def _by_language(df: DataFrame, *columns: str) -> dict[str, list[np.ndarray]]:
 
 
 def train(learn: DataFrame, shard_grams: int = SHARD_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
-    """Models from the columns lang and text of ``learn``; rows with a null in either are left out."""
+    """Models from the columns lang and text of ``learn``; rows with a null in either are left out.
+
+    Rows of equal text are kept out of the models together.
+    """
     sc = learn.sparkSession.sparkContext
     learn = learn.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
+    keyed = learn.withColumn("key", F.xxhash64("text"))
+    sizes = keyed.groupBy("lang").count().where(F.col("count") >= CALIBRATED_FROM).select("lang").limit(MOST_LANGUAGES + 1).collect()
+    aside = F.col("lang").isin([r.lang for r in sizes]) & (F.pmod("key", F.lit(10)) == 0)
+    picked = keyed.where(aside).select("key", "lang").orderBy("key", "lang").limit(calibration_rows).collect()
+    if picked:
+        aside = aside & (F.col("key") <= picked[-1].key)
+        learn = keyed.where(~aside).select("lang", "text")
     counted = _counted(learn).withColumn("middle", F.shiftright("code", 8).bitwiseAND(0xFFFF))
     counts = scratch.table(counted.sortWithinPartitions("middle"), "grams")  # sorted, so that a shard reads few pages
     once = [F.count_if(F.col("n") == i).alias(x) for i, x in ((1, "ones"), (2, "twos"))]
@@ -252,15 +271,13 @@ def train(learn: DataFrame, shard_grams: int = SHARD_GRAMS, calibration_rows: in
         got = _by_language(counts.where(F.col("middle").between(int(low), int(high) - 1)), "code", "n")
         shards.append(sc.broadcast({x: Model(*got.get(x, none), lower=base[x], discounts={3: less[x], 4: most[x]}).tables[2:] for x in names}))
     out = Identifier(names, starts, shards, sc.broadcast(base))
-    if len(names) > 1:
-        out.scale = _scale(learn, out, calibration_rows)
+    if len(names) > 1 and picked:
+        out.scale, out.floor, out.least = _calibrated(keyed.where(aside), out, Counter((r.key, r.lang) for r in picked))
     return out
 
 
-def _scale(learn: DataFrame, model: Identifier, rows: int) -> float:
-    """The temperature with the least loss on whole texts of ``rows`` rows, those whose hash is lowest."""
-    keyed = learn.withColumn("key", F.xxhash64("text"))
-    picked = Counter((r.key, r.lang) for r in keyed.select("key", "lang").orderBy("key", "lang").limit(rows).collect())
+def _calibrated(aside: DataFrame, model: Identifier, picked: Counter) -> tuple[float, float, float]:
+    """Temperature and floor of the least loss on the whole texts of the rows ``picked``, and the cut."""
 
     def measure(batches):
         seen = set()
@@ -273,22 +290,45 @@ def _scale(learn: DataFrame, model: Identifier, rows: int) -> float:
                 found = [(k, x, *f) for (k, x), f in zip(mine, model.entropies([new[m] for m in mine]), strict=True) if f is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2].tolist() for f in found], pa.list_(pa.float64())), pa.array([f[3] for f in found], pa.int64())], names=["key", "lang", "entropy", "n"])
 
-    last = max(k for k, _ in picked)
-    got = keyed.where(F.col("key") <= last).select("key", "lang", "text").mapInArrow(measure, "key long, lang string, entropy array<double>, n long").collect()
-    found = {(r.key, r.lang): (np.array(r.entropy), r.n) for r in got if (r.key, r.lang) in picked}
-    scales = 2.0 ** np.arange(-6, 4)
-    loss = [sum(-np.log(max(1e-9, confidence(*found[x], s)[model.names.index(x[1])])) * picked[x] for x in sorted(found)) for s in scales]
-    return float(scales[int(np.argmin(loss))])
-
-
-def identify(docs: DataFrame, learned, reject_below: float = 0.0, **options) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row of ``docs``.
+    got = aside.select("key", "lang", "text").mapInArrow(measure, "key long, lang string, entropy array<double>, n long").collect()
+    found = {(r.key, r.lang): (np.array(r.entropy), r.n) for r in got if (r.key, r.lang) in picked and r.lang in model.names}
+    return calibrated([(*found[x], model.names.index(x[1]), picked[x]) for x in sorted(found)])
+
+
+def calibrated(rows: list[tuple[np.ndarray, int, int, int]]) -> tuple[float, float, float]:
+    """Temperature, floor and cut from (entropies, symbols, true language, times) of labelled texts."""
+    if not rows:
+        return 1.0, 0.0, 0.0
+    truth, times = np.array([r[2] for r in rows]), np.array([float(r[3]) for r in rows])
+    lowest, best = 1 / (times.sum() + 2), (np.inf, 1.0, 0.0)  # what no mistake among so many rows still allows
+    for scale in 2.0 ** np.arange(-8, 4.5, 0.5):
+        p = np.array([confidence(e, n, scale)[y] for (e, n, _, _), y in zip(rows, truth, strict=True)])
+        for floor in lowest * 2.0 ** np.arange(0, 12):
+            if floor < 0.5:
+                loss = -(np.log((1 - floor) * p + floor / len(rows[0][0])) * times).sum()
+                best = min(best, (loss, float(scale), float(floor)))
+    _, scale, floor = best
+    p = np.array([confidence(e, n, scale, floor).max() for e, n, _, _ in rows])
+    right = np.array([int(np.argmin(e)) for e, _, _, _ in rows]) == truth
+    order = np.argsort(-p, kind="stable")
+    share = np.cumsum((right * times)[order]) / np.cumsum(times[order])
+    whole = np.append(p[order][1:] != p[order][:-1], True)  # rows of equal probability are accepted together
+    ends = np.flatnonzero(whole)
+    fine = ends[share[ends] >= min(TARGET, share[ends].max())]  # where no cut reaches the target, the best one
+    return scale, floor, float(p[order][fine[-1]])
+
+
+def identify(docs: DataFrame, learned, reject: bool = False, **options) -> DataFrame:
+    """(doc_id, lang_pred, score, rejected) for each row of ``docs``.
 
     ``learned`` is a column condition on the rows whose lang is learned from. Predictions see the
     text alone. lang_pred is a learned language or ``und``: for null texts, texts without a
-    letter (score 0), texts whose probability is below ``reject_below``, and where no language
-    was learned. score is that probability. Ties go to the first language by code point. Rows
-    that repeat a doc_id or have none are judged like others. An empty table gives an empty result.
+    letter (score 0), where no language was learned and, with ``reject``, for rejected texts.
+    score is the calibrated probability; rejected tells whether it is below the cut from which on
+    TARGET of the calibration rows were answered rightly (or the largest share that any cut
+    reaches), and holds for ``und`` as well. Ties go
+    to the first language by code point. Rows that repeat a doc_id or have none are judged like
+    others. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch.ship(spark)
@@ -297,8 +337,9 @@ def identify(docs: DataFrame, learned, reject_below: float = 0.0, **options) ->
     def judge(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = [x for a, b in slices(texts) for x in model.predict(texts[a:b], reject_below)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], type=pa.string()), pa.array([p for _, p in found], type=pa.float64())], names=["doc_id", "lang_pred", "score"])
+            found = [x for a, b in slices(texts) for x in model.predict(texts[a:b])]
+            names = ["und" if reject and no else x for x, _, no in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, type=pa.string()), pa.array([p for _, p, _ in found], type=pa.float64()), pa.array([no for _, _, no in found], type=pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(judge, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(judge, "doc_id long, lang_pred string, score double, rejected boolean")

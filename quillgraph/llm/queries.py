@@ -36,7 +36,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(_read(spark, sf_dir, "documents"), learned=_remainder(3) != 1)
-    return _held_out(found, 3, 1, "lang_pred score")
+    return _held_out(found, 3, 1, "lang_pred score rejected")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Language identification, quality and toxicity on held-out rows, and the pipeline."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,14 +47,10 @@ def test_language_models_keep_every_gram(spark):
         codes, n = np.unique(langid.grams(langid.symbols(text)), return_counts=True)
         return np.array([-(np.log(m.probability(codes)) @ n) / n.sum() for m in whole.values()]), int(n.sum())
 
-    seen = [(list(whole).index(x), *entropy(t)) for x, t in rows]
-    scales = 2.0 ** np.arange(-6, 4)
-    best = scales[np.argmin([sum(-np.log(max(1e-9, langid.confidence(e, n, s)[k])) for k, e, n in seen) for s in scales])]
     texts = [rows[0][1], rows[105][1], rows[-1][1][:50], "the of and", rows[3][1][::-1], None, "12"]
     for options in ({}, {"shard_grams": 50_000}):
-        model = langid.train(learn, **options)
+        model = langid.train(learn, calibration_rows=0, **options)
         assert len(model.shards) > 4 if options else len(model.shards) == 1
-        assert model.scale == best
         found = model.entropies(texts)
         assert found[5:] == [None, None]
         for text, (e, n) in zip(texts[:5], found, strict=False):
@@ -64,10 +62,63 @@ def test_language_edges(spark, nothing):
     found = {(r.doc_id, r.lang_pred) for r in langid.identify(docs, F.col("doc_id") <= 2).collect()}
     assert found == {(1, "de"), (2, "en"), (3, "und"), (4, "und"), (None, "en"), (1, "und")}
     assert {r.lang_pred for r in langid.identify(docs, F.lit(False)).collect()} == {"und"}
-    assert {r.lang_pred for r in langid.identify(docs, F.col("doc_id") <= 2, reject_below=1.1).collect()} == {"und"}
     assert langid.identify(nothing, F.lit(True)).collect() == []
 
 
+def test_calibration_finds_temperature_floor_and_cut():
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(4000):
+        n = int(rng.integers(4, 400))
+        gap = abs(rng.normal(0, 0.3))
+        p = langid.confidence(np.array([2.0, 2.0 + gap]), n, 1.0, 0.04)
+        rows.append((np.array([2.0, 2.0 + gap]), n, int(rng.random() > p[0]), 1))
+    scale, floor, cut = langid.calibrated(rows)
+    assert 0.7 <= scale <= 1.5 and 0.02 <= floor <= 0.08
+    score = np.array([langid.confidence(e, n, scale, floor).max() for e, n, _, _ in rows])
+    right = np.array([int(np.argmin(e)) for e, _, _, _ in rows]) == [r[2] for r in rows]
+    for low, high in ((0.5, 0.7), (0.7, 0.9), (0.9, 1.0)):  # reliable: as many are right as the scores say
+        at = (score >= low) & (score <= high)
+        assert abs(score[at].mean() - right[at].mean()) < 0.04
+    assert right[score >= cut].mean() >= 0.97
+    scale, floor, cut = langid.calibrated([(np.array([1.0, 2.0]), 100, 0, 1)] * 300)  # no mistake: nothing is rejected, nothing is certain
+    assert cut == langid.confidence(np.array([1.0, 2.0]), 100, scale, floor).max() < 1
+    assert langid.calibrated([]) == (1.0, 0.0, 0.0)
+
+
+def kneser_ney(texts):
+    """A character's probability after the three before it, by loops over plain counters."""
+    seen = Counter(tuple(g) for t in texts for g in zip(*(([0] * 2 + t)[k:] for k in range(4)), strict=False))
+    levels = [seen]
+    for _ in range(3):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    off = []
+    for level in levels:
+        ones, twos = (sum(n == k for n in level.values()) for k in (1, 2))
+        off.append(min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5)
+
+    def p(gram):
+        if not gram:
+            return 1 / 256
+        level, d = levels[4 - len(gram)], off[4 - len(gram)]
+        after = [n for g, n in level.items() if g[:-1] == gram[:-1]]
+        below = p(gram[1:])
+        return max(level[gram] - d, 0) / sum(after) + d * len(after) / sum(after) * below if after else below
+
+    return p
+
+
+def test_models_are_interpolated_kneser_ney():
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcd "), p=[0.3, 0.3, 0.2, 0.1, 0.1]) for _ in range(60)) for _ in range(6)]
+    made = [langid.symbols(t) for t in texts]
+    codes, n = np.unique(np.concatenate([langid.grams(s) for s in made]), return_counts=True)
+    model, plain = langid.Model(codes, n), kneser_ney([s.tolist() for s in made])
+    asked = np.concatenate([codes[:150], langid.grams(langid.symbols("dddd zebra cab"))])
+    expected = [plain(tuple(int(c) >> s & 255 for s in (24, 16, 8, 0))) for c in asked]
+    assert model.probability(asked).tolist() == pytest.approx(expected, rel=1e-9)
+
+
 def test_quality_on_held_out_rows(spark):
     found = queries.op5_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").toPandas()
     good, bad = found[found.quality == 1], found[found.quality == 0]
