@@ -119,17 +119,18 @@ def _shared(parts: list[bytes], width: int) -> list[bytes | None]:
     return out
 
 
-def _smallest(parts: list[bytes], wide: bool) -> list[bytes | None]:
+#: A window as it is sent: two hashes of 64 bits and the smallest id in its chunk.
+WINDOW = np.dtype([("one", "<u8"), ("two", "<u8"), ("id", "<i8")])
+
+
+def _smallest(parts: list[bytes]) -> list[bytes | None]:
     """Where a window also stands in a document with a smaller id than the smallest of this part."""
-    kind = np.dtype([("one", "<u8")] + ([("two", "<u8")] if wide else []) + [("id", "<i8")])
-    arrays = [np.frombuffer(p, dtype=kind) for p in parts]
+    arrays = [np.frombuffer(p, dtype=WINDOW) for p in parts]
     rows = np.concatenate(arrays)
-    order = np.lexsort((rows["two"], rows["one"])) if wide else np.argsort(rows["one"])
+    order = np.lexsort((rows["two"], rows["one"]))
     key = rows[order]
     first = np.ones(len(key), dtype=bool)
-    first[1:] = key["one"][1:] != key["one"][:-1]
-    if wide:
-        first[1:] |= key["two"][1:] != key["two"][:-1]
+    first[1:] = (key["one"][1:] != key["one"][:-1]) | (key["two"][1:] != key["two"][:-1])
     low = np.minimum.reduceat(key["id"], np.flatnonzero(first))
     smaller = np.empty(len(rows), dtype=bool)
     smaller[order] = low[np.cumsum(first) - 1] < key["id"]
@@ -147,13 +148,11 @@ def remove_repeated(docs: DataFrame, n: int = 13, chunk_bytes: int = 2 << 20, wi
     empty result.
 
     Anchors go by 32 bits beside the bucket's: two that agree by chance only make a window a
-    candidate. Windows go by 64 bits beside the bucket's, or by 128 where there are more than
-    2**32 words, so chance never decides.
+    candidate. Windows go by two hashes of 64 bits each, whatever the size of the corpus.
     """
     chunks, sums = chunked(docs, chunk_bytes)
     v, cover = cover_for(n)
     n_buckets = buckets_for(docs.sparkSession, int(sums["n_words"] * len(cover) / v * 4))
-    wide = sums["n_words"] > 1 << 32
 
     def send(chunk: Chunk):
         a = Anchors(chunk, n)
@@ -166,11 +165,8 @@ def remove_repeated(docs: DataFrame, n: int = 13, chunk_bytes: int = 2 << 20, wi
     def ask(chunk: Chunk, answers: dict) -> pd.DataFrame:
         a = Anchors(chunk, n)
         one, two, ids, _ = distinct_windows(a, chunk, a.candidates(n_buckets, answers))
-        kind = np.dtype([("one", "<u8")] + ([("two", "<u8")] if wide else []) + [("id", "<i8")])
-        rows = np.empty(len(one), dtype=kind)
-        rows["one"], rows["id"] = one, ids
-        if wide:
-            rows["two"] = two
+        rows = np.empty(len(one), dtype=WINDOW)
+        rows["one"], rows["two"], rows["id"] = one, two, ids
         sent = [(b, rows[lo:hi].tobytes()) for b, lo, hi in cuts(bucket_of(one, n_buckets))]
         return pd.DataFrame(sent, columns=["bucket", "part"])
 
@@ -183,7 +179,7 @@ def remove_repeated(docs: DataFrame, n: int = 13, chunk_bytes: int = 2 << 20, wi
         return left.select("chunk", "payload").groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(each, "chunk long, bucket long, part binary")
 
     def back(group: pd.DataFrame) -> pd.DataFrame:
-        got = _smallest(list(group["part"]), wide)
+        got = _smallest(list(group["part"]))
         keep = [i for i, x in enumerate(got) if x is not None]
         return pd.DataFrame({"chunk": group["chunk"].to_numpy()[keep], "bucket": group["bucket"].to_numpy()[keep], "answer": [got[i] for i in keep]}, columns=["chunk", "bucket", "answer"])
 
