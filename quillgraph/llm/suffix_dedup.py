@@ -380,10 +380,11 @@ class _Plan:
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 400, chunk_bytes: int = 2 << 20) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) for each row of ``docs``.
 
     n_spans counts the maximal removed runs of bytes; kept_sha256 is of the remaining bytes end to
-    end. Null and empty texts have no bytes; texts shorter than ``length`` lose nothing. Two rows
+    end, and text is what they read, without parts of characters that cuts leave (null stays
+    null). Null and empty texts have no bytes; texts shorter than ``length`` lose nothing. Two rows
     of equal text remove each other, whatever their ids; doc_id may be null. Columns other than
     doc_id and text are not read. An empty table gives an empty result.
 
@@ -402,10 +403,10 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, chunk_bytes: int =
             lost = int(np.count_nonzero(out))
             spans = int(out[:1].sum() + np.count_nonzero(out[1:] & ~out[:-1])) if lost else 0
             kept = (chunk.data[lo:hi][~out] if lost else chunk.data[lo:hi]).tobytes()
-            rows.append((None if chunk.id_null[k] else int(chunk.ids[k]), int(hi - lo), lost, spans, hashlib.sha256(kept).hexdigest()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+            rows.append((None if chunk.id_null[k] else int(chunk.ids[k]), int(hi - lo), lost, spans, hashlib.sha256(kept).hexdigest(), None if chunk.text_null[k] else kept.decode("utf-8", "ignore")))
+        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]).astype({"doc_id": "Int64"})
 
-    return with_answers(plan.chunks, plan.answers, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_answers(plan.chunks, plan.answers, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def without_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 2 << 20) -> DataFrame:

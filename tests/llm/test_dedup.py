@@ -54,14 +54,15 @@ def repeated(texts, length):
 def bytes_removed(rows, length):
     texts = [(t or "").encode() for _, t, *_ in rows]
     out = []
-    for (doc, *_), t, flags in zip(rows, texts, repeated(texts, length), strict=True):
+    for (doc, text, *_), t, flags in zip(rows, texts, repeated(texts, length), strict=True):
         gone = np.zeros(len(t) + 1, dtype=int)
         for i in np.flatnonzero(flags):
             gone[i] += 1
             gone[i + length] -= 1
         gone = np.cumsum(gone[:-1]) > 0
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-        out.append((doc, len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        out.append((doc, len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), None if text is None else kept.decode("utf-8", "ignore")))
     return sorted(out, key=str)
 
 
