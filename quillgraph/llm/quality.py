@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm import scratch
+from quillgraph.llm import labelled, scratch
 from quillgraph.llm.chunks import Chunk, from_batch, trim
 
 CHUNK, STEP = 512, 448
@@ -22,8 +22,10 @@ WIDTH, STRIDE = 16, 4
 EMBED, FILTERS = 6, 24
 LOOK_BACK = 40
 PAD = 512  # the symbol after the end of a text
-#: Labelled rows that are learned from, for each label, and chunks of each of them.
-TRAIN_ROWS, TRAIN_CHUNKS = 1_500, 12
+#: Labelled rows that are learned from, for each label, and the bytes of their texts together.
+TRAIN_ROWS, TRAIN_BYTES = 1_500, 16 << 20
+#: Chunks that the network takes at a time; bounds the memory of long documents.
+SLICE = 256
 
 
 def marked(data: np.ndarray) -> np.ndarray:
@@ -62,7 +64,7 @@ class Network:
         x = self.embed[chunks].reshape(len(chunks), CHUNK * EMBED)
         return np.lib.stride_tricks.sliding_window_view(x, WIDTH * EMBED, axis=1)[:, :: STRIDE * EMBED]
 
-    def pooled(self, chunks: np.ndarray, block: int = 256) -> np.ndarray:
+    def pooled(self, chunks: np.ndarray, block: int = SLICE) -> np.ndarray:
         """The rectified maximum of each filter over each chunk."""
         out = np.empty((len(chunks), FILTERS), dtype=np.float32)
         for i in range(0, len(chunks), block):
@@ -103,10 +105,12 @@ class Network:
         n = len(chunks)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        x = np.ascontiguousarray(self.columns(chunks))
-        raw = (x.reshape(-1, WIDTH * EMBED) @ self.filters).reshape(n, -1, FILTERS)
-        place = raw.argmax(axis=1)
-        top = np.take_along_axis(raw, place[:, None, :], axis=1)[:, 0] + self.shift
+        place, top = np.empty((n, FILTERS), dtype=np.int64), np.empty((n, FILTERS), dtype=np.float32)
+        for i in range(0, n, SLICE):
+            x = np.ascontiguousarray(self.columns(chunks[i : i + SLICE]))
+            raw = (x.reshape(-1, WIDTH * EMBED) @ self.filters).reshape(len(x), -1, FILTERS)
+            place[i : i + SLICE] = raw.argmax(axis=1)
+            top[i : i + SLICE] = raw.max(axis=1) + self.shift
         pool = np.maximum(top, 0)
         mean, high = np.add.reduceat(pool, starts) / sizes[:, None], np.maximum.reduceat(pool, starts)
         both = np.concatenate([mean, high], axis=1)
@@ -114,50 +118,25 @@ class Network:
         d = (p - labels) * weight / len(labels)
         g = d[doc][:, None] * (self.out[:FILTERS] / sizes[doc][:, None] + self.out[FILTERS:] * (pool == high[doc]))
         g = (g * (top > 0)).astype(np.float32)
-        at = x[np.arange(n)[:, None], place]  # (chunk, filter, WIDTH * EMBED)
-        filters = np.einsum("nfk,nf->kf", at, g, optimize=True)
-        back = g[:, :, None] * self.filters.T[None]  # to the bytes under each filter's best place
-        byte = place[:, :, None] * STRIDE + np.arange(WIDTH)
-        symbols = chunks[np.arange(n)[:, None, None], byte]
-        embed = np.zeros_like(self.embed)
-        np.add.at(embed, symbols.ravel(), back.reshape(-1, EMBED))
+        filters, embed = np.zeros_like(self.filters), np.zeros_like(self.embed)
+        for i in range(0, n, SLICE):  # the bytes under each filter's best place
+            h = g[i : i + SLICE]
+            under = place[i : i + SLICE, :, None] * STRIDE + np.arange(WIDTH)
+            symbols = chunks[np.arange(i, min(n, i + SLICE))[:, None, None], under]
+            filters += np.einsum("nfk,nf->kf", self.embed[symbols].reshape(len(h), FILTERS, -1), h, optimize=True)
+            np.add.at(embed, symbols.ravel(), (h[:, :, None] * self.filters.T[None]).reshape(-1, EMBED))
         return {"embed": embed, "filters": filters, "shift": g.sum(axis=0), "out": both.T @ d, "bias": np.array([d.sum()], dtype=np.float32)}
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAIN_ROWS) -> Network:
-    """A network from up to ``train_rows`` rows of each label, the first by a hash of the id.
-
-    ``labels`` has doc_id and the 0/1 column ``label``; rows with a null in either are left out,
-    and of rows that repeat a doc_id one is taken.
-    """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    picked = None
-    for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-        picked = part if picked is None else picked.unionByName(part)
-    ids = {r.doc_id: r.y for r in picked.collect()}
-    if len(set(ids.values())) < 2:
-        return _constant(set(ids.values()))
-    chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))  # 2 * train_rows at most
-
-    def shorten(batches):
-        for batch in batches:
-            c = from_batch(batch)
-            kept = []
-            for k in range(len(c)):
-                rows = cut(c.text(k))
-                at = np.unique(np.linspace(0, len(rows) - 1, min(len(rows), TRAIN_CHUNKS)).astype(int))
-                kept.append(np.ascontiguousarray(rows[at]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, type=pa.binary())], names=["doc_id", "chunks"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
-    rows = rows.mapInArrow(shorten, "doc_id long, chunks binary").toArrow().sort_by("doc_id")
-    texts = [np.frombuffer(x.as_buffer(), dtype=np.uint16).reshape(-1, CHUNK) for x in rows.column(1)]
-    known = np.array([ids[i] for i in rows.column(0).to_pylist()], dtype=np.int64)
-    if len(set(known.tolist())) < 2:
-        return _constant(set(known.tolist()))
+def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Network:
+    """A network from whole texts of labelled rows; see :func:`labelled.sample`."""
+    rows, known = labelled.sample(docs, labels, label, train_rows, train_bytes // 2)
+    if len(set(known.values())) < 2:
+        return _constant(set(known.values()))
+    got = rows.select("doc_id", "text").toArrow().sort_by("doc_id")  # train_bytes at most, or one text of each label
+    texts = [cut(t.as_buffer().to_pybytes()) for t in got.column(1)]
     net = Network()
-    net.fit(texts, known)
+    net.fit(texts, np.array([known[i] for i in got.column(0).to_pylist()], dtype=np.int64))
     return net
 
 

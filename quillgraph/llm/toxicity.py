@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm import scratch
+from quillgraph.llm import labelled, scratch
 from quillgraph.llm.chunks import _BYTES, _ROOTS, LOWER, U64, Chunk, from_batch, rolling
 
 BITS = 22  # features are hashed to 2**BITS places
 PREFIXES = (5, 6, 8)  # bytes of a word's beginning that are features beside the word
-TRAIN_ROWS = 4_000  # labelled rows of each label that are learned from
+TRAIN_ROWS, TRAIN_BYTES = 4_000, 64 << 20  # labelled rows of each label that are learned from, and the bytes of all their texts
 VOTERS, FEATURES = 400, 6_000  # sizes of the model, whatever the size of the corpus: pattern voters and features
 BETTER = 2.0  # how much likelier a voter fires alone on toxic documents, at the least
 CHANCE = 11.0  # twice the log likelihood that a dependence of two voters must gain
@@ -244,19 +244,11 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray) ->
     return Classifier(places_[chosen], weights, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAIN_ROWS) -> Classifier:
-    """A classifier from up to ``train_rows`` rows of each label, the first by a hash of the id.
-
-    ``labels`` has doc_id and the 0/1 column ``label``; rows with a null in either are left out,
-    and of rows that repeat a doc_id one is taken.
-    """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    ids: dict[int, int] = {}
-    for y in (0, 1):
-        ids |= {r.doc_id: y for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()}
-    if not ids:
+def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Classifier:
+    """A classifier from whole texts of labelled rows; see :func:`labelled.sample`."""
+    chosen, known = labelled.sample(docs, labels, label, train_rows, train_bytes // 2)
+    if not known:
         return Classifier(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0)
-    chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))  # 2 * train_rows at most
 
     def count(batches):
         for batch in batches:
@@ -268,12 +260,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: int = TRAI
             counts = [n[a:b].astype(np.int32) for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], type=pa.binary()), pa.array([r.tobytes() for r in counts], type=pa.binary()), pa.array(words.astype(np.int64))], names=["doc_id", "places", "counts", "words"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
-    got = rows.mapInArrow(count, "doc_id long, places binary, counts binary, words long").toArrow().sort_by("doc_id")
+    got = chosen.select("doc_id", "text").mapInArrow(count, "doc_id long, places binary, counts binary, words long").toArrow().sort_by("doc_id")
     data = [(np.frombuffer(p.as_buffer(), dtype=np.int32), np.frombuffer(c.as_buffer(), dtype=np.int32), w) for p, c, w in zip(got.column(1), got.column(2), got.column(3).to_pylist(), strict=True)]
     if not data:
         return Classifier(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0)
-    return _fit(data, np.array([ids[i] for i in got.column(0).to_pylist()]))
+    return _fit(data, np.array([known[i] for i in got.column(0).to_pylist()]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, **options) -> DataFrame:
