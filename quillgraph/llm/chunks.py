@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm import scratch
 
 CHUNK_BYTES = 2 << 20
+#: Buckets of the table of chunks, of which Spark takes 100,000 at most; a task goes through those of a bucket one by one.
+MOST_BUCKETS = 16_384
 U64 = np.uint64
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: after all others
 
@@ -244,12 +246,17 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: bool = False
     scratch.ship(docs.sparkSession)
     others = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns) if c != "text"] if carry else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
+    n = n_buckets(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     out = scratch.bucketed(rows.mapInArrow(make, "chunk long, payload binary, rest binary, n_docs long, n_bytes long, n_words long"), "chunks", "chunk", n)
     sums = out.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_bytes", "n_words"))).first()
     return out, sums.asDict()
 
 
+def n_buckets(shuffle_partitions: int, input_partitions: int) -> int:
+    """Of the table of chunks: two for each input partition, as far as Spark takes so many."""
+    return min(MOST_BUCKETS, max(shuffle_partitions, 2 * input_partitions))
+
+
 def buckets_for(spark, n_bytes: int, bucket_bytes: int = 6 << 20) -> int:
     """Buckets that hold about ``bucket_bytes`` each, and at least four for each shuffle partition."""
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n_bytes // bucket_bytes)

@@ -8,6 +8,7 @@ some item. A run of ``n`` words or more, or a whole shorter item, hits its words
 from __future__ import annotations
 
 import hashlib
+from fractions import Fraction
 from itertools import repeat
 
 import numpy as np
@@ -178,7 +179,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, coverage:
     spark = docs.sparkSession
     scratch.ship(spark)
     automaton = spark.sparkContext.broadcast(Automaton(load_items(benchmark), n))
-    least = round(1 / coverage)
+    share = Fraction(str(coverage))
 
     def scan(batches):
         a = automaton.value
@@ -197,7 +198,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, coverage:
                 out["n_hit"].append(hit)
                 out["n_items"].append(len(items))
                 out["items_sha256"].append(hashlib.sha256(",".join(sorted(names[i] for i in items)).encode()).hexdigest())
-                out["contaminated"].append(hit > 0 and least * hit >= len(words))
+                out["contaminated"].append(hit > 0 and share.denominator * hit >= share.numerator * len(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in out.values())], names=["doc_id", *out])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -223,7 +224,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, coverage: float =
     spark = docs.sparkSession
     scratch.ship(spark)
     automaton = spark.sparkContext.broadcast(Automaton(load_items(benchmark), n))
-    least, at = round(1 / coverage), docs.columns.index("text")
+    share, at = Fraction(str(coverage)), docs.columns.index("text")
 
     def keep(batches):
         a = automaton.value
@@ -235,7 +236,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, coverage: float =
                 words = normal_words(raw)
                 spans = _merged(a.hits(words)[0])
                 hit = sum(hi - lo for lo, hi in spans)
-                stay.append(not (hit > 0 and least * hit >= len(words)))
+                stay.append(not (hit > 0 and share.denominator * hit >= share.numerator * len(words)))
                 if strip and spans and stay[-1]:
                     texts[k] = _without(raw, spans)
             if strip:
