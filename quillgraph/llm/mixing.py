@@ -2,8 +2,9 @@
 
 Each source's documents, in a pseudorandom order, form one stream of words that is cut into
 blocks of fixed length. The mix is a sequence of output shards with a fixed number of slots. For
-each shard, the number of slots of each source is a multinomial draw by what the sources still
-have to give; the last shard takes the rest, so the totals meet the targets to within a block.
+each shard, the number of slots of each source is a multinomial draw by what the sources have to
+give; draws halve the shards again and again, so the totals meet the targets to within a block
+and a task draws for its own shards alone.
 The slots of a source are numbered on through all shards, and a slot is mapped to a block through
 a permutation that is drawn anew for each pass over the source (a Feistel network on the block
 index). Blocks then join slots by index.
@@ -14,8 +15,10 @@ the data and dealt by block index, so a source with a third of all words is spre
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from quillgraph.llm import scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources are planned on the driver, so their number must be bounded.
 MOST_SOURCES = 100_000
+#: Parts of a source's stream that are summed up together.
+SPAN = 1_024
 
 
 def word_targets(sizes: list[int], weights: list[float], share: float = 1.0, most: float = 3.0) -> list[float]:
@@ -48,21 +53,37 @@ def word_targets(sizes: list[int], weights: list[float], share: float = 1.0, mos
     return targets
 
 
-def shard_counts(quota: list[int], per_shard: int, seed: int) -> list[list[int]]:
-    """Slots of each source in each shard: multinomial by the remaining quota, the rest in the last."""
-    rng = np.random.default_rng(seed)
-    left = np.array(quota, dtype=np.int64)
-    out = []
-    while left.sum() > per_shard:
-        drawn = np.zeros_like(left)
-        while (missing := per_shard - drawn.sum()) > 0:
-            open_ = left - drawn
-            drawn += np.minimum(rng.multinomial(missing, open_ / open_.sum()), open_)
-        out.append(drawn.tolist())
-        left -= drawn
-    if left.sum():
-        out.append(left.tolist())
-    return out
+def _draw(quota: np.ndarray, slots: int, rng: np.random.Generator) -> np.ndarray:
+    """Slots of each source: multinomial by ``quota``, what exceeds a source's quota drawn again."""
+    drawn = np.zeros_like(quota)
+    while missing := slots - int(drawn.sum()):
+        open_ = quota - drawn
+        drawn += open_ if missing == open_.sum() else np.minimum(rng.multinomial(missing, open_ / open_.sum()), open_)
+    return drawn
+
+
+def shard_counts(quota: np.ndarray, per_shard: int, seed: int, low: int = 0, high: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first slot of each source, slots of each source) of the shards ``low`` to ``high`` - 1.
+
+    A shard's slots are a multinomial draw by what the sources have to give. Draws halve the
+    shards again and again: the left half takes its slots from the quota, the right half what is
+    left, each by a seed of its own. So any task finds its shards without the others, and the
+    totals are the quota.
+    """
+    shards = -(-int(quota.sum()) // per_shard)
+
+    def between(a: int, b: int, quota: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if a >= b or b <= low or (high is not None and a >= high):
+            return
+        if b - a == 1:
+            yield a, start, quota
+            return
+        middle = (a + b) // 2
+        left = _draw(quota, (middle - a) * per_shard, np.random.default_rng((seed, a, b)))  # only the last shard is short
+        yield from between(a, middle, left, start)
+        yield from between(middle, b, quota - left, start + left)
+
+    yield from between(0, shards, np.asarray(quota, dtype=np.int64), np.zeros(len(quota), dtype=np.int64))
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -84,6 +105,16 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
+def _runs(numbers: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of the runs of consecutive numbers."""
+    ends = np.append(np.flatnonzero(np.diff(numbers) != 1) + 1, len(numbers))
+    at = 0
+    for end in ends.tolist():
+        if end > at:
+            yield int(numbers[at]), int(numbers[end - 1]) + 1
+        at = end
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size) with the number of words of each text, 0 for null; written once."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
@@ -93,10 +124,10 @@ def sized(docs: DataFrame) -> DataFrame:
 class Mix:
     """The plan and the frames of one mix; see :func:`mix_sources`."""
 
-    def __init__(self, docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: float = 3.0, block_words: int = 128, shard_slots: int = 4096, seed: int = 17, split_docs: int = 2_000):
-        spark = docs.sparkSession
-        scratch.ship(spark)
-        self.block_words = block_words
+    def __init__(self, docs: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: float = 3.0, block_words: int = 128, shard_slots: int = 4096, seed: int = 17, split_docs: int = 500):
+        self.spark = docs.sparkSession
+        scratch.ship(self.spark)
+        self.block_words, self.shard_slots, self.seed = block_words, shard_slots, seed
         rows = sized(docs)
         # sources are told apart by a long, for which the broadcast table takes little memory
         key = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("source_key")
@@ -109,42 +140,48 @@ class Mix:
         sums.sort(key=lambda r: (r.source is None, r.source or ""))
         sizes = [int(r["size"]) for r in sums]
         targets = word_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
-        blocks = [-(-s // block_words) for s in sizes]
-        quota = [min(round(t * b / s), int(most * b)) if s else 0 for t, s, b in zip(targets, sizes, blocks, strict=True)]
-        plan = [(i, r.source_key, s, float(t), b) for i, (r, s, t, b) in enumerate(zip(sums, sizes, targets, blocks, strict=True))]
-        self.sources = spark.createDataFrame(plan, "source_no int, source_key long, source_size long, target double, n_blocks long")
-        start = [0] * len(sizes)
-        draws = []
-        for shard, counts in enumerate(shard_counts(quota, shard_slots, seed)):
-            for i, c in enumerate(counts):
-                if c:
-                    draws.append((shard, i, start[i], start[i] + c, blocks[i]))
-                    start[i] += c
-        self.draws = spark.createDataFrame(draws, "shard long, source_no int, first long, stop long, n_blocks long")
-
-        # where each document stands in its source's stream; the stream is split so that no
-        # task sums up a whole source
+        self.blocks = np.array([-(-s // block_words) for s in sizes], dtype=np.int64)
+        self.quota = np.array([min(round(t * b / s), int(most * b)) if s else 0 for t, s, b in zip(targets, sizes, self.blocks.tolist(), strict=True)], dtype=np.int64)
+        plan = [(i, r.source_key, s, float(t)) for i, (r, s, t) in enumerate(zip(sums, sizes, targets, strict=True))]
+        self.sources = self.spark.createDataFrame(plan, "source_no int, source_key long, source_size long, target double")
+
+        # where each document stands in its source's stream; the stream is split, and the parts
+        # are grouped, so that no task sums up a whole source
         split = max(1, sum(r.n for r in sums) // split_docs)
         bounded = F.broadcast(self.sources)  # at most MOST_SOURCES rows
         known = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(split)).cast("long"))
         known = known.join(bounded, "source_key")
         by = Window.partitionBy("source_no", "part").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
-        parts = known.groupBy("source_no", "part").agg(F.sum("size").alias("words"))
-        before = Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        parts = parts.select("source_no", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+        parts = known.groupBy("source_no", "part").agg(F.sum("size").alias("words")).withColumn("span", F.expr(f"part div {SPAN}"))
+        spans = parts.groupBy("source_no", "span").agg(F.sum("words").alias("words"))
+        upto = [Window.unboundedPreceding, -1]
+        spans = spans.select("source_no", "span", F.coalesce(F.sum("words").over(Window.partitionBy("source_no").orderBy("span").rowsBetween(*upto)), F.lit(0)).alias("before"))
+        within = F.coalesce(F.sum("words").over(Window.partitionBy("source_no", "span").orderBy("part").rowsBetween(*upto)), F.lit(0))
+        parts = parts.withColumn("within", within).join(spans, ["source_no", "span"]).select("source_no", "part", (F.col("before") + F.col("within")).alias("base"))
         placed = known.withColumn("row", F.row_number().over(by)).withColumn("upto", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)))
         self.placed = placed.join(parts, ["source_no", "part"]).withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
 
     def slots(self) -> DataFrame:
-        """(shard, source_no, slot, block): every slot of the mix with the block that fills it."""
-
-        @F.pandas_udf("long")
-        def block(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
-            return pd.Series(permuted(index.to_numpy(), size.to_numpy(), key.to_numpy()))
-
-        many = self.draws.repartition("shard", "source_no").select("shard", "source_no", "n_blocks", F.explode(F.expr("sequence(first, stop - 1)")).alias("slot"))
-        key = F.xxhash64("source_no", F.expr("slot div n_blocks"))
-        return many.select("shard", "source_no", "slot", block(F.expr("slot % n_blocks"), F.col("n_blocks"), key).alias("block"))
+        """(shard, source_no, slot, block): every slot of the mix with the block that fills it.
+
+        Each task draws the counts of its own shards; the driver only knows how many there are.
+        """
+        quota, blocks, per_shard, seed = self.quota, self.blocks, self.shard_slots, self.seed
+        shards = -(-int(quota.sum()) // per_shard)
+
+        def fill(batches):
+            for batch in batches:
+                mine = batch.column(0).to_numpy()
+                for low, high in _runs(mine):
+                    for shard, first, counts in shard_counts(quota, per_shard, seed, low, high):
+                        source = np.repeat(np.arange(len(quota)), counts)
+                        slot = np.arange(len(source)) - np.repeat(np.cumsum(counts) - counts, counts) + first[source]
+                        size = blocks[source]
+                        key = (source + 1) * np.int64(1_000_003) + slot // size * np.int64(7_919)
+                        block = permuted(slot % size, size, key)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(source), shard)), pa.array(source.astype(np.int32)), pa.array(slot), pa.array(block)], names=["shard", "source_no", "slot", "block"])
+
+        return self.spark.range(0, shards, 1, max(1, min(shards, 1 + shards // 64))).mapInArrow(fill, "shard long, source_no int, slot long, block long")
 
     def pieces(self) -> DataFrame:
         """(source_no, part, row, block, words): the blocks that each document lies in; none if empty."""

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -137,8 +138,40 @@ def test_permutations_and_counts():
         for key in (1, -5):
             x = mixing.permuted(np.arange(size), np.full(size, size), np.full(size, key))
             assert sorted(x.tolist()) == list(range(size))
-    counts = np.array(mixing.shard_counts([500, 3, 0, 97], 64, 1))
+    every = list(mixing.shard_counts(np.array([500, 3, 0, 97]), 64, 1))
+    counts = np.array([c for _, _, c in every])
     assert counts.sum(axis=0).tolist() == [500, 3, 0, 97] and (counts[:-1].sum(axis=1) == 64).all()
+    assert [s.tolist() for _, s, _ in every] == (np.cumsum(counts, axis=0) - counts).tolist()
+    for low in range(10):  # a task finds its shards without the others
+        alone = list(mixing.shard_counts(np.array([500, 3, 0, 97]), 64, 1, low, low + 2))
+        assert [(k, s.tolist(), c.tolist()) for k, s, c in alone] == [(k, s.tolist(), c.tolist()) for k, s, c in every[low : low + 2]]
+
+
+def test_mix_against_a_replay_of_its_slots(docs, rows):
+    """What each document gives, from the words laid out in order, the slots and the blocks alone."""
+    mix = mixing.Mix(docs, block_words=16, shard_slots=32, split_docs=5)
+    placed, slots = mix.placed.collect(), mix.slots().collect()
+    assert sorted(r.size for r in placed) == sorted(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, *_ in rows)
+    streams = defaultdict(dict)
+    for k, r in enumerate(placed):
+        for i in range(r.start, r.start + r.size):
+            assert i not in streams[r.source_no]
+            streams[r.source_no][i] = k
+    for words in streams.values():  # no gaps: one stream of whole blocks but the last
+        assert sorted(words) == list(range(len(words)))
+    got = Counter()
+    for s in slots:
+        for i in range(s.block * 16, s.block * 16 + 16):
+            if i in streams[s.source_no]:
+                got[streams[s.source_no][i]] += 1
+    by_source = Counter((s.source_no, s.block) for s in slots)
+    for source, times in Counter(s.source_no for s in slots).items():  # each pass takes every block once
+        blocks = -(-len(streams[source]) // 16)
+        passes = [by_source[source, b] for b in range(blocks)]
+        assert times == mix.quota[source] and max(passes) - min(passes) <= 1
+    assert Counter(len(list(g)) for _, g in groupby(sorted(s.shard for s in slots))).most_common(1)[0][0] == 32
+    expected = sorted((str(r.doc_id), str(r.source), r.size, got[k]) for k, r in enumerate(placed))
+    assert expected == sorted((str(r.doc_id), str(r.source), r.size, r.taken) for r in mix.taken().collect())
 
 
 def test_mix(spark, docs, rows, nothing):
