@@ -194,6 +194,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """(doc_id, source, size, source_size, target, taken) for each document."""
         times = self.slots().groupBy("source_no", "block").agg(F.count("*").alias("times"))
+        times = times.hint("merge")  # as many rows as blocks: the planner takes them for as few as shards, and would broadcast them
         got = self.pieces().join(times, ["source_no", "block"]).groupBy("source_no", "part", "row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         out = self.placed.join(got, ["source_no", "part", "row"], "left")
         return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
