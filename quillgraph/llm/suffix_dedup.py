@@ -11,8 +11,8 @@ end. Two exchanges (:mod:`chunks`) bring blocks together:
 
 1. Minimizers and block hashes only. A block whose minimizer stands nowhere else has no repeated
    window. Blocks that are equal as a whole are repeated as a whole.
-2. The distinct texts of blocks that share a minimizer but differ. A bucket cuts them into shards
-   of bounded size and builds the suffix array of each by Larsson-Sadakane refinement, takes
+2. The distinct texts of blocks that share a minimizer but differ, each from one chunk that holds
+   it (the others know by 1 that theirs is repeated). A bucket cuts them into shards of bounded size and builds the suffix array of each by Larsson-Sadakane refinement, takes
    common prefixes by Kasai's rule, and looks up windows that another shard of the same
    minimizer may hold by binary search in its suffix array.
 
@@ -259,7 +259,11 @@ BLOCK = np.dtype([("minimizer", "<u4"), ("text", "<u8")])
 
 
 def _meet(parts: list[bytes]) -> list[bytes | None]:
-    """Two bits for each block: its text stands in another part; its minimizer has other texts."""
+    """Two bits for each block: its text stands in another part; its text is wanted.
+
+    Wanted are the texts of a minimizer that has several, each from the first part that holds it:
+    however many chunks share a passage, its text travels once.
+    """
     arrays = [np.frombuffer(p, dtype=BLOCK) for p in parts]
     rows = np.concatenate(arrays)
     order = np.lexsort((rows["text"], rows["minimizer"]))
@@ -272,7 +276,7 @@ def _meet(parts: list[bytes]) -> list[bytes | None]:
     texts = np.bincount(group_a[new_b], minlength=group_a[-1] + 1)
     same, other = np.empty(len(a), dtype=bool), np.empty(len(a), dtype=bool)
     same[order] = np.bincount(group_b)[group_b] > 1
-    other[order] = texts[group_a] > 1
+    other[order] = new_b & (texts[group_a] > 1)
     out, at = [], 0
     for x in arrays:
         s, o = same[at : at + len(x)], other[at : at + len(x)]
