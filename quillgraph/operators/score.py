@@ -109,10 +109,10 @@ def pagerank(p: DataFrame, seeds: DataFrame, rounds: int = 10, alpha: float = AL
     return x.withColumnRenamed("mass", "score")
 
 
-def walks(p: DataFrame, seeds: DataFrame, n_walks: int = 1000, steps: int = STEPS, alpha: float = ALPHA) -> DataFrame:
+def walks(p: DataFrame, seeds: DataFrame, n_walks: int = 10_000, alpha: float = ALPHA) -> DataFrame:
     """(node, visits, score): random walks from an ego over its seeds; each walk counts a node once.
 
-    ``seeds`` is (node, mass). A walk goes on with chance alpha and picks the next node by
+    ``seeds`` is (node, mass). A walk goes on with chance alpha, until all have stopped, and picks the next node by
     cumulative weight in order of node ids. Draws come from a linear congruence of walk and
     step, so that reruns, and other engines, agree. Scores are shares of all counted visits.
     """
@@ -124,11 +124,12 @@ def walks(p: DataFrame, seeds: DataFrame, n_walks: int = 1000, steps: int = STEP
     start = seeds.withColumn("hi", F.round(F.sum("mass").over(first) * 1_000_000).cast("long")).withColumn("lo", F.coalesce(F.lag("hi").over(first), F.lit(0).cast("long")))
     walk = spark.range(n_walks).select(F.col("id").alias("walk")).withColumn("draw", draw(F.col("walk"), 0, 1))
     at = walk.join(F.broadcast(start.select("node", "lo", "hi")), (F.col("draw") >= F.col("lo")) & (F.col("draw") < F.col("hi"))).select("walk", "node")
-    visits = at
-    for k in range(1, steps + 1):
+    visits, k, alive = at, 0, n_walks
+    while alive:
+        k += 1
         going = at.where(draw(F.col("walk"), k, 0) < int(alpha * 1_000_000)).withColumn("draw", draw(F.col("walk"), k, 1))
         at = cut(going.join(ways, (F.col("node") == F.col("src")) & (F.col("draw") >= F.col("lo")) & (F.col("draw") < F.col("hi"))).select("walk", F.col("dst").alias("node")))
-        visits = visits.unionByName(at)
+        visits, alive = visits.unionByName(at), at.limit(1).count()
     counted = visits.groupBy("node").agg(F.countDistinct("walk").alias("visits"))
     total = counted.agg((F.sum("visits") + n_walks).alias("total"))  # the ego is visited by every walk
     return counted.crossJoin(F.broadcast(total)).select("node", "visits", (F.col("visits") / F.col("total")).alias("score"))  # one row

@@ -362,7 +362,7 @@ ring_edges AS (SELECT src, dst, weight FROM edges UNION ALL SELECT a.node, b.nod
 w2 AS (SELECT src, dst, sum(weight) AS w FROM ring_edges GROUP BY 1, 2), p AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w2),
 rseeds AS MATERIALIZED (SELECT work_id AS node, 1.0 / 6 AS mass FROM trust), {diffuse("x", "rseeds", steps=4)}
 SELECT count(*) FILTER (node LIKE 'Cring%') AS n_ring, round(sum(CASE WHEN node LIKE 'Cring%' THEN score ELSE 0 END) / sum(score), 9) AS share FROM x""",
-    "walk_scores": f"WITH {EDGES}, {P}, {SEEDS}, {_walks(1000, 4)} SELECT node, visits, round(visits / (SELECT sum(visits) + 1000 FROM visits), 9) AS score FROM visits",
+    "walk_scores": f"WITH {EDGES}, {P}, {SEEDS}, {_walks(10_000, 65)} SELECT node, visits, round(visits / (SELECT sum(visits) + 10000 FROM visits), 9) AS score FROM visits",
     "rank_percentiles": f"WITH {CORPUS} SELECT id, in_corpus_cited_by, round(cume_dist() OVER (ORDER BY in_corpus_cited_by), 9) AS pct FROM works WHERE NOT is_stub",
     "citation_percentile": f"WITH {CORPUS} SELECT DISTINCT cited_by_count, round(cume_dist() OVER (ORDER BY cited_by_count), 9) AS percentile FROM works WHERE NOT is_stub",
     "popularity_pctile": f"WITH {CORPUS} SELECT id, round((rank() OVER (ORDER BY in_corpus_cited_by) - 1) / count(*) OVER (), 9) AS below FROM works WHERE NOT is_stub",
@@ -394,7 +394,7 @@ w AS (SELECT *, CASE WHEN least(greatest(n_obs, 1), greatest(n_categories, 1)) >
 SELECT dimension, n_obs, n_categories, round(entropy, 9) AS entropy, round(most, 9) AS most, round(CASE WHEN most > 0 THEN entropy / most ELSE 0 END, 9) AS normalised FROM w""",
     "concentration": f"""WITH {OBSERVATIONS}, r AS (SELECT dimension, category, n, round(share, 9) AS share, row_number() OVER (PARTITION BY dimension ORDER BY round(share, 9) DESC, category) AS place FROM shares)
 SELECT dimension, category, n, share, CAST(place AS INTEGER) AS place FROM r WHERE place <= 4 ORDER BY share DESC, dimension, category LIMIT 8""",
-    "bfs_distance": f"WITH {EDGES}, {ROUNDED}, two AS (SELECT work_id AS node FROM trust WHERE pos <= 2), {_levels(3, 300, 'two')} {_all_levels(3)}",
+    "bfs_distance": f"WITH {EDGES}, {ROUNDED}, all_seeds AS (SELECT work_id AS node FROM trust), {_levels(4, 30000, 'all_seeds')} {_all_levels(4)}",
     "explain_paths": f"WITH {EDGES}, {ROUNDED}, {_paths()} SELECT path, src AS seed, relation, round(product, 12) AS weight, round(product / (SELECT sum(product) FROM topp), 9) AS contribution FROM topp",
     "subgraph": f"""WITH {EDGES}, {ROUNDED} SELECT src, dst, weight, context, relation FROM re
 WHERE (src IN (SELECT work_id FROM trust) OR dst IN (SELECT work_id FROM trust)) AND substr(src, 1, 1) IN ('C', 'P', 'A', 'V') AND substr(dst, 1, 1) IN ('C', 'P', 'A', 'V')

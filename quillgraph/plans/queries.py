@@ -11,7 +11,7 @@ from quillgraph.plans import layouts
 from quillgraph.plans.lineage import cut
 from quillgraph.sources import testdata
 
-WALKS, WALK_STEPS = 1000, 4
+WALKS = 10_000
 RING, RING_ANCHORS = 20, 2
 EVAL_STEPS = 2
 
@@ -179,7 +179,7 @@ def ring_share(spark, sf_dir):
 def walk_scores(spark, sf_dir):
     s = _Setting(spark, sf_dir)
     mass = F.round(F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(1))), 12)
-    return _round(score.walks(s.transition().withColumn("p", F.round("p", 12)), s.positive().select("node", mass.alias("mass")), WALKS, WALK_STEPS), "score")
+    return _round(score.walks(s.transition().withColumn("p", F.round("p", 12)), s.positive().select("node", mass.alias("mass")), WALKS), "score")
 
 
 # --- rankings -----------------------------------------------------------------------------
@@ -304,7 +304,7 @@ def concentration(spark, sf_dir):
 
 def bfs_distance(spark, sf_dir):
     s = _Setting(spark, sf_dir)
-    return traverse.distances(_round(s.edges, "weight"), s.trust.where("pos <= 2").select(F.col("work_id").alias("node")), depth=3, frontier=300)
+    return traverse.distances(_round(s.edges, "weight"), s.trust.select(F.col("work_id").alias("node")))
 
 
 def explain_paths(spark, sf_dir):
