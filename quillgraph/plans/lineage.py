@@ -1,24 +1,63 @@
-"""Cutting the lineage of iterative plans.
+"""Tables that cut lineage: Parquet under the folder that driver and executors share.
 
-A step is written as Parquet to the folder in ``spark.checkpoint.dir``, which all executors share,
-so it survives the loss of any of them. Where that setting is unset (tests), a temporary folder
-is set.
+The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset on a local master
+(tests, a single machine) is a folder of our own set; a cluster without it is refused, since each
+executor would write to its own disk. A written table survives the loss of any executor. Tables
+stay until :func:`clear` or the end of the application, because results are lazy and may still
+need them.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str, str | None]] = []
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    sc = df.sparkSession.sparkContext
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder; on a local master without one, a new temporary folder."""
+    sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not place:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quill-steps-"))
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quill-shared-"))
         place = sc.getCheckpointDir()
-    path = f"{place.rstrip('/')}/quill-{name}-{uuid.uuid4().hex}"
+    return place.rstrip("/")
+
+
+def remember(spark: SparkSession, path: str, table: str | None = None) -> None:
+    """Have :func:`clear` delete a folder, and drop its table from the catalog."""
+    _made.append((spark, path, table))
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder and return a frame that reads it back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    remember(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that was written so far; call it once results are stored."""
+    while _made:
+        session, path, table = _made.pop()
+        with contextlib.suppress(Exception):
+            if table:
+                session.sql(f"DROP TABLE IF EXISTS {table}")
+            jvm, conf = session.sparkContext._jvm, session.sparkContext._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+@atexit.register
+def _at_end() -> None:
+    if _made:
+        clear(_made[0][0])
