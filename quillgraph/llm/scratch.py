@@ -1,15 +1,10 @@
-"""Tables that cut lineage: Parquet under the folder that driver and executors share.
+"""Scratch tables of the text operators, and the code that their Python workers need.
 
-The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests, a single
-machine) is a folder of our own set. A written table survives the loss of any executor, and
-later stages read it back by column. Tables stay until :func:`clear` or the end of the
-application, because results are lazy and may still need them.
+Tables are those of :mod:`quillgraph.plans.lineage`, in the folder that driver and executors share.
 """
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -17,8 +12,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.plans.lineage import clear, remember, shared_dir
+from quillgraph.plans.lineage import cut as table
+
 _shipped: set[str] = set()
-_made: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,54 +26,20 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parents[1]
     packed = Path(tempfile.mkdtemp(prefix="quill-ship-")) / "quillgraph_llm.zip"
     with zipfile.ZipFile(packed, "w") as z:
-        z.write(root / "__init__.py", "quillgraph/__init__.py")
-        for f in sorted((root / "llm").glob("*.py")):
-            z.write(f, f"quillgraph/llm/{f.name}")
+        for f in [root / "__init__.py", root / "plans/__init__.py", root / "plans/lineage.py", *sorted((root / "llm").glob("*.py"))]:
+            z.write(f, f"quillgraph/{f.relative_to(root)}")
     sc.addPyFile(str(packed))
     _shipped.add(sc.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, set to a new temporary one if the session names none."""
-    sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="quill-shared-")
-        sc.setCheckpointDir(place)
-        place = sc.getCheckpointDir() or place
-    return place.rstrip("/")
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a frame that reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     """As :func:`table`, in ``n`` buckets by ``key``: joins and groups by it need no exchange of this side."""
     spark = df.sparkSession
     name = f"quill_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     df.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
-    _made.append((spark, path))
+    remember(spark, path, name)
     return spark.table(name)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete every scratch table of this application; call it once results are stored."""
-    while _made:
-        session, path = _made.pop()
-        with contextlib.suppress(Exception):
-            jvm, conf = session.sparkContext._jvm, session.sparkContext._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-
-
-@atexit.register
-def _at_end() -> None:
-    if _made:
-        clear(_made[0][0])
+__all__ = ["bucketed", "clear", "shared_dir", "ship", "table"]
