@@ -90,7 +90,7 @@ class LabelModel:
     expectation-maximisation from the votes alone; the prior is given.
     """
 
-    def __init__(self, votes: np.ndarray, prior: float, rounds: int = 12):
+    def __init__(self, votes: np.ndarray, prior: float, rounds: int = 3):
         """``votes`` is (document, voter) of 0 and 1; the first belief is the share of voters that fire, by rank."""
         self.prior = float(np.clip(prior, 0.005, 0.995))
         votes = votes.astype(np.float64)
