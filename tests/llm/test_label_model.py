@@ -64,7 +64,7 @@ def test_a_round_equals_loops():
 def test_classes_are_found_from_votes_alone():
     v, toxic = votes(2000)
     found = LabelModel(v, 0.3).posterior(v) > 0.5
-    assert found[toxic].mean() > 0.95 and (found == toxic).mean() > 0.85  # a vote for most of the false ones is two votes that repeat each other
+    assert found[toxic].mean() > 0.95 and (found == toxic).mean() > 0.85
 
 
 def test_no_votes_and_one_row():
