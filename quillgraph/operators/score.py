@@ -43,19 +43,26 @@ def return_diagonal(p: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return p.join(other, [*keys, "src", "dst"]).groupBy(*keys, F.col("src").alias("node")).agg(F.sum(F.col("p") * F.col("q")).alias("back"))
 
 
-def diffuse(p: DataFrame, seeds: DataFrame, keys: list[str], on: list[str] | None = None, back: DataFrame | None = None, absorb: bool = False, alpha: float = ALPHA, steps: int = STEPS) -> DataFrame:
+def diffuse(p: DataFrame, seeds: DataFrame, keys: list[str], on: list[str] | None = None, back: DataFrame | None = None, absorb: bool = False, alpha: float = ALPHA, steps: int = STEPS, own: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(*keys, node, score): the sum of alpha**k times the mass after k steps, k from 0.
 
     ``seeds`` is (*keys, node, mass); ``on`` are the keys that ``p`` has too. With ``back``, the
     mass that would come straight back is taken off; with ``absorb``, mass that returns to a seed
-    is lost. Each step is written out, since it refers to the two before it.
+    is lost. ``own`` is (*keys, node) and (*keys, node, dst, p): there, those rows stand in for
+    ``p``'s. Each step is written out, since it refers to the two before it.
     """
     on = on or []
     p = p.withColumnRenamed("src", "node").repartition(*on, "node").persist()  # one exchange for all steps
     x, before, parts = seeds.select(*keys, "node", "mass"), None, []
     parts.append(x.withColumnRenamed("mass", "score"))
     for k in range(1, steps + 1):
-        y = x.join(p, [*on, "node"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
+        flow = [*keys, "dst", (F.col("mass") * F.col("p")).alias("mass")]
+        if own is None:
+            moved = x.join(p, [*on, "node"]).select(*flow)
+        else:
+            common = x.join(own[0], [*keys, "node"], "left_anti").join(p, [*on, "node"])
+            moved = common.select(*flow).unionByName(x.join(own[1], [*keys, "node"]).select(*flow))
+        y = moved.groupBy(*keys, F.col("dst").alias("node")).agg(F.sum("mass").alias("mass"))
         if back is not None and before is not None:
             lost = before.join(back, [*on, "node"]).select(*keys, "node", (F.col("mass") * F.col("back")).alias("lost"))
             y = y.join(lost, [*keys, "node"], "left").select(*keys, "node", F.greatest(F.lit(0.0), F.col("mass") - F.coalesce("lost", F.lit(0.0))).alias("mass"))

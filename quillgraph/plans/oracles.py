@@ -301,24 +301,40 @@ def _walks(n: int, steps: int) -> str:
     return ",\n".join(out)
 
 
-FOLDS = f"""{CORPUS}, {AGED},
+def _fold_steps(steps: int) -> str:
+    out = ["ev0 AS MATERIALIZED (SELECT * FROM eseeds)"]
+    for i in range(1, steps + 1):
+        x = f"ev{i - 1} x"
+        out.append(f"""ev{i} AS MATERIALIZED (SELECT paper, node, sum(m) AS mass FROM (
+  SELECT x.paper, p.dst AS node, x.mass * p.p AS m FROM {x} JOIN p ON p.src = x.node WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.paper = x.paper AND g.src = x.node)
+  UNION ALL SELECT x.paper, o.dst, x.mass * o.p FROM {x} JOIN own o ON o.paper = x.paper AND o.src = x.node) GROUP BY ALL)""")
+    union = " UNION ALL ".join(f"SELECT paper, node, mass * pow(0.85, {i}) AS score FROM ev{i}" for i in range(steps + 1))
+    return ",\n".join([*out, f"ev AS MATERIALIZED (SELECT paper, node, sum(score) AS score FROM ({union}) GROUP BY ALL)"])
+
+
+FOLDS = f"""{EDGES}, {P},
 fullw AS (SELECT id FROM works WHERE NOT is_stub),
 sets AS (SELECT src_id AS paper, dst_id AS ref FROM cit WHERE dst_id IN (SELECT id FROM fullw) AND src_id IN (SELECT id FROM fullw)),
-okp AS (SELECT paper FROM sets GROUP BY 1 HAVING count(*) BETWEEN 18 AND 60),
+okp AS (SELECT paper FROM sets GROUP BY 1 HAVING count(*) BETWEEN 18 AND 60 ORDER BY substr(md5('set|' || paper), 1, 8), paper LIMIT 200),
 folds AS MATERIALIZED (
   SELECT paper, ref, row_number() OVER (PARTITION BY paper ORDER BY substr(md5(paper || '|' || ref), 1, 8), ref) <= greatest(2, floor(count(*) OVER (PARTITION BY paper) / 5)) AS held
   FROM sets WHERE paper IN (SELECT paper FROM okp)
 ),
-w2 AS (SELECT src, dst, sum(weight) AS w FROM cites GROUP BY 1, 2),
-p AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w2),
+gone AS MATERIALIZED (SELECT a.paper, e.src, e.dst, e.context, e.relation FROM edges e JOIN folds a ON a.ref = e.src JOIN folds b ON b.ref = e.dst AND b.paper = a.paper
+  WHERE a.held <> b.held AND e.relation IN ('couples', 'co_cited')),
+own AS MATERIALIZED (SELECT paper, src, dst, w / sum(w) OVER (PARTITION BY paper, src) AS p FROM (
+  SELECT t.paper, e.src, e.dst, sum(e.weight) AS w FROM (SELECT DISTINCT paper, src FROM gone) t JOIN edges e ON e.src = t.src
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.paper = t.paper AND g.src = e.src AND g.dst = e.dst AND g.context = e.context AND g.relation = e.relation) GROUP BY 1, 2, 3)),
 eseeds AS MATERIALIZED (SELECT paper, ref AS node, 1.0 / count(*) OVER (PARTITION BY paper) AS mass FROM folds WHERE NOT held),
-{diffuse("ev", "eseeds", ("paper",), steps=2)},
+{_fold_steps(5)},
 pool AS (SELECT paper, node, round(score, 9) AS score FROM ev WHERE score > 0 AND node IN (SELECT id FROM fullw) AND NOT EXISTS (SELECT 1 FROM folds f WHERE f.paper = ev.paper AND f.ref = ev.node AND NOT f.held)),
 top AS MATERIALIZED (SELECT paper, node FROM (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY score DESC, node) AS i FROM pool) WHERE i <= 25),
 pct AS (SELECT id, (rank() OVER (ORDER BY in_corpus_cited_by) - 1) / count(*) OVER () AS pct FROM works WHERE NOT is_stub),
 pop AS (SELECT paper, quantile_cont(pct, 0.5) AS popularity FROM top JOIN pct ON id = node GROUP BY 1),
-hit AS (SELECT f.paper, count(*) AS n_held, count(t.node) AS n_found FROM folds f LEFT JOIN top t ON t.paper = f.paper AND t.node = f.ref WHERE f.held GROUP BY 1)
-SELECT hit.paper, n_held, n_found, round(n_found / n_held, 9) AS recall, round(popularity, 9) AS popularity FROM hit LEFT JOIN pop ON pop.paper = hit.paper"""
+near AS (SELECT DISTINCT f.paper, e.dst AS ref FROM folds f JOIN edges e ON e.src = f.ref WHERE NOT f.held AND e.context = 'citation'),
+hit AS (SELECT f.paper, count(*) AS n_held, count(t.node) AS n_found, count(*) FILTER (n.ref IS NULL) AS n_far, count(t.node) FILTER (n.ref IS NULL) AS n_far_found
+  FROM folds f LEFT JOIN top t ON t.paper = f.paper AND t.node = f.ref LEFT JOIN near n ON n.paper = f.paper AND n.ref = f.ref WHERE f.held GROUP BY 1)
+SELECT hit.paper, n_held, n_found, round(n_found / n_held, 9) AS recall, n_far, n_far_found, round(popularity, 9) AS popularity FROM hit LEFT JOIN pop ON pop.paper = hit.paper"""
 
 ORACLES = {
     "degree_stats": f"WITH {CORPUS} " + " UNION ALL ".join([_stats("author", "authors", "deg"), _stats("topic", "topics", "deg"), _stats("venue", "venues", "deg"), _stats("institution", "institutions", "deg"), _stats("references", "works", "ref_count", "ref_count > 0"), _stats("citers", "works", "in_corpus_cited_by", "in_corpus_cited_by > 0")]),

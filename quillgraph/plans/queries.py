@@ -9,11 +9,11 @@ from quillgraph.functions import text as tx
 from quillgraph.operators import biblio, corpus, evaluate, graph, rank, resample, score, search, traverse
 from quillgraph.plans import layouts
 from quillgraph.plans.lineage import cut
+from quillgraph.schema import BASELINE
 from quillgraph.sources import testdata
 
 WALKS = 10_000
 RING, RING_ANCHORS = 20, 2
-EVAL_STEPS = 2
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -366,12 +366,15 @@ def doi_normalise(spark, sf_dir):
 
 
 def eval_recall(spark, sf_dir):
-    c = testdata.read(spark, sf_dir)
-    works = cut(c.works, "works")
-    folds = cut(evaluate.hold_out(evaluate.trust_sets(c.citations, works)), "folds")
-    p = cut(score.transition(graph.citation_edges(c.citations, c.works_base)), "transition")
-    found = _round(evaluate.propagate_sets(p, folds, EVAL_STEPS).where("score > 0"), "score", digits=9)
-    return evaluate.recall_at(found, folds, works)
+    """Each of 200 sets by propagation over the whole graph without its leaks."""
+    s = _Setting(spark, sf_dir)
+    folds = cut(evaluate.hold_out(evaluate.sample_sets(evaluate.trust_sets(s.c.citations, s.works))), "folds")
+    found = _round(evaluate.propagate_sets(s.edges, s.transition(), folds).where("score > 0"), "score", digits=9)
+    return evaluate.recall_at(found, folds, s.works, s.edges.where(F.col("context") == BASELINE))
+
+
+def eval_report(spark, sf_dir):
+    return _round(evaluate.report(cut(eval_recall(spark, sf_dir), "recall")), "recall_far", "recall_mean", "recall_lo", "recall_hi", "popularity_mean", "popularity_lo", "popularity_hi")
 
 
 def spearman(spark, sf_dir):
@@ -407,7 +410,7 @@ QUERIES = {
         node_kinds, transition, return_diagonal, propagate_seeds, propagate_signed, background, compose_mean, context_breakdown,
         ppr_fixed_iter, ring_share, walk_scores, rank_percentiles, citation_percentile, popularity_pctile, jackknife, tie_groups, tie_runs,
         lift_rank, trust_units, rank_profile, recommendations, blindspots, simulate_moves, diversity_entropy, concentration, bfs_distance,
-        explain_paths, subgraph, text_rank, rrf_fuse, trigram_match, title_match_year, doi_normalise, eval_recall, spearman, bib_split,
+        explain_paths, subgraph, text_rank, rrf_fuse, trigram_match, title_match_year, doi_normalise, eval_recall, eval_report, spearman, bib_split,
         bib_features, page_furniture,
     )
 }

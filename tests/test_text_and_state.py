@@ -158,6 +158,8 @@ def test_bibtex(spark, tmp_path):
 
 
 def test_leaks_go_both_ways(spark):
-    edges = spark.createDataFrame([("P1", "P2", 1.0, "citation", "couples"), ("P2", "P1", 1.0, "citation", "co_cited"), ("P1", "P2", 1.0, "citation", "cites")], "src string, dst string, weight double, context string, relation string")
-    folds = spark.createDataFrame([("C1", "P1", True), ("C1", "P2", False)], "paper string, ref string, held boolean")
-    assert rows(evaluate.without_leaks(edges, folds), "relation") == [("cites",)]
+    edges = spark.createDataFrame([("P1", "P2", 1.0, "citation", "couples"), ("P2", "P1", 1.0, "citation", "co_cited"), ("P1", "P2", 3.0, "citation", "cites"), ("P1", "P3", 1.0, "citation", "couples"), ("P3", "P1", 1.0, "citation", "couples")], "src string, dst string, weight double, context string, relation string")
+    folds = spark.createDataFrame([("C1", "P1", True), ("C1", "P2", False), ("C2", "P1", True), ("C2", "P4", False)], "paper string, ref string, held boolean")
+    touched, own = evaluate.ablation(edges, folds)
+    assert rows(touched, "paper", "node") == [("C1", "P1"), ("C1", "P2")]
+    assert rows(own, "paper", "node", "dst", "p") == [("C1", "P1", "P2", 0.75), ("C1", "P1", "P3", 0.25)]
