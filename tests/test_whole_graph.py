@@ -1,7 +1,6 @@
 """Queries over the whole graph, similarity edges included, against their SQL."""
 
 import duckdb
-import numpy as np
 import pytest
 
 from quillgraph.plans import oracles, queries
@@ -35,15 +34,3 @@ def test_the_setting_has_similarity_edges(spark):
 @pytest.mark.parametrize("name", ["transition", "propagate_signed", "explain_paths", "blindspots", "recommendations", "eval_recall"])
 def test_whole_graph(spark, name):
     same(queries.QUERIES[name](spark, SF).collect(), answer(oracles.ORACLES[name]))
-
-
-def test_report_against_loops(spark):
-    rows = queries.eval_recall(spark, SF).collect()
-    found = queries.eval_report(spark, SF).collect()[0]
-    recalls, far = [r.recall for r in rows], sum(r.n_far for r in rows)
-    assert (found.n_sets, found.n_far) == (len(rows), far)
-    assert found.recall_mean == pytest.approx(sum(recalls) / len(rows), abs=2e-9)
-    assert found.recall_far == pytest.approx(sum(r.n_far_found for r in rows) / max(far, 1), abs=2e-9)
-    draw = np.random.default_rng(1).integers(0, len(recalls), (4000, len(recalls)))
-    lo, hi = np.percentile(np.array(recalls)[draw].mean(axis=1), [2.5, 97.5])
-    assert found.recall_lo == pytest.approx(lo, abs=0.01) and found.recall_hi == pytest.approx(hi, abs=0.01)
