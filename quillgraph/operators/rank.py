@@ -94,7 +94,7 @@ def recommendations(ranking: DataFrame, merit: DataFrame, distance: DataFrame, d
         raise ValueError("the dial goes from 0 to 1")
     pool = ranking.join(merit.select("node", F.col("score").alias("merit")), "node", "left").withColumn("merit", F.coalesce("merit", F.lit(0.0)))
     pool = pool.join(distance.select("node", "distance"), "node", "left")
-    pool = pool.withColumns({"trust_pct": resample.percentile("score"), "global_pct": resample.percentile("merit"), "novelty": novelty(F.col("distance"))})
+    pool = resample.percentile(resample.percentile(pool, "score", "trust_pct"), "merit", "global_pct").withColumn("novelty", novelty(F.col("distance")))
     blend = (1 - dial) * F.col("trust_pct") + dial * F.col("global_pct") * F.col("novelty")
     out = resample.ranked(pool.withColumn("blend", F.round(blend, 9)), "blend")
     return out.where(F.col("rank") <= limit).select("rank", "node", "blend", "trust_pct", "global_pct", "novelty")
@@ -110,8 +110,8 @@ def blindspots(ranking: DataFrame, merit: DataFrame, works: DataFrame, trust: Da
 
     global_pct is among all of ``merit``, trust_pct among the ranking (0 if absent).
     """
-    mine = ranking.select("node", resample.percentile("score").alias("trust_pct"))
-    every = merit.select("node", resample.percentile("score").alias("global_pct"))
+    mine = resample.percentile(ranking.select("node", "score"), "score", "trust_pct").drop("score")
+    every = resample.percentile(merit.select("node", "score"), "score", "global_pct").drop("score")
     gaps = visible(every, works, trust).join(mine, "node", "left").withColumn("trust_pct", F.coalesce("trust_pct", F.lit(0.0)))
     gaps = gaps.withColumn("gap", F.round(F.col("global_pct") - F.col("trust_pct"), 9)).where("gap > 0")
     return resample.ranked(gaps, "gap").where(F.col("rank") <= limit).select("rank", "node", "gap", "global_pct", "trust_pct")

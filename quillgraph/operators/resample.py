@@ -5,33 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.operators import ordered
 from quillgraph.schema import MOST_REPLICATES
 
 
 def ranked(rows: DataFrame, value: str, node: str = "node", keys: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Ordinal ranks by falling value, ties by id."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc(value), node)))
+    if keys:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), node)))
+    return ordered.numbered(rows, [F.desc(value), F.asc(node)], name)
 
 
-def percentile(value: str, keys: list[str] | None = None):
-    """The share of rows at or below the value; ties share it."""
-    return F.cume_dist().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(value))
+def percentile(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with the share of rows at or below the value; ties share it."""
+    return ordered.with_share(rows, value, name)
 
 
-def strict_percentile(value: str):
-    """The share of rows strictly below the value."""
-    w = Window.partitionBy(F.lit(1))
-    return (F.rank().over(w.orderBy(value)) - 1) / F.count("*").over(w)
+def strict_percentile(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with the share of rows strictly below the value."""
+    return ordered.with_share(rows, value, name, strict=True)
 
 
 def value_percentiles(rows: DataFrame, value: str) -> DataFrame:
-    """(value, percentile): the share of rows at or below each distinct value.
-
-    Counts by value are small beside the rows, so the running sum has few of them.
-    """
-    counts = rows.groupBy(value).agg(F.count("*").alias("n"))
-    every = Window.partitionBy(F.lit(1))
-    return counts.select(value, (F.sum("n").over(every.orderBy(value)) / F.sum("n").over(every)).alias("percentile"))
+    """(value, percentile): the share of rows at or below each distinct value."""
+    return ordered.counted(rows, value).select(value, (F.col("_upto") / F.col("_total")).alias("percentile"))
 
 
 def tie_groups(rows: DataFrame, value: str, error: str, position: str, name: str = "tie_group") -> DataFrame:
@@ -40,20 +37,20 @@ def tie_groups(rows: DataFrame, value: str, error: str, position: str, name: str
     A row starts a new group if it differs from the one before by more than half the sum of
     their errors, up or down.
     """
-    w = Window.partitionBy(F.lit(1)).orderBy(position)
-    apart = F.abs(F.col(value) - F.lag(value).over(w)) > (F.col(error) + F.lag(error).over(w)) / 2
-    new = F.coalesce(apart.cast("int"), F.lit(0))
-    return rows.withColumn("_new", new).withColumn(name, F.sum("_new").over(w)).drop("_new")
+
+
+    def apart(here, before):
+        return F.abs(here[value] - before[value]) > (here[error] + before[error]) / 2
+
+    return ordered.runs(rows, position, [value, error], apart, name)
 
 
 def tie_runs(rows: DataFrame, group: str, position: str) -> DataFrame:
     """(run, tie_group, size, first, last, label): contiguous rows of a group; ties share '=first'."""
-    w = Window.partitionBy(F.lit(1)).orderBy(position)
-    inner = Window.partitionBy(group).orderBy(position)
-    island = F.row_number().over(w) - F.row_number().over(inner)
-    runs = rows.withColumn("_island", island).groupBy(group, "_island").agg(F.count("*").alias("size"), F.min(position).alias("first"), F.max(position).alias("last"))
+    marked = ordered.runs(rows, position, [group], lambda here, before: ~here[group].eqNullSafe(before[group]) & before.isNotNull(), "_run")
+    found = marked.groupBy("_run").agg(F.first(group).alias("tie_group"), F.count("*").alias("size"), F.min(position).alias("first"), F.max(position).alias("last"))
     label = F.concat(F.when(F.col("size") > 1, "=").otherwise(""), F.col("first").cast("string"))
-    return runs.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("first")).alias("run"), F.col(group).alias("tie_group"), "size", "first", "last", label.alias("label"))
+    return found.select((F.col("_run") + 1).cast("int").alias("run"), "tie_group", "size", "first", "last", label.alias("label"))
 
 
 def trust_units(trust: DataFrame, sources: DataFrame) -> DataFrame:
@@ -113,12 +110,8 @@ def bootstrap_mean(rows: DataFrame, value: str, order: str, n: int = 4000, seed:
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n and the correlation of average ranks."""
-    one = Window.partitionBy(F.lit(1))
-
-    def average_rank(c: str):
-        return F.rank().over(one.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
-
-    return rows.withColumns({"_a": average_rank(a), "_b": average_rank(b)}).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho"))
+    both = ordered.with_average_rank(ordered.with_average_rank(rows.select(a, b), a, "_a"), b, "_b")
+    return both.agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho"))
 
 
 def kendall(rows: DataFrame, a: str, b: str, node: str = "node") -> DataFrame:

@@ -114,6 +114,5 @@ def match_references(refs: DataFrame, works: DataFrame, threshold: float = 0.55)
 
 def self_citations(own: DataFrame, refs: DataFrame) -> DataFrame:
     """(work_id, is_self): whether a referenced work shares an author with the reader's own papers."""
-    mine = own.agg(F.collect_set("author_id").alias("mine"))
-    lists = refs.groupBy("work_id").agg(F.collect_set("author_id").alias("authors"))
-    return lists.crossJoin(F.broadcast(mine)).select("work_id", F.arrays_overlap("authors", "mine").alias("is_self"))  # one row
+    mine = own.select("author_id").distinct().withColumn("mine", F.lit(True))
+    return refs.join(mine, "author_id", "left").groupBy("work_id").agg((F.count("mine") > 0).alias("is_self"))

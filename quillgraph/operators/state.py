@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators import corpus, graph
+from quillgraph.operators import corpus, graph, ordered
 
 
 def set_trust(trust: DataFrame, changes: DataFrame) -> DataFrame:
@@ -16,8 +16,7 @@ def set_trust(trust: DataFrame, changes: DataFrame) -> DataFrame:
 
 def local_ids(last: int, rows: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` with an id L<n> from ``last`` + 1 on; numbers are never used again."""
-    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) + last
-    return rows.withColumn("id", F.concat(F.lit("CL"), n))
+    return ordered.numbered(rows, order, "_n").withColumn("id", F.concat(F.lit("CL"), F.col("_n") + last)).drop("_n")
 
 
 def new_uploads(uploads: DataFrame, have: DataFrame) -> DataFrame:

@@ -187,7 +187,7 @@ def walk_scores(spark, sf_dir):
 
 def rank_percentiles(spark, sf_dir):
     works = testdata.read(spark, sf_dir).works.where(~F.col("is_stub"))
-    return _round(works.select("id", "in_corpus_cited_by", resample.percentile("in_corpus_cited_by").alias("pct")), "pct")
+    return _round(resample.percentile(works.select("id", "in_corpus_cited_by"), "in_corpus_cited_by", "pct"), "pct")
 
 
 def citation_percentile(spark, sf_dir):
@@ -197,7 +197,7 @@ def citation_percentile(spark, sf_dir):
 
 def popularity_pctile(spark, sf_dir):
     works = testdata.read(spark, sf_dir).works.where(~F.col("is_stub"))
-    return _round(works.select("id", resample.strict_percentile("in_corpus_cited_by").alias("below")), "below")
+    return _round(resample.strict_percentile(works.select("id", "in_corpus_cited_by"), "in_corpus_cited_by", "below").select("id", "below"), "below")
 
 
 def _replicates(s: _Setting) -> DataFrame:
@@ -218,8 +218,7 @@ def jackknife(spark, sf_dir):
 def _tied(spark, sf_dir) -> DataFrame:
     """Parts by price with an error of a hundredth: a display order with ties."""
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_retailprice", (F.col("p_size") * 0.01).alias("stderr"))
-    ordered = part.withColumn("position", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")))
-    return resample.tie_groups(ordered, "p_retailprice", "stderr", "position")
+    return resample.tie_groups(resample.ranked(part, "p_retailprice", "p_partkey", name="position"), "p_retailprice", "stderr", "position")
 
 
 def tie_groups(spark, sf_dir):
