@@ -106,4 +106,4 @@ def ordinal(n: Column) -> Column:
 
 
 def signed_rank(delta: Column) -> Column:
-    return F.when(delta > 0, F.concat(F.lit("+"), delta.cast("string"))).otherwise(delta.cast("string"))
+    return F.when(delta == 0, "no change").when(delta > 0, F.concat(F.lit("+"), delta.cast("string"))).otherwise(delta.cast("string"))

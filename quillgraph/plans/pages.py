@@ -257,5 +257,5 @@ SELECT p_partkey, CASE WHEN rel < 0.15 THEN 'tight' WHEN rel < 0.5 THEN 'loose'
   CASE WHEN x < 0.2 THEN 'agree' WHEN x < 0.45 THEN 'lean' WHEN x < 0.7 THEN 'differ' ELSE 'split' END AS differs,
   CASE WHEN x <= 0.25 THEN 'close' WHEN x <= 0.5 THEN 'near' WHEN x <= 0.75 THEN 'far' ELSE 'remote' END AS novelty,
   p_partkey || CASE WHEN ten BETWEEN 11 AND 13 THEN 'th' WHEN one = 1 THEN 'st' WHEN one = 2 THEN 'nd' WHEN one = 3 THEN 'rd' ELSE 'th' END AS ordinal,
-  CASE WHEN d > 0 THEN '+' || d ELSE CAST(d AS VARCHAR) END AS moved, p_name AS title, 'W' || p_partkey AS short FROM v""",
+  CASE WHEN d = 0 THEN 'no change' WHEN d > 0 THEN '+' || d ELSE CAST(d AS VARCHAR) END AS moved, p_name AS title, 'W' || p_partkey AS short FROM v""",
 }
