@@ -43,10 +43,15 @@ def arxiv_id(text: Column) -> Column:
 
 
 def title_guess(text: Column) -> Column:
-    """The first sentence after the authors that is 15 to 300 characters long."""
+    """The first sentence after the authors that is 15 to 300 characters long.
+
+    Without one, the sentence after a year in brackets, as author-year styles have it.
+    """
     parts = F.split(text, r"(?<=[.?!])\s+")
     fit = F.filter(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), lambda x: F.length(x).between(15, 300))
-    return F.regexp_replace(F.try_element_at(fit, F.lit(1)), r"[.]$", "")
+    dated = F.trim(F.regexp_extract(text, r"\((?:1[89]|20)\d{2}[a-z]?\)\.?\s*(.+?)(?:[.?!]\s|$)", 1))
+    found = F.coalesce(F.try_element_at(fit, F.lit(1)), F.when(F.length(dated).between(15, 300), dated))
+    return F.regexp_replace(found, r"[.,;]+$", "")
 
 
 def tidy(text: Column) -> Column:

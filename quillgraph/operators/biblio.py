@@ -6,10 +6,11 @@ col null outside columns. Every step is a window or an aggregate by document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
+from quillgraph.plans.lineage import cut
 
 # Thresholds of page furniture, splitting and acceptance.
 FURNITURE_LENGTH, FURNITURE_PAGES = 60, 2
@@ -19,10 +20,25 @@ LEAST_AUTHOR, LEAST_YEAR, LEAST_ORDER = 0.5, 0.6, 0.9
 SOLE_SCORE, MARGIN = 0.55, 0.12
 MOST_TRIM, TAIL_SHARE, LEAST_TAIL_PAGES = 12, 0.4, 2
 MARGIN_SLACK = 2.0
+FONT_STEP, FONT_SLACK, FONT_LINES = 1.5, 0.5, 40
+LEAST_KEYS, LEAST_KEY_SHARE = 8, 0.12
+LEAST_RUN, LEAST_RUN_SHARE, MOST_MISSES = 8, 0.6, 3
+LEAST_TAIL_CHARS = 200
 
 # Patterns of keys, openings and signals.
-HEADING = r"(?i)^\s*(\d+\.?\s*)?(references|bibliography|works cited|literature cited)\s*$"
-TERMINATOR = r"(?i)^\s*(appendix|acknowledge?ments?|supplementary|about the author)"
+HEADINGS = (
+    "references", "reference", "bibliography", "works cited", "literature cited", "literature", "references cited",
+    "bibliographie", "références", "referencias", "bibliografía", "literatur", "literaturverzeichnis", "bibliografia", "riferimenti",
+    "referências", "литература", "список литературы", "参考文献",
+)
+ENDINGS = ("appendix", "appendices", "acknowledgements", "acknowledgments", "supplementary material", "supplement", "annex")
+APPENDIX = r"(?i)^\s*(?:[A-Z]|[IVXLC]+)?\s*\.?\s*append(?:ix|ices)\b"
+ANY_KEY = r"^\s*\[(\d{1,3}|[A-Z][a-zA-Z+\-]*\d{0,2}[a-z]?)\]"
+AUTHORISH = (
+    r"^\s*(?:\[[^\]]{1,12}\]|\d{1,3}\.|(?:[A-Z]\.\s*)+[A-Z][a-z]|"
+    r"[A-Z][\w'À-ɏ-]+,?\s+(?:[A-Z]\.|[A-Z][a-z]|and\b|et\b)|"
+    r"[A-Z][\w'À-ɏ-]+\s+[A-Z]{1,3}\b)"
+)
 BRACKET = r"^\s*\[(\d{1,3})\]"
 ORDINAL = r"^\s*(\d{1,3})\.\s"
 ALPHA = r"^\s*\[([A-Z][A-Za-z+]{0,8}\d{2,4}[a-z]?)\]"
@@ -77,13 +93,83 @@ def columns(lines: DataFrame) -> DataFrame:
     return best.select("doc", "page", F.when(ok, F.round("b.at", 6)).alias("split"))
 
 
+def heading(text: Column) -> Column:
+    """A heading in lower case, without numbers before it, closing marks, and space between its letters."""
+    t = F.trim(F.regexp_replace(F.lower(F.trim(text)), r"[.:]+$", ""))
+    t = F.regexp_replace(t, r"^[0-9ivxlc]+[.\s]+", "")
+    spaced = t.rlike(r"(?U)^(?:\w\s+)+\w$")
+    return F.when(spaced, F.regexp_replace(t, r"(?U)\s+", "")).otherwise(F.regexp_replace(t, r"(?U)\s+", " "))
+
+
+def reference_like(text: Column) -> Column:
+    """Whether a line opens like an author list or a key and holds a year."""
+    return text.rlike(tx.YEAR) & text.rlike(AUTHORISH)
+
+
+def in_columns(lines: DataFrame) -> DataFrame:
+    """Lines with col: as given, else 0 or 1 by the side of the page's split, and null for lines across it."""
+    splits = columns(lines)
+    at = F.col("split") * F.max("x1").over(Window.partitionBy("doc", "page"))
+    side = F.when(F.col("x1") <= at + MARGIN_SLACK, 0).when(F.col("x0") >= at - MARGIN_SLACK, 1)
+    return lines.join(splits, ["doc", "page"], "left").withColumn("col", F.coalesce("col", side)).drop("split")
+
+
 def region(lines: DataFrame) -> DataFrame:
-    """The lines after the last reference heading, up to the first line that ends such a section."""
+    """The lines of each document's bibliography: by heading, else by keys, else by the densest run; none if all fail."""
+    found = cut(headed_region(lines), "region")  # each way reads what the ones before found
+    for detect in (keyed_region, dense_region):
+        rest = lines.join(found.select("doc").distinct(), "doc", "left_anti")
+        found = found.unionByName(cut(detect(rest).select(*found.columns), "region"))
+    return found
+
+
+def headed_region(lines: DataFrame) -> DataFrame:
+    """The lines after the last reference heading, up to the first line that ends such a section.
+
+    Endings are known headings, an appendix, and, where the heading stands FONT_STEP above the middle
+    size of the FONT_LINES lines after it, a line as large as the heading that is no reference.
+    """
     w = Window.partitionBy("doc")
-    head = F.max(F.when(F.col("text").rlike(HEADING), F.col("pos"))).over(w)
-    after = lines.withColumn("_head", head).where("pos > _head")
-    stop = F.min(F.when(F.col("text").rlike(TERMINATOR), F.col("pos"))).over(w)
-    return after.withColumn("_stop", stop).where("_stop is null or pos < _stop").drop("_head", "_stop")
+    is_head = F.when(heading(F.col("text")).isin(*HEADINGS), F.struct("pos", "font_size"))
+    after = lines.withColumn("_head", F.max(is_head).over(w)).where(F.col("pos") > F.col("_head.pos"))
+    nearest = F.row_number().over(w.orderBy("pos")) <= FONT_LINES
+    sizes = F.array_sort(F.collect_list(F.when(F.col("_near") & (F.col("font_size") > 0), F.col("font_size"))).over(w))
+    after = after.withColumn("_near", nearest).withColumn("_sizes", sizes)
+    body = F.coalesce(F.try_element_at("_sizes", F.floor(F.size("_sizes") / 2).cast("int") + 1), F.lit(0.0))
+    large = F.coalesce((F.col("_head.font_size") >= body + FONT_STEP) & (F.col("font_size") >= F.col("_head.font_size") - FONT_SLACK), F.lit(False))
+    ends = heading(F.col("text")).isin(*ENDINGS) | F.col("text").rlike(APPENDIX) | (large & ~reference_like(F.col("text")))
+    stop = F.min(F.when(ends, F.col("pos"))).over(w)
+    return after.withColumn("_stop", stop).where("_stop is null or pos < _stop").drop("_head", "_near", "_sizes", "_stop")
+
+
+def keyed_region(lines: DataFrame) -> DataFrame:
+    """From the first line keyed [1] after which LEAST_KEYS lines, and LEAST_KEY_SHARE of all, start with a key."""
+    rest = Window.partitionBy("doc").orderBy(F.desc("pos"))
+    keyed = F.col("text").rlike(ANY_KEY).cast("int")
+    counts = lines.withColumns({"_keys": F.sum(keyed).over(rest), "_lines": F.count("*").over(rest)})
+    opens = (F.regexp_extract("text", ANY_KEY, 1) == "1") & (F.col("_keys") >= LEAST_KEYS) & (F.col("_keys") / F.col("_lines") >= LEAST_KEY_SHARE)
+    first = F.min(F.when(opens, F.col("pos"))).over(Window.partitionBy("doc"))
+    return counts.withColumn("_first", first).where("pos >= _first").drop("_keys", "_lines", "_first")
+
+
+def dense_region(lines: DataFrame) -> DataFrame:
+    """The longest run of reference-like lines with at most MOST_MISSES others between two of them.
+
+    A run that reaches the document's end keeps the others after it. Of runs of one length the last
+    counts; it needs LEAST_RUN lines, of which LEAST_RUN_SHARE are reference-like.
+    """
+    w = Window.partitionBy("doc")
+    at = lines.withColumns({"_i": F.row_number().over(w.orderBy("pos")), "_n": F.count("*").over(w)})
+    likely = at.where(reference_like(F.col("text")))
+    new = F.when(F.col("_i") - F.lag("_i").over(w.orderBy("_i")) > MOST_MISSES + 1, 1).otherwise(0)
+    run = likely.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.orderBy("_i")))
+    runs = run.groupBy("doc", "_run").agg(F.min("_i").alias("first"), F.max("_i").alias("last"), F.count("*").alias("hits"), F.first("_n").alias("n"))
+    open_end = F.col("n") - F.col("last") <= MOST_MISSES
+    runs = runs.withColumns({"to": F.when(open_end, F.col("n")).otherwise(F.col("last")), "length": F.when(open_end, F.col("n") + 1).otherwise(F.col("last")) - F.col("first")})
+    best = runs.groupBy("doc").agg(F.max(F.struct("length", "first", "to", "hits")).alias("b"))
+    size = F.col("b.to") - F.col("b.first") + 1
+    best = best.where((size >= LEAST_RUN) & (F.col("b.hits") / size >= LEAST_RUN_SHARE))
+    return at.join(best, "doc").where(F.col("_i").between(F.col("b.first"), F.col("b.to"))).drop("_i", "_n", "b")
 
 
 def trimmed(lines: DataFrame) -> DataFrame:
@@ -191,8 +277,15 @@ def paper_title(lines: DataFrame) -> DataFrame:
 
 
 def extract(lines: DataFrame) -> DataFrame:
-    """(doc, method, entry, key, raw, doi, arxiv, year, title) of the documents that are accepted."""
-    ready = trimmed(merged_keys(cleaned(region(lines))))
-    found = entries(ready)
+    """(doc, method, entry, key, raw, doi, arxiv, year, title) of the documents that are accepted.
+
+    Only the last pages are read, in reading order; documents with fewer than LEAST_TAIL_CHARS
+    characters there, such as scans, are refused.
+    """
+    tail = cut(reading_order(in_columns(tail_pages(lines))), "tail")
+    chars = F.sum(F.length("text")).over(Window.partitionBy("doc"))
+    tail = tail.withColumn("_chars", chars).where(F.col("_chars") >= LEAST_TAIL_CHARS).drop("_chars")
+    ready = cut(cleaned(region(tail)), "region")
+    found = cut(entries(trimmed(merged_keys(ready))), "entries")
     chosen = adjudicated(features(found)).where("accepted")
     return parsed(found.join(chosen.select("doc", "method"), ["doc", "method"], "left_semi"))
