@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import resample, score
 from quillgraph.plans.lineage import cut
-from quillgraph.schema import COLD_START, DISCLAIMER, DISTRUST, LIFT_GAMMA, MOST_REPLICATES, STRENGTHS
+from quillgraph.schema import COLD_START, DISCLAIMER, DISTRUST, LIFT_GAMMA, MOST_POOL, MOST_REPLICATES, STRENGTHS
 
 
 def seed_weights(trust: DataFrame) -> DataFrame:
@@ -71,6 +71,32 @@ def lift_rank(ranking: DataFrame, back: DataFrame, gamma: float = LIFT_GAMMA) ->
     return resample.ranked(joined.withColumn("lift", score.lift(F.col("score"), F.col("back"), gamma)), "lift")
 
 
+def pool(ranking: DataFrame, merit: DataFrame, most: int = MOST_POOL) -> DataFrame:
+    """(rank, node, score, trust_pct, merit, global_pct): the first ``most`` of a ranking.
+
+    Both percentiles are among the pool; merit is 0 where ``merit`` has no score.
+    """
+    top = page(resample.ranked(ranking.select("node", "score"), "score"), 0, most)
+    top = top.join(merit.select("node", F.col("score").alias("merit")), "node", "left").withColumn("merit", F.coalesce("merit", F.lit(0.0)))
+    out = resample.percentile(resample.percentile(top, "score", "trust_pct"), "merit", "global_pct")
+    return out.select("rank", "node", "score", "trust_pct", "merit", "global_pct")
+
+
+def lift_profile(scores: DataFrame, back: DataFrame, shown: DataFrame, n_units: int, n_replicates: int, gamma: float = LIFT_GAMMA) -> DataFrame:
+    """(rank, node, lift, stderr, ci_low, ci_high, tie_group) of the nodes of ``shown``, by lift.
+
+    ``scores`` is (replicate, node, score), 0 being the full list. Only the scores vary: the
+    background is one for all readers. A replicate that did not reach a node counts as lift 0, and
+    bands may go below 0. Ties are those of this order.
+    """
+    both = scores.join(back.select("node", F.col("score").alias("back")), "node", "left").withColumn("back", F.coalesce("back", F.lit(0.0)))
+    lifts = cut(both.select("replicate", "node", score.lift(F.col("score"), F.col("back"), gamma).alias("score")), "lifts")
+    full = lifts.where("replicate = 0").join(shown.select("node"), "node", "left_semi").select("node", "score")
+    banded = resample.jackknife(full, lifts.where("replicate > 0"), n_units, n_replicates, is_signed=True)
+    banded = banded.select("node", *[F.round(c, 6).alias(n) for c, n in (("score", "lift"), ("stderr", "stderr"), ("ci_low", "ci_low"), ("ci_high", "ci_high"))])
+    return resample.tie_groups(resample.ranked(banded, "lift"), "lift", "stderr", "rank")
+
+
 def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     """Ranks offset+1 to offset+limit; the numbers stay absolute."""
     return rows.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))

@@ -37,6 +37,7 @@ ALPHA, STEPS = 0.85, 5
 HUB_CAP, LEAST_SHARED, NEIGHBOURS = 200, 3, 15
 MOST_REPLICATES, COLD_START = 12, 5
 RRF_K, SEARCH_LIMIT = 60, 500
+MOST_POOL = 12_000
 LIFT_EPSILON, LIFT_GAMMA = 1e-9, 0.5
 UNREACHED = 99
 DISCLAIMER = "Scores are estimates of closeness to the papers you trust, not of quality."
