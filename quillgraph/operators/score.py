@@ -29,11 +29,14 @@ def views(edges: DataFrame) -> DataFrame:
 
 
 def transition(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(*keys, src, dst, p): weights over their source's total; parallel edges are summed first."""
+    """(*keys, src, dst, p): weights over their source's total; parallel edges are summed first.
+
+    Totals are aggregated before the shuffle and joined back, so that a hub's edges may be split.
+    """
     keys = keys or []
     summed = edges.groupBy(*keys, "src", "dst").agg(F.sum("weight").alias("weight"))
-    total = F.sum("weight").over(Window.partitionBy(*keys, "src"))
-    return summed.withColumn("p", F.col("weight") / total).where("weight > 0").select(*keys, "src", "dst", "p")
+    totals = edges.groupBy(*keys, "src").agg(F.sum("weight").alias("total"))
+    return summed.join(totals, [*keys, "src"]).withColumn("p", F.col("weight") / F.col("total")).where("weight > 0").select(*keys, "src", "dst", "p")
 
 
 def return_diagonal(p: DataFrame, keys: list[str] | None = None) -> DataFrame:

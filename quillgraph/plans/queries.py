@@ -118,7 +118,7 @@ def node_kinds(spark, sf_dir):
 
 
 def transition(spark, sf_dir):
-    return _round(score.transition(graph.build(testdata.read(spark, sf_dir).stored())), "p")
+    return _round(score.transition(cut(graph.build(testdata.read(spark, sf_dir).stored()), "edges")), "p")
 
 
 def return_diagonal(spark, sf_dir):
