@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, langid, mixing, ngram_join, quality, substring_dedup, suffix_dedup, topk, toxicity, url_filter
+from quillgraph.llm import decontaminate, langid, mixing, ngram_join, quality, quantiles, substring_dedup, suffix_dedup, topk, toxicity, url_filter
 
 # The rules of op8 as (action, host, path).
 URL_RULES = [
@@ -73,6 +73,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.classify(_read(spark, sf_dir, "documents"), learned, "toxic", threshold=0.5), 5, 0, "score predicted")
 
 
+def op13_mergeable_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quantiles.streams_of(*(_read(spark, sf_dir, name) for name in ("clicks", "sale_lines", "items")))
+    return quantiles.stream_quantiles(quantiles.batched(rows, 4), batches=4, points=200, least=10, most=1000, parts=4, least_rows=20, per_mille=20)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
+    "op13_mergeable_quantiles": op13_mergeable_quantiles,
 }
 
 ORACLES = {
@@ -161,5 +167,54 @@ WITH iw AS (
 SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op13_mergeable_quantiles": """
+WITH tab AS (
+  SELECT list(v ORDER BY k) AS t FROM (
+    SELECT k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(k))
+), ids AS (
+  SELECT DISTINCT id FROM (SELECT click_id AS id FROM clicks UNION ALL SELECT vendor_id FROM sale_lines)
+), crc AS (
+  SELECT id, CAST(xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ascii(ch) AS BIGINT) FOR ch IN string_split(coalesce(CAST(id AS VARCHAR), ''), '') IF ch <> '']),
+    lambda c, b: xor(t[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8))) % 4 AS INTEGER) AS batch
+  FROM ids, tab
+), src AS (
+  SELECT 'value' AS stream, CAST(client_id AS VARCHAR) AS grp, click_id AS id, value AS money
+  FROM (SELECT DISTINCT click_id, client_id, value FROM clicks)
+  UNION ALL
+  SELECT 'price', brand, vendor_id, price FROM sale_lines JOIN items USING (item_id)
+), x AS (
+  SELECT stream, grp, batch, CAST(floor(100 * money + 0.5) AS BIGINT) + 1000 * batch AS x
+  FROM src JOIN crc ON src.id IS NOT DISTINCT FROM crc.id WHERE grp IS NOT NULL AND money IS NOT NULL AND isfinite(money)
+), c AS (
+  SELECT stream, grp, batch, x, count(*) AS c FROM (SELECT * FROM x UNION ALL SELECT stream, grp, -1, x FROM x) GROUP BY ALL
+), k AS (
+  SELECT *, CAST(sum(c) OVER (PARTITION BY stream, grp, batch ORDER BY x) AS BIGINT) AS upto, CAST(sum(c) OVER (PARTITION BY stream, grp, batch) AS BIGINT) AS n,
+    row_number() OVER (PARTITION BY stream, grp, batch ORDER BY x) AS ord, count(*) OVER (PARTITION BY stream, grp, batch) AS d
+  FROM c
+), p AS (
+  SELECT stream, grp, batch, x, upto - c AS below, upto, n FROM k
+  WHERE batch >= 0 AND (upto = c OR upto * 200 // n > (upto - c) * 200 // n OR ord * 10 // d > (ord - 1) * 10 // d)
+), grid AS (
+  SELECT stream, grp, x, batch, n FROM (SELECT DISTINCT stream, grp, x FROM p) JOIN (SELECT DISTINCT stream, grp, batch, n FROM p) USING (stream, grp)
+), held AS (
+  SELECT g.*, p.below, p.upto,
+    coalesce(last_value(p.upto IGNORE NULLS) OVER (PARTITION BY g.stream, g.grp, g.batch ORDER BY g.x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo,
+    coalesce(first_value(p.below IGNORE NULLS) OVER (PARTITION BY g.stream, g.grp, g.batch ORDER BY g.x ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), g.n) AS hi
+  FROM grid g LEFT JOIN p ON p.stream = g.stream AND p.grp = g.grp AND p.batch = g.batch AND p.x = g.x
+), s AS (
+  SELECT stream, grp, -1 AS batch, x, sum(coalesce(below, hi)) AS bh, sum(coalesce(upto, lo)) AS ul, sum(n) AS n FROM held GROUP BY stream, grp, x
+  UNION ALL SELECT stream, grp, batch, x, below, upto, n FROM p
+), t AS (
+  SELECT *, (i * n + 3) // 4 AS target FROM s, (SELECT unnest([1, 2, 3]) AS i) WHERE n >= 20
+), a AS (
+  SELECT stream, grp, batch, i, n, target, count(*) AS points, min({'bound': greatest(0, bh + 1 - target, target - ul), 'x': x}) AS best FROM t GROUP BY ALL
+)
+SELECT a.stream, a.grp, CAST(a.batch AS INTEGER) AS batch, CAST(a.i AS INTEGER) AS i, CAST(a.n AS BIGINT) AS n, CAST(a.target AS BIGINT) AS target,
+  e.x AS exact_x, a.points, a.best.x AS answer, w.upto - w.c AS n_below, w.upto AS n_upto,
+  CAST(greatest(0, w.upto - w.c + 1 - a.target, a.target - w.upto) AS BIGINT) AS rank_error,
+  1000 * greatest(0, w.upto - w.c + 1 - a.target, a.target - w.upto) <= 20 * a.n AS within, CAST(a.best.bound AS BIGINT) AS bound
+FROM a JOIN k w ON w.stream = a.stream AND w.grp = a.grp AND w.batch = a.batch AND w.x = a.best.x
+JOIN k e ON e.stream = a.stream AND e.grp = a.grp AND e.batch = a.batch AND e.upto >= a.target AND e.upto - e.c < a.target
 """,
 }
