@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, langid, mixing, ngram_join, quality, quantiles, substring_dedup, suffix_dedup, topk, toxicity, url_filter
+from quillgraph.llm import alignment, decontaminate, langid, mixing, ngram_join, quality, quantiles, substring_dedup, suffix_dedup, topk, toxicity, url_filter
 
 # The rules of op8 as (action, host, path).
 URL_RULES = [
@@ -73,6 +73,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.classify(_read(spark, sf_dir, "documents"), learned, "toxic", threshold=0.5), 5, 0, "score predicted")
 
 
+#: The public tokenizers' files, at the same place on every machine.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op13_mergeable_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quantiles.streams_of(*(_read(spark, sf_dir, name) for name in ("clicks", "sale_lines", "items")))
     return quantiles.stream_quantiles(quantiles.batched(rows, 4), batches=4, points=200, least=10, most=1000, parts=4, least_rows=20, per_mille=20)
@@ -89,6 +97,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op13_mergeable_quantiles": op13_mergeable_quantiles,
 }
 
