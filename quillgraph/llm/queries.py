@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import alignment, decontaminate, langid, mixing, ngram_join, quality, quantiles, substring_dedup, suffix_dedup, topk, toxicity, url_filter
+from quillgraph.llm import alignment, decontaminate, langid, mixing, neighbours, ngram_join, quality, quantiles, substring_dedup, suffix_dedup, topk, toxicity, url_filter
 
 # The rules of op8 as (action, host, path).
 URL_RULES = [
@@ -81,6 +81,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op13_mergeable_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quantiles.streams_of(*(_read(spark, sf_dir, name) for name in ("clicks", "sale_lines", "items")))
     return quantiles.stream_quantiles(quantiles.batched(rows, 4), batches=4, points=200, least=10, most=1000, parts=4, least_rows=20, per_mille=20)
@@ -98,6 +102,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_mergeable_quantiles": op13_mergeable_quantiles,
 }
 
