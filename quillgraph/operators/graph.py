@@ -52,17 +52,17 @@ def topic_edges(links: DataFrame, topics: DataFrame) -> DataFrame:
     return entity_edges(links, scaled, "topic_id", "topic", "tagged", "tags", F.col("idf") / F.col("top_idf"))
 
 
-def _top_neighbours(pairs: DataFrame, relation: str, k: int) -> DataFrame:
+def _top_neighbours(pairs: DataFrame, relation: str, k: int, both: bool = True) -> DataFrame:
     """Each paper's k strongest of the undirected pairs (a, b, weight), as directed edges.
 
-    Weights are rounded to 12 digits first, so that equal fractions tie however they were formed.
+    Without ``both``, pairs stand both ways round already, or only one way is wanted. Weights are rounded to 12 digits first, so that equal fractions tie however they were formed.
     """
     weight = F.round("weight", 12).alias("weight")
     # each pair both ways from one row, so that the pairs are made once
     ways = F.array(F.struct(F.col("a"), F.col("b"), weight), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), weight))
-    both = pairs.select(F.explode(ways).alias("way")).select("way.*")
+    each = pairs.select(F.explode(ways).alias("way")).select("way.*") if both else pairs.select("a", "b", weight)
     w = Window.partitionBy("a").orderBy(F.desc("weight"), F.desc("b"))
-    kept = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    kept = each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return _edges(kept, F.col("a"), F.col("b"), F.col("weight"), BASELINE, relation)
 
 
@@ -79,35 +79,57 @@ def _pairs(links: DataFrame, key: str, member: str) -> DataFrame:
     return each.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def coupling(citations: DataFrame, cap: int = HUB_CAP, least: int = LEAST_SHARED, k: int = NEIGHBOURS) -> DataFrame:
+def _pairs_of(links: DataFrame, key: str, member: str, of: DataFrame) -> DataFrame:
+    """(a, b, n): as :func:`_pairs` and both ways round, for members a of ``of`` alone."""
+    mine = links.join(of.select(member).distinct(), member, "left_semi").select(key, F.col(member).alias("a"))
+    return mine.join(links.select(key, F.col(member).alias("b")), key).where("a != b").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def coupling(citations: DataFrame, cap: int = HUB_CAP, least: int = LEAST_SHARED, k: int = NEIGHBOURS, of: DataFrame | None = None) -> DataFrame:
     """Papers with common references: .35 n over the size of the union of their full reference lists.
 
     n counts references with 2 to ``cap`` citers. The union's size needs the intersection with
     all references; hubs are too many to join on, but a pair that shares n kept references
-    finds its hub intersection from the hub references of the two papers alone.
+    finds its hub intersection from the hub references of the two papers alone. With ``of`` (src_id),
+    the lists of those papers alone.
     """
     degree = citations.groupBy("dst_id").agg(F.count("*").alias("citers"))
     kept = citations.join(degree.where(F.col("citers").between(2, cap)), "dst_id", "left_semi")
     hubs = citations.join(degree.where(F.col("citers") > cap), "dst_id", "left_semi").groupBy("src_id").agg(F.collect_set("dst_id").alias("hubs"))
     sizes = citations.groupBy("src_id").agg(F.count("*").alias("refs")).join(hubs, "src_id", "left")
-    pairs = _pairs(kept, "dst_id", "src_id").where(F.col("n") >= least)
+    pairs = (_pairs(kept, "dst_id", "src_id") if of is None else _pairs_of(kept, "dst_id", "src_id", of)).where(F.col("n") >= least)
     for x in ("a", "b"):
         pairs = pairs.join(sizes.select(F.col("src_id").alias(x), F.col("refs").alias(f"refs_{x}"), F.col("hubs").alias(f"hubs_{x}")), x)
     common = F.col("n") + F.coalesce(F.size(F.array_intersect("hubs_a", "hubs_b")), F.lit(0))
     weight = W["couples"] * F.col("n") / (F.col("refs_a") + F.col("refs_b") - common)
-    return _top_neighbours(pairs.withColumn("weight", weight), "couples", k)
+    return _top_neighbours(pairs.withColumn("weight", weight), "couples", k, both=of is None)
+
+
+def _cocited_pairs(citations: DataFrame, cap: int, least: int, of: DataFrame | None = None) -> DataFrame:
+    """(a, b, n) of papers cited together by at least ``least`` papers of at most ``cap`` references."""
+    short = citations.groupBy("src_id").agg(F.count("*").alias("refs")).where(F.col("refs") <= cap)
+    kept = citations.join(short, "src_id", "left_semi")
+    return (_pairs(kept, "src_id", "dst_id") if of is None else _pairs_of(kept, "src_id", "dst_id", of)).where(F.col("n") >= least)
 
 
 def cocitation(citations: DataFrame, cap: int = HUB_CAP, least: int = LEAST_SHARED, k: int = NEIGHBOURS) -> DataFrame:
     """Papers cited together by papers of at most ``cap`` references, on a log scale of the largest count."""
-    short = citations.groupBy("src_id").agg(F.count("*").alias("refs")).where(F.col("refs") <= cap)
-    pairs = _pairs(citations.join(short, "src_id", "left_semi"), "src_id", "dst_id").where(F.col("n") >= least)
+    pairs = _cocited_pairs(citations, cap, least)
     # the largest count over all pairs is the largest over those kept, if any is kept
     top = pairs.agg(F.max("n").alias("top"))
     weight = W["co_cited"] * F.log1p("n") / F.log1p("top")
     return _top_neighbours(pairs.crossJoin(F.broadcast(top)).withColumn("weight", weight), "co_cited", k)  # one row
 
 
+def cocited_lists(citations: DataFrame, cap: int = HUB_CAP, least: int = LEAST_SHARED, k: int = NEIGHBOURS, of: DataFrame | None = None) -> DataFrame:
+    """(src, dst, n): the pairs behind :func:`cocitation` with their counts; with ``of`` (dst_id), of those papers alone.
+
+    Weights grow with the counts, so these lists are those by weight.
+    """
+    found = _top_neighbours(_cocited_pairs(citations, cap, least, of).withColumn("weight", F.col("n").cast("double")), "co_cited", k, both=of is None)
+    return found.select("src", "dst", F.col("weight").cast("long").alias("n"))
+
+
 def dedupe(edges: DataFrame) -> DataFrame:
     """The strongest edge of each (src, dst, context); of equal ones, the first in RELATION_WEIGHTS."""
     rank = F.create_map(*[x for i, r in enumerate(W) for x in (F.lit(r), F.lit(-i))])
