@@ -2,9 +2,10 @@
 
 A document, with one space in front, is cut before runs of white space wherever neither vocabulary
 can have a token across the cut, so the tokens of a document are those of its segments end to end.
-Each distinct segment of the corpus is tokenised and aligned once; the alignments are joined back to
-the chunks of documents (see :mod:`quillgraph.llm.chunks`) that hold the segment, and documents are
-composed from them. A common word is sent once by each chunk, whatever the number of its occurrences.
+Each distinct segment of the corpus is tokenised and aligned once: chunks of documents (see
+:mod:`quillgraph.llm.chunks`) send their distinct segments to buckets by hash, a bucket aligns what it
+was sent once, and the alignments go back to the chunks, where documents are composed. A common word
+is sent once by each chunk, whatever the number of its occurrences.
 
 How the cuts are proved: a byte-level vocabulary with its usual pattern never puts white space after
 other characters into one piece of text, and its tokens stay in their pieces. A piece vocabulary
@@ -21,18 +22,21 @@ import hashlib
 import json
 import os
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm import chunks as ch
 from quillgraph.llm import scratch
 
-#: Chunks are larger than elsewhere, as each sends its distinct segments twice.
+#: Chunks are larger than elsewhere, as each sends and gets each of its distinct segments.
 CHUNK_BYTES = 8 << 20
 #: White space of both vocabularies' patterns, as a class of characters.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -109,7 +113,7 @@ class Pair:
 
     def aligned(self, segments: list[str]) -> Iterator[tuple[bool, list[int], list[int], str, int, list[int], list[int]]]:
         """(restored, a ids, b ids, groups as text, number of groups, a and b id of each link) of each segment."""
-        for s, a, b in zip(segments, (e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)), self.tokens_b(segments), strict=True):
+        for s, a, b in zip(segments, (e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)), self.tokens_b(segments), strict=True):
             raw = s.encode()
             parts_a, parts_b = [self.a_bytes.get(i) for i in a], [self.b_bytes[i] for i in b]
             if None in parts_a or None in parts_b or b"".join(parts_a) != raw or b"".join(parts_b) != raw:
@@ -153,111 +157,165 @@ def _texts(chunk: ch.Chunk) -> Iterator[tuple[int, str]]:
             yield k, chunk.text(k).decode("utf-8", "replace")
 
 
-def held_segments(chunks: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """(chunk, segment): the distinct segments of each chunk."""
-
-    def out(batches):
-        cut = pair(a_file, b_file)
-        for batch in batches:
-            for k, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found: set[str] = set()
-                for _, text in _texts(ch.Chunk.unpack(payload.as_py())):
-                    found.update(cut.segments(text))
-                whole = list(found)
-                for at in range(0, len(whole), 20_000):
-                    part = whole[at : at + 20_000]
-                    yield pa.RecordBatch.from_pydict({"chunk": [k] * len(part), "segment": part})
-                ch.trim()
-
-    return chunks.select("chunk", "payload").mapInArrow(out, "chunk long, segment string")
-
-
-ALIGNED = "segment string, ok boolean, n_a int, n_b int, n_groups int, groups string, link_a array<int>, link_b array<int>"
-
-
-def align_segments(segments: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """ALIGNED: each segment of a frame of distinct ones, tokenised by both and aligned."""
-
-    def out(batches):
-        both = pair(a_file, b_file)
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for at in range(0, len(names), 2000):
-                part = names[at : at + 2000]
-                rows = [(s, ok, len(a), len(b), n, text, la, lb) for s, (ok, a, b, text, n, la, lb) in zip(part, both.aligned(part), strict=True)]
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["segment", "ok", "n_a", "n_b", "n_groups", "groups", "link_a", "link_b"])
-
-    return segments.select("segment").mapInArrow(out, ALIGNED)
-
-
-def _pair_counts(left: pa.Table, right: pa.Table, cut: Pair) -> pa.Table:
-    """(a, b, docs): in how many of a chunk's restored documents two ids are linked."""
-    if not len(right):
-        return pa.table({"a": pa.array([], type=pa.int32()), "b": pa.array([], type=pa.int32()), "docs": pa.array([], type=pa.int64())})
-    names = {s: i for i, s in enumerate(right.column("segment").to_pylist())}
-    ok = right.column("ok").to_numpy()
-    link_a, link_b = (right.column(c).combine_chunks() for c in ("link_a", "link_b"))
-    ends = link_a.offsets.to_numpy()
-    key = link_a.flatten().to_numpy().astype(np.int64) << 32 | link_b.flatten().to_numpy()
-    pairs, code = np.unique(key, return_inverse=True)
-    ends = ends - ends[0]
-    # the distinct pairs of each segment
-    own = [np.unique(code[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
-    docs = np.zeros(len(pairs), dtype=np.int64)
-    for payload in left.column("payload").to_pylist():
-        for _, text in _texts(ch.Chunk.unpack(payload)):
-            held = [names[s] for s in set(cut.segments(text))]
-            if ok[held].all():
-                docs[np.unique(np.concatenate([own[i] for i in held]))] += 1
-    some = docs > 0
-    return pa.table({"a": (pairs[some] >> 32).astype(np.int32), "b": (pairs[some] & 0xFFFFFFFF).astype(np.int32), "docs": docs[some]})
+def _packed(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays and bytes in one compressed binary, each with its size in front."""
+    raw = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(x) for x in raw], dtype=np.int64).tobytes(), *raw]))
+
+
+def _unpacked(payload: bytes, kinds: list) -> list:
+    """What :func:`_packed` was given; ``kinds`` are the number types, None for bytes."""
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    sizes = np.frombuffer(raw, dtype=np.int64, count=len(kinds))
+    at, out = 8 * len(kinds), []
+    for kind, size in zip(kinds, sizes.tolist(), strict=True):
+        part = raw[at : at + size]
+        out.append(part if kind is None else np.frombuffer(part, dtype=kind))
+        at += size
+    return out
+
+
+def _pieces(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes).tolist()
+    return [data[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+
+
+class Held:
+    """The distinct segments of a chunk in order of their bucket, and each document as places in them."""
+
+    def __init__(self, chunk: ch.Chunk, cut: Pair, n_buckets: int):
+        seen: defaultdict[str, int] = defaultdict()
+        seen.default_factory = seen.__len__
+        docs = [(k, np.fromiter(map(seen.__getitem__, cut.segments(text)), dtype=np.int64)) for k, text in _texts(chunk)]
+        raw = [s.encode() for s in seen]
+        bucket = np.fromiter((zlib.crc32(x) for x in raw), dtype=np.int64, count=len(raw)) * n_buckets >> 32
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(raw), dtype=np.int64)
+        place[order] = np.arange(len(raw))
+        self.raw, self.bucket = [raw[i] for i in order.tolist()], bucket[order]
+        self.docs = [(k, place[x]) for k, x in docs]
+
+    def messages(self) -> Iterator[tuple[int, bytes]]:
+        for b, lo, hi in _runs(self.bucket):
+            yield b, _packed(np.array([len(x) for x in self.raw[lo:hi]], dtype=np.uint32), b"".join(self.raw[lo:hi]))
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of each run of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True):
+        yield int(values[lo]), lo, hi
+
+
+#: What a bucket answers for the segments of one message: numbers of A's and B's tokens, groups and links,
+#: bytes of the groups' text, then all links and all texts. A segment that isn't restored has none of it.
+ALIGNED = [np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, None]
+
+
+def _align_bucket(parts: list[bytes], both: Pair) -> list[bytes]:
+    """Tokenises and aligns the distinct segments of a bucket once, and answers each message."""
+    known: dict[bytes, int] = {}
+    asked = []
+    for part in parts:
+        sizes, data = _unpacked(part, [np.uint32, None])
+        asked.append([known.setdefault(x, len(known)) for x in _pieces(data, sizes)])
+    names = [x.decode() for x in known]
+    found = [x for at in range(0, len(names), 2000) for x in both.aligned(names[at : at + 2000])]
+    texts = [x[3].encode() for x in found]
+    numbers = np.array([(len(x[1]), len(x[2]), x[4], len(x[5]), len(t)) for x, t in zip(found, texts, strict=True)], dtype=np.uint32).reshape(-1, 5)
+    link_a, link_b = ([np.array(x[i], dtype=np.uint32) for x in found] for i in (5, 6))
+    out = []
+    for mine in asked:
+        out.append(_packed(*(numbers[mine, i] for i in range(5)), np.concatenate([link_a[i] for i in mine]), np.concatenate([link_b[i] for i in mine]), b"".join([texts[i] for i in mine])))
+    return out
+
+
+class Aligned:
+    """The answers of all buckets to a chunk, end to end in the order of its segments."""
+
+    def __init__(self, replies: dict[int, bytes], held: Held, texts: bool):
+        got = [_unpacked(replies[b], ALIGNED) for b, _, _ in _runs(held.bucket)]
+        self.numbers = np.stack([np.concatenate([g[i] for g in got]) for i in range(4)], axis=1).astype(np.int64) if got else np.zeros((0, 4), dtype=np.int64)
+        self.ok = self.numbers[:, 0] > 0
+        empty = np.zeros(0, dtype=np.uint32)
+        key = np.concatenate([empty, *(g[5] for g in got)]).astype(np.int64) << 32 | np.concatenate([empty, *(g[6] for g in got)]).astype(np.int64)
+        #: The distinct pairs in order, the pair of each link, and where each segment's links begin and end.
+        self.pairs, self.code = np.unique(key, return_inverse=True)
+        self.ends = np.concatenate([[0], np.cumsum(self.numbers[:, 3])])
+        self.texts = [t.decode() for g in got for t in _pieces(g[7], g[4])] if texts else []
+
+
+def _pair_counts(aligned: Aligned, held: Held) -> np.ndarray:
+    """In how many of a chunk's restored documents each of its pairs is linked."""
+    own = [np.unique(aligned.code[lo:hi]) for lo, hi in zip(aligned.ends[:-1].tolist(), aligned.ends[1:].tolist(), strict=True)]
+    docs = np.zeros(len(aligned.pairs), dtype=np.int64)
+    for _, at in held.docs:
+        some = np.unique(at)
+        if aligned.ok[some].all():
+            docs[np.unique(np.concatenate([own[i] for i in some.tolist()]))] += 1
+    return docs
+
+
+def _pair_bucket(pairs: np.ndarray, n_buckets: int) -> np.ndarray:
+    """All pairs of an id of A are in one bucket."""
+    return (pairs >> 32) % n_buckets
+
+
+def _pair_messages(number: int, aligned: Aligned, docs: np.ndarray, n_buckets: int) -> pd.DataFrame:
+    bucket = _pair_bucket(aligned.pairs, n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    sent = [(b, _packed(aligned.pairs[order[lo:hi]], docs[order[lo:hi]])) for b, lo, hi in _runs(bucket[order])]
+    return pd.DataFrame({"chunk": [number] * len(sent), "bucket": [b for b, _ in sent], "part": [x for _, x in sent]}, columns=["chunk", "bucket", "part"])
+
+
+def _count_bucket(parts: list[bytes]) -> list[bytes]:
+    """For each pair of a message: its documents over all chunks, and whether that is the highest of its id of A."""
+    got = [_unpacked(part, [np.int64, np.int64]) for part in parts]
+    pairs, code = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    count = np.zeros(len(pairs), dtype=np.int64)
+    np.add.at(count, code, np.concatenate([g[1] for g in got]))
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] >> 32 != pairs[:-1] >> 32]))
+    top = np.repeat(np.maximum.reduceat(count, first), np.diff(np.append(first, len(pairs))))
+    best = (count == top).astype(np.int64)
+    return [_packed(count[mine], best[mine]) for mine in np.split(code, np.cumsum([len(g[0]) for g in got])[:-1])]
 
 
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-
-
-def _composed(left: pa.Table, right: pa.Table, cut: Pair) -> pa.Table:
-    """DIGEST of a chunk's documents from the alignments of its segments."""
-    names = {s: i for i, s in enumerate(right.column("segment").to_pylist())}
-    numbers = ["ok", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    facts = np.stack([right.column(c).to_numpy().astype(np.int64) for c in numbers], axis=1) if len(names) else np.zeros((0, 7), dtype=np.int64)
-    groups = right.column("groups").to_pylist()
-    rows = []
-    for payload in left.column("payload").to_pylist():
-        chunk = ch.Chunk.unpack(payload)
-        sums = np.zeros((len(chunk), 6), dtype=np.int64)
-        hashes = [""] * len(chunk)
-        for k, text in _texts(chunk):
-            at = [names[s] for s in cut.segments(text)]
-            found = facts[at]
-            if found[:, 0].all():
-                sums[k] = found[:, 1:].sum(axis=0)
-                digest = hashlib.sha256()
-                for lo in range(0, len(at), 100_000):
-                    digest.update((";" if lo else "").encode() + ";".join([groups[i] for i in at[lo : lo + 100_000]]).encode())
-                hashes[k] = digest.hexdigest()
-        rows.append(pa.table({"doc_id": pa.array(chunk.ids, mask=chunk.id_null), **{c: sums[:, i] for i, c in enumerate(numbers[1:])}, "groups_sha256": hashes}))
-    return pa.concat_tables(rows)
-
-
-def _by_chunk(chunks: DataFrame, facts: DataFrame, make, schema: str, a_file: str, b_file: str) -> DataFrame:
-    """``make(chunks, facts of the chunk, Pair)`` for each chunk."""
-
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        done = make(left, right, pair(a_file, b_file))
+_SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+
+
+def _composed(chunk: ch.Chunk, held: Held, aligned: Aligned, counts: dict[int, bytes], n_buckets: int) -> pd.DataFrame:
+    """DIGEST of a chunk's documents."""
+    bucket = _pair_bucket(aligned.pairs, n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    facts = np.zeros((len(aligned.pairs), 2), dtype=np.int64)  # best, count of each pair
+    for b, lo, hi in _runs(bucket[order]):
+        count, best = _unpacked(counts[b], [np.int64, np.int64])
+        facts[order[lo:hi], 0], facts[order[lo:hi], 1] = best, count
+    upto = np.concatenate([np.zeros((1, 2), dtype=np.int64), np.cumsum(facts[aligned.code], axis=0)])
+    whole = np.concatenate([aligned.numbers, upto[aligned.ends[1:]] - upto[aligned.ends[:-1]]], axis=1)
+    sums = np.zeros((len(chunk), 6), dtype=np.int64)
+    hashes = [""] * len(chunk)
+    for k, at in held.docs:
+        if aligned.ok[at].all():
+            sums[k] = whole[at].sum(axis=0)
+            digest = hashlib.sha256()
+            for lo in range(0, len(at), 100_000):
+                digest.update((";" if lo else "").encode() + ";".join([aligned.texts[i] for i in at[lo : lo + 100_000].tolist()]).encode())
+            hashes[k] = digest.hexdigest()
+    ids = pd.Series(chunk.ids, dtype="Int64").mask(chunk.id_null)
+    return pd.DataFrame({"doc_id": ids, **{c: sums[:, i] for i, c in enumerate(_SUMS)}, "groups_sha256": hashes})
+
+
+def _answered(parts: DataFrame, answer) -> DataFrame:
+    """(chunk, bucket, answer): ``answer`` takes all messages of a bucket and returns as many binaries."""
+
+    def back(group: pd.DataFrame) -> pd.DataFrame:
+        out = group[["chunk", "bucket"]].assign(answer=answer(list(group["part"])))
         ch.trim()
-        return done
-
-    left = chunks.select("chunk", "payload").groupBy("chunk")
-    return left.cogroup(facts.groupBy("chunk")).applyInArrow(both, schema)
-
+        return out
 
-def counted_pairs(counts: DataFrame) -> DataFrame:
-    """(a, b, count, best): documents that hold each pair linked, and whether it is the highest of its a."""
-    sums = counts.groupBy("a", "b").agg(F.sum("docs").alias("count"))
-    return sums.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("a")))
+    return parts.groupBy("bucket").applyInPandas(back, "chunk long, bucket long, answer binary")
 
 
 def align(docs: DataFrame, a_file: str, b_file: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -270,17 +328,25 @@ def align(docs: DataFrame, a_file: str, b_file: str, chunk_bytes: int = CHUNK_BY
     all documents. An empty table gives an empty result; other columns are not read. A segment
     without a place to cut is as long as its text.
     """
-    spark = docs.sparkSession
-    chunks, _ = ch.chunked(docs, chunk_bytes)
-    held = scratch.table(held_segments(chunks, a_file, b_file), "segments")
-    aligned = scratch.table(align_segments(held.select("segment").distinct(), a_file, b_file), "aligned")
-    links_of = held.join(aligned.select("segment", "ok", "link_a", "link_b"), "segment")
-    counts = _by_chunk(chunks, links_of, _pair_counts, "a int, b int, docs long", a_file, b_file)
-    pairs = scratch.table(counted_pairs(counts), "pairs")
-    each = aligned.select("segment", F.explode(F.arrays_zip("link_a", "link_b")).alias("l")).select("segment", F.col("l.link_a").alias("a"), F.col("l.link_b").alias("b"))
-    scored = each.join(pairs, ["a", "b"]).groupBy("segment").agg(F.sum("count").alias("count_sum"), F.sum(F.col("best").cast("long")).alias("n_best"))
-    zero = F.lit(0).cast("long")
-    full = aligned.join(scored, "segment", "left").select(
-        "segment", "ok", "n_a", "n_b", "n_groups", F.size("link_a").alias("n_links"), F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups"
-    )
-    return _by_chunk(chunks, held.join(scratch.table(full, "scored"), "segment"), _composed, DIGEST, a_file, b_file)
+    chunks, totals = ch.chunked(docs, chunk_bytes)
+    n = ch.buckets_for(docs.sparkSession, totals["n_bytes"])
+
+    def align_all(parts):
+        return _align_bucket(parts, pair(a_file, b_file))
+
+    aligned = scratch.table(ch.exchange(chunks, lambda chunk: Held(chunk, pair(a_file, b_file), n).messages(), align_all), "aligned")
+
+    def count(chunk: ch.Chunk, replies: dict[int, bytes]) -> pd.DataFrame:
+        held = Held(chunk, pair(a_file, b_file), n)
+        found = Aligned(replies, held, texts=False)
+        return _pair_messages(chunk.number, found, _pair_counts(found, held), n)
+
+    counted = _answered(ch.with_answers(chunks, aligned, count, "chunk long, bucket long, part binary"), _count_bucket)
+
+    def compose(chunk: ch.Chunk, replies: dict[int, bytes]) -> pd.DataFrame:
+        held = Held(chunk, pair(a_file, b_file), n)
+        found = Aligned(replies, held, texts=True)
+        return _composed(chunk, held, found, {b - n: x for b, x in replies.items() if b >= n}, n)
+
+    both = aligned.unionByName(counted.withColumn("bucket", F.col("bucket") + n))
+    return ch.with_answers(chunks, both, compose, DIGEST)
