@@ -111,36 +111,38 @@ class Pair:
             out.append(ids)
         return out
 
-    def aligned(self, segments: list[str]) -> Iterator[tuple[bool, list[int], list[int], str, int, list[int], list[int]]]:
-        """(restored, a ids, b ids, groups as text, number of groups, a and b id of each link) of each segment."""
+    def aligned(self, segments: list[str]) -> Iterator[tuple[list[int], list[int], bytes]]:
+        """(a ids, b ids, ends of links) of each segment; nothing for those that aren't restored."""
         for s, a, b in zip(segments, (e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)), self.tokens_b(segments), strict=True):
             raw = s.encode()
             parts_a, parts_b = [self.a_bytes.get(i) for i in a], [self.b_bytes[i] for i in b]
             if None in parts_a or None in parts_b or b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-                yield False, [], [], "", 0, [], []
-                continue
-            yield (True, a, b, *links(a, parts_a, b, parts_b))
+                yield [], [], b""
+            else:
+                yield a, b, links(parts_a, parts_b)
+
 
+def links(parts_a: list[bytes], parts_b: list[bytes]) -> bytes:
+    """The links of two cuttings of the same bytes, in order; of each, which of its tokens ends with it: 1 A's, 2 B's, 3 both.
 
-def links(a: list[int], parts_a: list[bytes], b: list[int], parts_b: list[bytes]) -> tuple[str, int, list[int], list[int]]:
-    """(groups as text, their number, a id of each link, b id of each link) of two cuttings of the same bytes."""
-    groups, from_a, from_b = [], [], []
-    i = j = first_a = first_b = 0
+    A group ends with each 3, so ids and ends together say all of an alignment.
+    """
+    ends = bytearray()
+    i = j = 0
     end_a, end_b = len(parts_a[0]), len(parts_b[0])
     while True:
-        from_a.append(a[i])
-        from_b.append(b[j])
         if end_a == end_b:
-            groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
+            ends.append(3)
             i, j = i + 1, j + 1
-            first_a, first_b = i, j
-            if i == len(a):
-                return ";".join(groups), len(groups), from_a, from_b
+            if i == len(parts_a):
+                return bytes(ends)
             end_a, end_b = end_a + len(parts_a[i]), end_b + len(parts_b[j])
         elif end_a < end_b:
+            ends.append(1)
             i += 1
             end_a += len(parts_a[i])
         else:
+            ends.append(2)
             j += 1
             end_b += len(parts_b[j])
 
@@ -207,9 +209,9 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(values[lo]), lo, hi
 
 
-#: What a bucket answers for the segments of one message: numbers of A's and B's tokens, groups and links,
-#: bytes of the groups' text, then all links and all texts. A segment that isn't restored has none of it.
-ALIGNED = [np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, None]
+#: What a bucket answers for the segments of one message: numbers of A's and B's tokens and of links,
+#: then all ids of A, all ids of B, and the ends of all links. A segment that isn't restored has none.
+ALIGNED = [np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8]
 
 
 def _align_bucket(parts: list[bytes], both: Pair) -> list[bytes]:
@@ -218,41 +220,77 @@ def _align_bucket(parts: list[bytes], both: Pair) -> list[bytes]:
     asked = []
     for part in parts:
         sizes, data = _unpacked(part, [np.uint32, None])
-        asked.append([known.setdefault(x, len(known)) for x in _pieces(data, sizes)])
+        asked.append(np.array([known.setdefault(x, len(known)) for x in _pieces(data, sizes)], dtype=np.int64))
     names = [x.decode() for x in known]
     found = [x for at in range(0, len(names), 2000) for x in both.aligned(names[at : at + 2000])]
-    texts = [x[3].encode() for x in found]
-    numbers = np.array([(len(x[1]), len(x[2]), x[4], len(x[5]), len(t)) for x, t in zip(found, texts, strict=True)], dtype=np.uint32).reshape(-1, 5)
-    link_a, link_b = ([np.array(x[i], dtype=np.uint32) for x in found] for i in (5, 6))
+    flat = [np.fromiter((t for x in found for t in x[i]), dtype=np.uint32) for i in (0, 1)] + [np.frombuffer(b"".join(x[2] for x in found), dtype=np.uint8)]
+    sizes = [np.fromiter((len(x[i]) for x in found), dtype=np.int64, count=len(found)) for i in range(3)]
+    starts = [np.cumsum(n) - n for n in sizes]
     out = []
     for mine in asked:
-        out.append(_packed(*(numbers[mine, i] for i in range(5)), np.concatenate([link_a[i] for i in mine]), np.concatenate([link_b[i] for i in mine]), b"".join([texts[i] for i in mine])))
+        numbers = [n[mine].astype(np.uint32) for n in sizes]
+        out.append(_packed(*numbers, *(x[_ragged(s[mine], n[mine])] for x, s, n in zip(flat, starts, sizes, strict=True))))
     return out
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of ``sizes`` from ``starts`` on, end to end."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+@functools.lru_cache(maxsize=3)
+def _shown(n: int) -> list[str]:
+    """Numbers below n as text with what follows them: a comma, a bar or a semicolon."""
+    return [f"{i}{mark}" for mark in ",|;" for i in range(n)]
+
+
 class Aligned:
     """The answers of all buckets to a chunk, end to end in the order of its segments."""
 
-    def __init__(self, replies: dict[int, bytes], held: Held, texts: bool):
+    def __init__(self, replies: dict[int, bytes], held: Held):
         got = [_unpacked(replies[b], ALIGNED) for b, _, _ in _runs(held.bucket)]
-        self.numbers = np.stack([np.concatenate([g[i] for g in got]) for i in range(4)], axis=1).astype(np.int64) if got else np.zeros((0, 4), dtype=np.int64)
-        self.ok = self.numbers[:, 0] > 0
-        empty = np.zeros(0, dtype=np.uint32)
-        key = np.concatenate([empty, *(g[5] for g in got)]).astype(np.int64) << 32 | np.concatenate([empty, *(g[6] for g in got)]).astype(np.int64)
-        #: The distinct pairs in order, the pair of each link, and where each segment's links begin and end.
-        self.pairs, self.code = np.unique(key, return_inverse=True)
-        self.ends = np.concatenate([[0], np.cumsum(self.numbers[:, 3])])
-        self.texts = [t.decode() for g in got for t in _pieces(g[7], g[4])] if texts else []
+        n_a, n_b, n_links, a, b, ends = (np.concatenate([np.zeros(0, dtype=kind), *(g[i] for g in got)]).astype(np.int64) for i, kind in enumerate(ALIGNED))
+        done_a, done_b = ends & 1, ends >> 1
+        at_a, at_b = np.cumsum(done_a) - done_a, np.cumsum(done_b) - done_b
+        #: The distinct pairs in order, the pair of each link, and each segment's first link and their number.
+        self.pairs, self.code = np.unique(a[at_a] << 32 | b[at_b], return_inverse=True)
+        self.n_links = n_links
+        self.starts = np.cumsum(n_links) - n_links
+        closed = np.concatenate([[0], np.cumsum(ends == 3)])
+        self.numbers = np.stack([n_a, n_b, closed[self.starts + n_links] - closed[self.starts], n_links], axis=1)
+        self.ok = n_a > 0
+        self._tokens = a, b, n_a + n_b, closed[:-1][done_a > 0], closed[:-1][done_b > 0]
+
+    def texts(self) -> list[str]:
+        """The groups of each segment, each with a semicolon behind it."""
+        a, b, sizes, group_a, group_b = self._tokens
+        top = int(max(a.max(initial=0), b.max(initial=0))) + 1
+        ids, place = np.concatenate([a, b]), np.concatenate([2 * group_a, 2 * group_b + 1])
+        order = np.argsort(place, kind="stable")
+        ids, place = ids[order], place[order]
+        # a comma within a side, a bar after A's side, a semicolon after B's
+        last = np.append(place[1:] != place[:-1], True) if len(place) else np.zeros(0, dtype=bool)
+        mark = np.where(last, 1 + (place & 1), 0)
+        parts = list(map(_shown(top if top > 1 << 16 else 1 << 16).__getitem__, (mark * max(top, 1 << 16) + ids).tolist()))
+        ends = np.cumsum(sizes).tolist()
+        return ["".join(parts[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)]
 
 
 def _pair_counts(aligned: Aligned, held: Held) -> np.ndarray:
     """In how many of a chunk's restored documents each of its pairs is linked."""
-    own = [np.unique(aligned.code[lo:hi]) for lo, hi in zip(aligned.ends[:-1].tolist(), aligned.ends[1:].tolist(), strict=True)]
     docs = np.zeros(len(aligned.pairs), dtype=np.int64)
+    last_segment, last_pair = np.zeros(len(aligned.ok), dtype=np.int64), np.zeros(len(aligned.pairs), dtype=np.int64)
+
+    def distinct(x: np.ndarray, last: np.ndarray) -> np.ndarray:
+        n = np.arange(len(x))
+        last[x] = n
+        return x[last[x] == n]
+
     for _, at in held.docs:
-        some = np.unique(at)
-        if aligned.ok[some].all():
-            docs[np.unique(np.concatenate([own[i] for i in some.tolist()]))] += 1
+        if aligned.ok[at].all():
+            some = distinct(at, last_segment)
+            docs[distinct(aligned.code[_ragged(aligned.starts[some], aligned.n_links[some])], last_pair)] += 1
     return docs
 
 
@@ -293,16 +331,14 @@ def _composed(chunk: ch.Chunk, held: Held, aligned: Aligned, counts: dict[int, b
         count, best = _unpacked(counts[b], [np.int64, np.int64])
         facts[order[lo:hi], 0], facts[order[lo:hi], 1] = best, count
     upto = np.concatenate([np.zeros((1, 2), dtype=np.int64), np.cumsum(facts[aligned.code], axis=0)])
-    whole = np.concatenate([aligned.numbers, upto[aligned.ends[1:]] - upto[aligned.ends[:-1]]], axis=1)
+    whole = np.concatenate([aligned.numbers, upto[aligned.starts + aligned.n_links] - upto[aligned.starts]], axis=1)
+    texts = aligned.texts()
     sums = np.zeros((len(chunk), 6), dtype=np.int64)
     hashes = [""] * len(chunk)
     for k, at in held.docs:
         if aligned.ok[at].all():
             sums[k] = whole[at].sum(axis=0)
-            digest = hashlib.sha256()
-            for lo in range(0, len(at), 100_000):
-                digest.update((";" if lo else "").encode() + ";".join([aligned.texts[i] for i in at[lo : lo + 100_000].tolist()]).encode())
-            hashes[k] = digest.hexdigest()
+            hashes[k] = hashlib.sha256("".join(map(texts.__getitem__, at.tolist()))[:-1].encode()).hexdigest()
     ids = pd.Series(chunk.ids, dtype="Int64").mask(chunk.id_null)
     return pd.DataFrame({"doc_id": ids, **{c: sums[:, i] for i, c in enumerate(_SUMS)}, "groups_sha256": hashes})
 
@@ -338,14 +374,14 @@ def align(docs: DataFrame, a_file: str, b_file: str, chunk_bytes: int = CHUNK_BY
 
     def count(chunk: ch.Chunk, replies: dict[int, bytes]) -> pd.DataFrame:
         held = Held(chunk, pair(a_file, b_file), n)
-        found = Aligned(replies, held, texts=False)
+        found = Aligned(replies, held)
         return _pair_messages(chunk.number, found, _pair_counts(found, held), n)
 
     counted = _answered(ch.with_answers(chunks, aligned, count, "chunk long, bucket long, part binary"), _count_bucket)
 
     def compose(chunk: ch.Chunk, replies: dict[int, bytes]) -> pd.DataFrame:
         held = Held(chunk, pair(a_file, b_file), n)
-        found = Aligned(replies, held, texts=True)
+        found = Aligned(replies, held)
         return _composed(chunk, held, found, {b - n: x for b, x in replies.items() if b >= n}, n)
 
     both = aligned.unionByName(counted.withColumn("bucket", F.col("bucket") + n))
