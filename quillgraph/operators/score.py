@@ -103,55 +103,29 @@ def background(p: DataFrame, works: DataFrame, steps: int = STEPS) -> DataFrame:
     return found.join(works.select(F.col("id").alias("node")), "node", "left_semi")
 
 
-def pagerank(p: DataFrame, seeds: DataFrame, rounds: int = 10, alpha: float = ALPHA) -> DataFrame:
-    """(node, score): personalised PageRank by a fixed number of rounds; mass without a way out restarts.
+def pagerank(p: DataFrame, seeds: DataFrame, rounds: int | None = None, alpha: float = ALPHA, tolerance: float = 1e-7, most: int = 200) -> DataFrame:
+    """(node, score): personalised PageRank; mass without a way out restarts.
 
-    ``seeds`` is (node, mass) and sums to 1.
+    ``seeds`` is (node, mass) and sums to 1. Rounds go on until the sum of changes is below
+    ``tolerance``, ``most`` at the most; or as many as ``rounds`` says.
     """
-    start = seeds.select("node", "mass")
-    x = start
-    for _ in range(rounds):
-        moved = x.join(p, x.node == p.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p")).alias("moved"))
+    start = seeds.groupBy("node").agg(F.sum("mass").alias("mass"))
+    p = p.withColumnRenamed("src", "node").repartition("node").persist()  # one exchange for all rounds
+    x = cut(start, "pagerank")
+    for _ in range(most if rounds is None else rounds):
+        moved = cut(x.join(p, "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("mass") * F.col("p")).alias("moved")), "moved")
         kept = moved.agg(F.coalesce(F.sum("moved"), F.lit(0.0)).alias("kept"))
         ends = moved.join(start, "node", "full").crossJoin(F.broadcast(kept))  # one row
         mass = alpha * F.coalesce("moved", F.lit(0.0)) + (1 - alpha * F.col("kept")) * F.coalesce("mass", F.lit(0.0))
-        x = cut(ends.select("node", mass.alias("mass")))
+        last, x = x, cut(ends.select("node", mass.alias("mass")), "pagerank")
+        if rounds is None:
+            change = x.select("node", "mass").unionByName(last.select("node", (-F.col("mass")).alias("mass"))).groupBy("node").agg(F.abs(F.sum("mass")).alias("c"))
+            if change.agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("c")).first().c < tolerance:
+                break
+    p.unpersist()
     return x.withColumnRenamed("mass", "score")
 
 
-def walks(p: DataFrame, seeds: DataFrame, n_walks: int = 10_000, alpha: float = ALPHA) -> DataFrame:
-    """(node, visits, score): random walks from an ego over its seeds; each walk counts a node once.
-
-    ``seeds`` is (node, mass). A walk goes on with chance alpha, until all have stopped, and picks the next node by
-    cumulative weight in order of node ids. Draws come from a linear congruence of walk and
-    step, so that reruns, and other engines, agree. Scores are shares of all counted visits.
-    """
-    spark = p.sparkSession
-    upto = Window.partitionBy("src").orderBy("dst")
-    # shares of a million, so that draws compare with whole numbers
-    ways = p.withColumn("hi", F.round(F.sum("p").over(upto) * 1_000_000).cast("long")).withColumn("lo", F.coalesce(F.lag("hi").over(upto), F.lit(0).cast("long"))).select("src", "dst", "lo", "hi")
-    first = Window.partitionBy(F.lit(1)).orderBy("node")  # the seeds of one ego
-    start = seeds.withColumn("hi", F.round(F.sum("mass").over(first) * 1_000_000).cast("long")).withColumn("lo", F.coalesce(F.lag("hi").over(first), F.lit(0).cast("long")))
-    walk = spark.range(n_walks).select(F.col("id").alias("walk")).withColumn("draw", draw(F.col("walk"), 0, 1))
-    at = walk.join(F.broadcast(start.select("node", "lo", "hi")), (F.col("draw") >= F.col("lo")) & (F.col("draw") < F.col("hi"))).select("walk", "node")
-    visits, k, alive = at, 0, n_walks
-    while alive:
-        k += 1
-        going = at.where(draw(F.col("walk"), k, 0) < int(alpha * 1_000_000)).withColumn("draw", draw(F.col("walk"), k, 1))
-        at = cut(going.join(ways, (F.col("node") == F.col("src")) & (F.col("draw") >= F.col("lo")) & (F.col("draw") < F.col("hi"))).select("walk", F.col("dst").alias("node")))
-        visits, alive = visits.unionByName(at), at.limit(1).count()
-    counted = visits.groupBy("node").agg(F.countDistinct("walk").alias("visits"))
-    total = counted.agg((F.sum("visits") + n_walks).alias("total"))  # the ego is visited by every walk
-    return counted.crossJoin(F.broadcast(total)).select("node", "visits", (F.col("visits") / F.col("total")).alias("score"))  # one row
-
-
-def draw(walk, step: int, which: int):
-    """A whole number below a million from walk and step; two rounds of a linear congruence."""
-    x = (walk * 7919 + (2 * step + which) * 104729 + 12345) % 2147483647
-    x = (x * 48271 + 11) % 2147483647
-    return (x * 48271 + 11) % 2147483647 % 1_000_000
-
-
 def adjacency(edges: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, node, score): the strongest edge from a seed."""
     return seeds.join(edges, F.col("node") == F.col("src")).groupBy(*keys, F.col("dst").alias("node")).agg(F.max("weight").alias("score"))
@@ -203,13 +177,13 @@ def lift(score, back, gamma: float, epsilon: float = 1e-9):
     return F.log(score + epsilon) - min(1.0, max(0.0, gamma)) * F.log(back + epsilon)
 
 
-def with_ring(edges: DataFrame, size: int, anchors: list[str], weight: float = 1.0) -> DataFrame:
-    """``edges`` with a ring of papers that all cite each other, hung on the graph by ``anchors``."""
+def with_ring(edges: DataFrame, size: int, anchor: str, weight: float = 1.0) -> DataFrame:
+    """``edges`` with a ring of papers that all cite each other, of which the first is joined both ways to ``anchor``."""
     spark = edges.sparkSession
     ids = spark.range(size).select(F.concat(F.lit("Cring"), "id").alias("node"))
     clique = ids.select(F.col("node").alias("src")).join(ids.select(F.col("node").alias("dst")), F.col("src") != F.col("dst"))
     clique = clique.select("src", "dst", F.lit(weight).alias("weight"), F.lit(BASELINE).alias("context"), F.lit(PAPER_RELATIONS[0]).alias("relation"))
-    hung = spark.createDataFrame([(a, f"Cring{i}", weight, BASELINE, PAPER_RELATIONS[0]) for i, a in enumerate(anchors)], edges.schema)
+    hung = spark.createDataFrame([(anchor, "Cring0", weight, BASELINE, PAPER_RELATIONS[0]), ("Cring0", anchor, weight, BASELINE, PAPER_RELATIONS[0])], edges.schema)
     return edges.unionByName(clique).unionByName(hung)
 
 

@@ -91,10 +91,11 @@ trust AS MATERIALIZED (
 )
 """
 
-P = """
+D = "d AS MATERIALIZED (SELECT a.src AS node, sum(a.p * b.p) AS back FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)"
+P = f"""
 w2 AS (SELECT src, dst, sum(weight) AS w FROM edges GROUP BY 1, 2),
 p AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w2),
-d AS MATERIALIZED (SELECT a.src AS node, sum(a.p * b.p) AS back FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
+{D}
 """
 
 
@@ -279,25 +280,28 @@ def _pagerank(rounds: int) -> str:
     return ",\n".join(out)
 
 
-def _draw(walk: str, step: int, which: int) -> str:
-    x = f"(({walk} * 7919 + {(2 * step + which) * 104729} + 12345) % 2147483647)"
-    x = f"(({x} * 48271 + 11) % 2147483647)"
-    return f"((({x} * 48271 + 11) % 2147483647) % 1000000)"
+def _draw(walk: str, ego: str, step: int, which: int) -> str:
+    x = f"({ego} * 1000003 + {walk} * 7919 + {(2 * step + which) * 104729} + 12345) % 2147483647"
+    for shift, factor in ((15, 48271), (13, 69621), (16, 39373)):
+        x = f"list_transform([{x}], lambda x: xor(x, x >> {shift}) * {factor} % 2147483647)[1]"
+    return f"(list_transform([{x}], lambda x: xor(x, x >> 14))[1] / 2147483648.0)"
 
 
 def _walks(n: int, steps: int) -> str:
+    """CTEs that end in met (ego, walk, node, first, last); seeds are (ego, node, weight) in wseeds."""
     out = [
-        "rpp AS MATERIALIZED (SELECT src, dst, round(p, 12) AS p FROM p)",
-        "cum AS (SELECT src, dst, CAST(round(sum(p) OVER (PARTITION BY src ORDER BY dst) * 1000000) AS BIGINT) AS hi FROM rpp)",
-        "ways AS MATERIALIZED (SELECT src, dst, coalesce(lag(hi) OVER (PARTITION BY src ORDER BY dst), 0) AS lo, hi FROM cum)",
-        "scum AS (SELECT node, CAST(round(sum(round(mass, 12)) OVER (ORDER BY node) * 1000000) AS BIGINT) AS hi FROM seeds)",
-        "st AS (SELECT node, coalesce(lag(hi) OVER (ORDER BY node), 0) AS lo, hi FROM scum)",
-        f"wk0 AS MATERIALIZED (SELECT w.walk, st.node FROM (SELECT unnest(range(0, {n})) AS walk) w JOIN st ON {_draw('walk', 0, 1)} >= lo AND {_draw('walk', 0, 1)} < hi)",
+        "ways AS MATERIALIZED (SELECT src, dst, sum(p) OVER w AS hi, coalesce(sum(p) OVER (PARTITION BY src ORDER BY dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, sum(p) OVER (PARTITION BY src) AS total FROM p WINDOW w AS (PARTITION BY src ORDER BY dst))",
+        "st AS (SELECT ego, node, sum(weight) OVER (PARTITION BY ego ORDER BY node) AS hi, sum(weight) OVER (PARTITION BY ego) AS total FROM wseeds WHERE weight > 0)",
+        "sts AS MATERIALIZED (SELECT *, coalesce(lag(hi) OVER (PARTITION BY ego ORDER BY node), 0) AS lo FROM st)",
+        f"wk AS MATERIALIZED (SELECT CAST(ego AS BIGINT) AS ego, walk FROM (SELECT DISTINCT ego FROM sts), (SELECT unnest(range(0, {n})) AS walk))",
+        f"wu0 AS MATERIALIZED (SELECT ego, walk, floor(ln(1.0 - {_draw('walk', 'ego', 0, 0)}) / ln(0.85)) AS length, {_draw('walk', 'ego', 0, 1)} AS u FROM wk)",
+        "wk0 AS MATERIALIZED (SELECT w.ego, w.walk, w.length, sts.node FROM wu0 w JOIN sts ON sts.ego = w.ego AND u * total >= lo AND u * total < hi)",
     ]
     for k in range(1, steps + 1):
-        out.append(f"wk{k} AS MATERIALIZED (SELECT walk, dst AS node FROM wk{k - 1} JOIN ways ON src = node AND {_draw('walk', k, 1)} >= lo AND {_draw('walk', k, 1)} < hi WHERE {_draw('walk', k, 0)} < 850000)")
-    union = " UNION ALL ".join(f"SELECT * FROM wk{k}" for k in range(steps + 1))
-    out.append(f"visits AS (SELECT node, count(DISTINCT walk) AS visits FROM ({union}) GROUP BY 1)")
+        out.append(f"wu{k} AS MATERIALIZED (SELECT ego, walk, length, node, {_draw('walk', 'ego', k, 1)} AS u FROM wk{k - 1} WHERE length >= {k})")
+        out.append(f"wk{k} AS MATERIALIZED (SELECT ego, walk, length, dst AS node FROM wu{k} JOIN ways ON src = node AND u * total >= lo AND u * total < hi)")
+    union = " UNION ALL ".join(f"SELECT ego, walk, node, {k} AS step FROM wk{k}" for k in range(steps + 1))
+    out.append(f"met AS MATERIALIZED (SELECT ego, walk, node, min(step) AS first, max(step) AS last FROM ({union}) GROUP BY ALL)")
     return ",\n".join(out)
 
 
@@ -336,6 +340,18 @@ hit AS (SELECT f.paper, count(*) AS n_held, count(t.node) AS n_found, count(*) F
   FROM folds f LEFT JOIN top t ON t.paper = f.paper AND t.node = f.ref LEFT JOIN near n ON n.paper = f.paper AND n.ref = f.ref WHERE f.held GROUP BY 1)
 SELECT hit.paper, n_held, n_found, round(n_found / n_held, 9) AS recall, n_far, n_far_found, round(popularity, 9) AS popularity FROM hit LEFT JOIN pop ON pop.paper = hit.paper"""
 
+RING = f"""{EDGES},
+rid AS (SELECT 'Cring' || i AS node FROM (SELECT unnest(range(0, 20)) AS i)),
+ring_edges AS (SELECT src, dst, weight FROM edges UNION ALL SELECT a.node, b.node, 1.0 FROM rid a JOIN rid b ON a.node <> b.node
+  UNION ALL SELECT work_id, 'Cring0', 1.0 FROM trust WHERE pos = 1 UNION ALL SELECT 'Cring0', work_id, 1.0 FROM trust WHERE pos = 1),
+w2 AS (SELECT src, dst, sum(weight) AS w FROM ring_edges GROUP BY 1, 2), p AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w2),
+rseeds AS MATERIALIZED (SELECT work_id AS node, 1.0 / 6 AS mass FROM trust)"""
+
+
+def _share(scores: str, digits: int = 9) -> str:
+    return f"SELECT count(*) FILTER (node LIKE 'Cring%') AS n_ring, round(sum(CASE WHEN node LIKE 'Cring%' THEN greatest(score, 0) ELSE 0 END) / sum(greatest(score, 0)), {digits}) AS share FROM {scores}"
+
+
 ORACLES = {
     "degree_stats": f"WITH {CORPUS} " + " UNION ALL ".join([_stats("author", "authors", "deg"), _stats("topic", "topics", "deg"), _stats("venue", "venues", "deg"), _stats("institution", "institutions", "deg"), _stats("references", "works", "ref_count", "ref_count > 0"), _stats("citers", "works", "in_corpus_cited_by", "in_corpus_cited_by > 0")]),
     "corpus_gate": f"""WITH {CORPUS}, g AS (SELECT count(*) AS n_works, count(*) FILTER (is_stub) AS n_stubs, count(*) FILTER (NOT is_stub) AS n_full,
@@ -371,14 +387,22 @@ f AS (SELECT g.node, g.context, coalesce(s.score, 0) AS score, coalesce(b.score,
 m AS (SELECT node, context, score, CASE WHEN context = 'citation' THEN score ELSE score - base END AS marginal FROM f),
 t AS (SELECT *, sum(abs(marginal)) OVER (PARTITION BY node) AS total FROM m)
 SELECT node, context, round(score, 7) AS score, CASE WHEN round(marginal, 7) = 0 THEN 0.0 ELSE round(marginal, 7) END AS marginal, round(CASE WHEN total > 0 THEN abs(marginal) / total ELSE 0 END, 7) AS share FROM t""",
-    "ppr_fixed_iter": f"WITH {EDGES}, {P}, {SEEDS}, {_pagerank(5)} SELECT * FROM (SELECT node, round(mass, 9) AS score FROM r5) WHERE score > 0",
-    "ring_share": f"""WITH {EDGES},
-rid AS (SELECT 'Cring' || i AS node FROM (SELECT unnest(range(0, 20)) AS i)),
-ring_edges AS (SELECT src, dst, weight FROM edges UNION ALL SELECT a.node, b.node, 1.0 FROM rid a JOIN rid b ON a.node <> b.node UNION ALL SELECT work_id, 'Cring' || (pos - 1), 1.0 FROM trust WHERE pos <= 2),
-w2 AS (SELECT src, dst, sum(weight) AS w FROM ring_edges GROUP BY 1, 2), p AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w2),
-rseeds AS MATERIALIZED (SELECT work_id AS node, 1.0 / 6 AS mass FROM trust), {diffuse("x", "rseeds", steps=4)}
-SELECT count(*) FILTER (node LIKE 'Cring%') AS n_ring, round(sum(CASE WHEN node LIKE 'Cring%' THEN score ELSE 0 END) / sum(score), 9) AS share FROM x""",
-    "walk_scores": f"WITH {EDGES}, {P}, {SEEDS}, {_walks(10_000, 65)} SELECT node, visits, round(visits / (SELECT sum(visits) + 10000 FROM visits), 9) AS score FROM visits",
+    "ppr_fixed_iter": f"WITH {EDGES}, {P}, {SEEDS}, {_pagerank(40)} SELECT * FROM (SELECT node, round(mass, 9) AS score FROM r40) WHERE score > 0",
+    "ring_share": f"""WITH {RING}, {diffuse("x", "rseeds")} SELECT * FROM ({_share("x")})""",
+    "ring_comparison": f"""WITH {RING}, {D}, sseeds AS (SELECT node, mass AS weight FROM rseeds), {signed("rs", "sseeds")}, seeds AS (SELECT node, mass FROM rseeds), {_pagerank(130)}
+SELECT a.n_ring, round(a.share, 7) AS signed_share, round(b.share, 7) AS pagerank_share, round(a.share / b.share, 7) AS ratio
+FROM ({_share("rs", 18)}) a, ({_share("(SELECT node, mass AS score FROM r130)", 18)}) b""",
+    "walk_scores": f"""WITH {EDGES}, {P},
+wseeds AS MATERIALIZED (
+  SELECT 1 AS ego, work_id AS node, weight FROM trust
+  UNION ALL SELECT 2, work_id, CASE WHEN pos = 6 THEN -1.0 ELSE weight END FROM trust WHERE pos <= 3 OR pos = 6
+  UNION ALL SELECT 3, work_id, CASE WHEN pos = 1 THEN -1.0 ELSE weight END FROM trust WHERE pos >= 4 OR pos = 1
+), {_walks(10_000, 80)},
+bad AS (SELECT m.ego, m.walk, m.last AS until, abs(s.weight) AS w FROM met m JOIN wseeds s ON s.ego = m.ego AND s.node = m.node WHERE s.weight < 0),
+lost AS (SELECT m.ego, m.node, sum(w) AS penalty FROM met m JOIN bad b ON b.ego = m.ego AND b.walk = m.walk AND m.first <= b.until GROUP BY ALL),
+counted AS (SELECT ego, node, count(*) AS visits FROM met GROUP BY ALL)
+SELECT CAST(c.ego AS INTEGER) AS ego, c.node, visits, coalesce(penalty, 0) AS penalty, round((visits - coalesce(penalty, 0)) / (sum(visits) OVER (PARTITION BY c.ego) + 10000), 9) AS score
+FROM counted c LEFT JOIN lost l ON l.ego = c.ego AND l.node = c.node""",
     "rank_percentiles": f"WITH {CORPUS} SELECT id, in_corpus_cited_by, round(cume_dist() OVER (ORDER BY in_corpus_cited_by), 9) AS pct FROM works WHERE NOT is_stub",
     "citation_percentile": f"WITH {CORPUS} SELECT DISTINCT cited_by_count, round(cume_dist() OVER (ORDER BY cited_by_count), 9) AS percentile FROM works WHERE NOT is_stub",
     "popularity_pctile": f"WITH {CORPUS} SELECT id, round((rank() OVER (ORDER BY in_corpus_cited_by) - 1) / count(*) OVER (), 9) AS below FROM works WHERE NOT is_stub",

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
-from quillgraph.operators import biblio, corpus, evaluate, graph, rank, resample, score, search, traverse
+from quillgraph.operators import biblio, corpus, evaluate, graph, rank, resample, score, search, traverse, walks
 from quillgraph.plans import layouts
 from quillgraph.plans.lineage import cut
-from quillgraph.schema import BASELINE
+from quillgraph.schema import BASELINE, DISTRUST
 from quillgraph.sources import testdata
 
 WALKS = 10_000
-RING, RING_ANCHORS = 20, 2
+RING = 20
+PAGERANK_ROUNDS = 40
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,21 +166,40 @@ def context_breakdown(spark, sf_dir):
 def ppr_fixed_iter(spark, sf_dir):
     s = _Setting(spark, sf_dir)
     mass = F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(1)))
-    return _round(score.pagerank(s.transition(), s.positive().select("node", mass.alias("mass")), rounds=5), "score").where("score > 0")
+    return _round(score.pagerank(s.transition(), s.positive().select("node", mass.alias("mass")), rounds=PAGERANK_ROUNDS), "score").where("score > 0")
+
+
+def _with_ring(s: _Setting) -> DataFrame:
+    return cut(score.transition(score.with_ring(s.edges, RING, s.trust.orderBy("pos").first().work_id)), "transition")
+
+
+def _even(s: _Setting) -> DataFrame:
+    return s.trust.select(F.col("work_id").alias("node"), F.lit(1.0 / 6).alias("mass"))
 
 
 def ring_share(spark, sf_dir):
     s = _Setting(spark, sf_dir)
-    anchors = [r.work_id for r in s.trust.orderBy("pos").limit(RING_ANCHORS).collect()]
-    edges = score.with_ring(s.edges, RING, anchors)
-    found = score.diffuse(cut(score.transition(edges), "transition"), s.trust.select(F.col("work_id").alias("node"), F.lit(1.0 / 6).alias("mass")), [], steps=4)
-    return _round(score.ring_share(found), "share")
+    return _round(score.ring_share(score.diffuse(_with_ring(s), _even(s), [])), "share")
+
+
+def ring_comparison(spark, sf_dir):
+    """One row: the ring's part under the signed scorer and under PageRank to a tolerance, and their ratio."""
+    s = _Setting(spark, sf_dir)
+    p = _with_ring(s)
+    ours = score.signed(p, _even(s).withColumnRenamed("mass", "weight"), [], back=cut(score.return_diagonal(p), "return"))
+    plain = score.pagerank(p, _even(s), tolerance=1e-10)
+    both = score.ring_share(ours).select("n_ring", F.col("share").alias("signed_share")).crossJoin(F.broadcast(score.ring_share(plain).select(F.col("share").alias("pagerank_share"))))  # one row each
+    return _round(both.withColumn("ratio", F.col("signed_share") / F.col("pagerank_share")), "signed_share", "pagerank_share", "ratio", digits=7)
 
 
 def walk_scores(spark, sf_dir):
+    """Walks of three egos: one that trusts all six papers, and two that trust three of them and distrust one."""
     s = _Setting(spark, sf_dir)
-    mass = F.round(F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(1))), 12)
-    return _round(score.walks(s.transition().withColumn("p", F.round("p", 12)), s.positive().select("node", mass.alias("mass")), WALKS), "score")
+    seeds = s.positive().join(s.trust.select(F.col("work_id").alias("node"), "pos"), "node")
+    egos = [seeds.select(F.lit(1).alias("ego"), "node", "weight")]
+    for ego, trusted, distrusted in ((2, F.col("pos") <= 3, 6), (3, F.col("pos") >= 4, 1)):
+        egos.append(seeds.where(trusted | (F.col("pos") == distrusted)).select(F.lit(ego).alias("ego"), "node", F.when(F.col("pos") == distrusted, DISTRUST).otherwise(F.col("weight")).alias("weight")))
+    return _round(walks.trust_walks(s.transition(), graph._union(egos), WALKS), "score")
 
 
 # --- rankings -----------------------------------------------------------------------------
@@ -407,7 +427,7 @@ QUERIES = {
     for f in (
         degree_stats, corpus_gate, topic_idf, snowball, briefs, edges_citation, edges_entity, coupling_topk, cocitation_topk, edges_dedup,
         node_kinds, transition, return_diagonal, propagate_seeds, propagate_signed, background, compose_mean, context_breakdown,
-        ppr_fixed_iter, ring_share, walk_scores, rank_percentiles, citation_percentile, popularity_pctile, jackknife, tie_groups, tie_runs,
+        ppr_fixed_iter, ring_share, ring_comparison, walk_scores, rank_percentiles, citation_percentile, popularity_pctile, jackknife, tie_groups, tie_runs,
         lift_rank, trust_units, rank_profile, recommendations, blindspots, simulate_moves, diversity_entropy, concentration, bfs_distance,
         explain_paths, subgraph, text_rank, rrf_fuse, trigram_match, title_match_year, doi_normalise, eval_recall, eval_report, spearman, bib_split,
         bib_features, page_furniture,

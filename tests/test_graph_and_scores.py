@@ -154,12 +154,6 @@ def test_blindspots_hide_stubs_and_trusted(spark):
     assert [r.node for r in found] == ["P1"] and found[0].gap > 0
 
 
-def test_walks_count_a_node_once(spark):
-    p = score.transition(simple(spark, ("P1", "P2", 1), ("P2", "P1", 1)))
-    found = dict(rows(score.walks(p, spark.createDataFrame([("P1", 1.0)], "node string, mass double"), n_walks=60), "node", "visits"))
-    assert found["P1"] == 60 and 30 < found["P2"] < 60
-
-
 def test_pagerank_sums_to_one(spark):
     p = score.transition(simple(spark, ("P1", "P2", 1), ("P2", "P3", 1)))
     found = score.pagerank(p, spark.createDataFrame([("P1", 1.0)], "node string, mass double"), rounds=6)
