@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators import ordered
+from quillgraph.plans.lineage import cut
 from quillgraph.schema import MOST_REPLICATES
 
 
@@ -114,10 +117,65 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho"))
 
 
-def kendall(rows: DataFrame, a: str, b: str, node: str = "node") -> DataFrame:
-    """One row: tau-b over all pairs of a bounded list (it compares each row with each other)."""
-    left = rows.select(F.col(node).alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    right = rows.select(F.col(node).alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    s, t = F.signum(F.col("a1") - F.col("a2")), F.signum(F.col("b1") - F.col("b2"))
-    pairs = left.join(right, F.col("i") < F.col("j")).select(s.alias("s"), t.alias("t"))
-    return pairs.agg((F.sum(F.col("s") * F.col("t")) / F.sqrt(F.sum(F.abs("s")) * F.sum(F.abs("t")))).alias("tau"))
+def inversions(values) -> int:
+    """How many pairs of a sequence are in falling order; equal values are not."""
+    rank = np.empty(len(values), dtype=np.int64)
+    rank[np.argsort(values, kind="stable")] = np.arange(len(values))
+    found, row = 0, rank
+    # by the highest bit in which two ranks differ: rows are kept by the bits above, in their order
+    for bit in range(max(0, len(values) - 1).bit_length() - 1, -1, -1):
+        one, group = row >> bit & 1, row >> (bit + 1)
+        ones = np.cumsum(one)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        before = np.repeat((ones - one)[first], np.diff(np.append(first, len(row))))
+        found += int((ones - before)[one == 0].sum())
+        row = row[np.argsort(row >> bit, kind="stable")]
+    return found
+
+
+def _counted_inversions(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """One row: ``n``, the inversions inside the groups of ``key``."""
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [inversions(group.sort_values(order)[value].to_numpy())]})
+
+    return rows.select(key, order, value).groupBy(key).applyInPandas(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("decimal(38,0)").alias("n"))
+
+
+def discordant(rows: DataFrame, a: str, b: str, block: int = 100_000, most_bands: int = 4096) -> DataFrame:
+    """One row: ``n`` pairs of rows of which one is higher in a and the other in b.
+
+    Rows are numbered by (a, b) and by (b, the first number), through ranges with offsets, so pairs that
+    count are those that the second number puts the other way round. Blocks of the first number and
+    bands of the second cut the rows into cells: pairs of different blocks and bands are counted from
+    the cells' sizes, those of one block by the bands, and those of one band by the numbers.
+    """
+    first = ordered.numbered(rows.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.monotonically_increasing_id().alias("_i")), [F.col("_a"), F.col("_b"), F.col("_i")], "_x")
+    both = cut(ordered.numbered(first.select("_b", F.col("_x").cast("long").alias("_x")), [F.col("_b"), F.col("_x")], "_y"), "numbers")
+    n = both.count()
+    bands = max(1, min(most_bands, -(-n // block)))
+    placed = cut(both.select("_x", "_y", F.floor((F.col("_x") - 1) / block).alias("_block"), F.floor((F.col("_y") - 1) * bands / max(1, n)).alias("_band")), "cells")
+    cells = placed.groupBy("_block", "_band").agg(F.count("*").alias("_c"))
+    grid = placed.select("_block").distinct().withColumn("_band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))).join(cells, ["_block", "_band"], "left").select("_block", "_band", F.coalesce("_c", F.lit(0)).alias("_c"))
+    earlier = Window.partitionBy("_band").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    higher = Window.partitionBy("_block").orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
+    above = grid.withColumn("_e", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).withColumn("_h", F.coalesce(F.sum("_e").over(higher), F.lit(0)))
+    apart = above.agg(F.coalesce(F.sum(F.col("_c").cast("decimal(19,0)") * F.col("_h")), F.lit(0)).cast("decimal(38,0)").alias("n"))
+    # of one block but different bands, and of one band whatever the block
+    return apart.unionByName(_counted_inversions(placed, "_block", "_x", "_band")).unionByName(_counted_inversions(placed, "_band", "_x", "_y")).agg(F.sum("n").alias("n"))
+
+
+def kendall(rows: DataFrame, a: str, b: str, block: int = 100_000) -> DataFrame:
+    """One row: n, discordant pairs and tau-b; null where a side is all ties. Rows with a null take no part."""
+    used = cut(rows.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null"), "kendall")
+
+    def tied(*by: str) -> DataFrame:
+        c = F.col("c").cast("decimal(19,0)")
+        return used.groupBy(*by).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(c * (c - 1) / 2), F.lit(0)).cast("double").alias("_".join(by)))
+
+    n = used.agg(F.count("*").alias("n"))
+    facts = n.crossJoin(tied("a")).crossJoin(tied("b")).crossJoin(tied("a", "b")).crossJoin(discordant(used, "a", "b", block).select(F.col("n").cast("double").alias("q")))  # one row each
+    pairs = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    spread = F.sqrt((pairs - F.col("a")) * (pairs - F.col("b")))
+    agreed = pairs - F.col("a") - F.col("b") + F.col("a_b") - 2 * F.col("q")
+    return facts.select("n", F.col("q").cast("long").alias("discordant"), F.when(spread > 0, agreed / spread).alias("tau"))

@@ -449,7 +449,10 @@ SELECT query, row_number() OVER (PARTITION BY query ORDER BY rrf DESC, merit_ran
     "title_match_year": _best(0.55, "abs(qy - ty) <= 1"),
     "doi_normalise": """SELECT p_partkey, '10.1' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '/abc.' || p_partkey AS doi, '2101.' || lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') AS arxiv, 2005 AS year, '2000s' AS decade FROM part""",
     "eval_recall": f"WITH {FOLDS}",
-    "spearman": f"""WITH {CORPUS}, v AS (SELECT in_corpus_cited_by AS a, cited_by_count AS b FROM works WHERE id LIKE 'P%' AND NOT is_stub),
+    "kendall": f"""WITH {CORPUS}, v AS (SELECT id, in_corpus_cited_by AS a, cited_by_count AS b FROM works WHERE NOT is_stub),
+pairs AS (SELECT sign(x.a - y.a) AS s, sign(x.b - y.b) AS t FROM v x JOIN v y ON x.id < y.id)
+SELECT (SELECT count(*) FROM v) AS n, CAST(count(*) FILTER (s * t < 0) AS BIGINT) AS discordant, round(sum(s * t) / sqrt(CAST(sum(abs(s)) AS DOUBLE) * sum(abs(t))), 9) AS tau FROM pairs""",
+    "spearman": f"""WITH {CORPUS}, v AS (SELECT in_corpus_cited_by AS a, cited_by_count AS b FROM works WHERE NOT is_stub),
 r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM v)
 SELECT count(*) AS n, round(corr(ra, rb), 9) AS rho FROM r""",
     "page_furniture": r"""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),

@@ -397,10 +397,15 @@ def eval_report(spark, sf_dir):
 
 
 def spearman(spark, sf_dir):
-    works = testdata.read(spark, sf_dir).works.where("id like 'P%' and not is_stub")
+    works = testdata.read(spark, sf_dir).works.where("not is_stub")
     return _round(resample.spearman(works, "in_corpus_cited_by", "cited_by_count"), "rho")
 
 
+def kendall(spark, sf_dir):
+    works = testdata.read(spark, sf_dir).works.where("not is_stub")
+    return _round(resample.kendall(works, "in_corpus_cited_by", "cited_by_count"), "tau")
+
+
 # --- bibliographies -----------------------------------------------------------------------
 
 
@@ -429,7 +434,7 @@ QUERIES = {
         node_kinds, transition, return_diagonal, propagate_seeds, propagate_signed, background, compose_mean, context_breakdown,
         ppr_fixed_iter, ring_share, ring_comparison, walk_scores, rank_percentiles, citation_percentile, popularity_pctile, jackknife, tie_groups, tie_runs,
         lift_rank, trust_units, rank_profile, recommendations, blindspots, simulate_moves, diversity_entropy, concentration, bfs_distance,
-        explain_paths, subgraph, text_rank, rrf_fuse, trigram_match, title_match_year, doi_normalise, eval_recall, eval_report, spearman, bib_split,
+        explain_paths, subgraph, text_rank, rrf_fuse, trigram_match, title_match_year, doi_normalise, eval_recall, eval_report, spearman, kendall, bib_split,
         bib_features, page_furniture,
     )
 }
