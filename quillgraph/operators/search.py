@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions import porter
 from quillgraph.functions import text as tx
+from quillgraph.plans.lineage import cut
 from quillgraph.schema import RRF_K, SEARCH_LIMIT
 
 # Words that are not indexed, and the weights of title and body.
@@ -13,14 +15,6 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "h
 CLASS_WEIGHTS = {"A": 1.0, "B": 0.4}
 
 
-def stem(word: Column) -> Column:
-    """A light English stemmer: plural, -ing, -ed and -ly endings of words that stay long enough."""
-    w = F.regexp_replace(word, "(?<=[a-z]{3})ies$", "y")
-    w = F.regexp_replace(w, "(?<=[a-z]{2}(s|x|z|ch|sh))es$", "")
-    w = F.regexp_replace(w, "(?<=[a-z]{3}[^s])s$", "")
-    return F.regexp_replace(w, "(?<=[a-z]{3})(ing|ed|ly)$", "")
-
-
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits, stop words left out."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
@@ -28,23 +22,49 @@ def tokens(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, stemmed: bool = False) -> DataFrame:
-    """(id, term, class, tf) of (id, title, body): title words are class A, body words B."""
+    """(id, term, class, tf) of (id, title, body): title words are class A, body words B.
+
+    With ``stemmed``, terms are stems, each distinct word stemmed once.
+    """
     both = docs.select("id", F.posexplode(F.array(tokens(F.col("title")), tokens(F.col("body")))).alias("k", "words"))
     flat = both.select("id", F.when(F.col("k") == 0, "A").otherwise("B").alias("class"), F.explode("words").alias("term"))
-    if stemmed:
-        flat = flat.withColumn("term", stem(F.col("term")))
-    return flat.groupBy("id", "term", "class").agg(F.count("*").alias("tf"))
+    found = flat.groupBy("id", "term", "class").agg(F.count("*").alias("tf"))
+    if not stemmed:
+        return found
+    return with_stems(found, stems(flat)).groupBy("id", "term", "class").agg(F.sum("tf").alias("tf"))
+
+
+def stems(words: DataFrame) -> DataFrame:
+    """(word, stem) of the distinct words of a frame with a column term."""
+    return words.select(F.col("term").alias("word")).distinct().withColumn("stem", porter.stem(F.col("word")))
+
+
+def with_stems(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with the stem in place of each term."""
+    return rows.join(known.withColumnRenamed("word", "term"), "term").drop("term").withColumnRenamed("stem", "term")
+
+
+def stemmed_queries(queries: DataFrame) -> DataFrame:
+    """(query, term) with stems for terms."""
+    return with_stems(queries, stems(queries)).select("query", "term").distinct()
 
 
 def text_rank(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, id, rank) of the documents that hold every term of a query (query, term).
 
-    The rank adds, for each term and class, the class's weight times the log of its count.
+    The rank adds, for each term and class, the class's weight times the log of its count. Postings
+    of other terms are left out before they are shuffled; documents that hold a query's rarest term
+    are its candidates, and its other terms are looked up for these alone.
     """
-    needed = queries.distinct().groupBy("query").agg(F.count("*").alias("needed"))
+    asked = cut(queries.select("query", "term").distinct(), "asked")
+    found = cut(index.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+    common = found.groupBy("term").agg(F.countDistinct("id").alias("docs"))
+    sized = asked.join(common, "term", "left").select("query", "term", F.coalesce("docs", F.lit(0)).alias("docs"))
+    needed = sized.groupBy("query").agg(F.count("*").alias("needed"), F.min(F.struct("docs", "term")).term.alias("term"))
+    candidates = needed.join(found.select("id", "term").distinct(), "term").select("query", "id", "needed")
     weight = F.when(F.col("class") == "A", CLASS_WEIGHTS["A"]).otherwise(CLASS_WEIGHTS["B"])
-    hits = index.join(queries.distinct(), "term").groupBy("query", "id").agg(F.countDistinct("term").alias("met"), F.sum(weight * F.log1p("tf")).alias("rank"))
-    return hits.join(needed, "query").where("met = needed").select("query", "id", "rank")
+    hits = candidates.join(asked, "query").join(found, ["id", "term"]).groupBy("query", "id", "needed").agg(F.countDistinct("term").alias("met"), F.sum(weight * F.log1p("tf")).alias("rank"))
+    return hits.where("met = needed").select("query", "id", "rank")
 
 
 def trigram_matches(queries: DataFrame, titles: DataFrame, threshold: float, years: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillgraph.functions import porter
+
 # The weights used below are those of schema.RELATION_WEIGHTS and schema.STRENGTHS.
 
 CORPUS = """
@@ -170,12 +172,55 @@ FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b DESC)
 
 UNITS = "units AS MATERIALIZED (SELECT work_id, strength, CASE WHEN pos <= 2 THEN 'u:1' WHEN pos = 3 THEN 'u:2' ELSE 'w:' || work_id END AS unit FROM trust)"
 
-TOKENS = """
+VOWELS = "list_reduce(list_prepend('', string_split(w, '')), lambda a, ch: a || CASE WHEN ch IN ('a', 'e', 'i', 'o', 'u') THEN 'v' WHEN ch = 'y' AND right(a, 1) = 'c' THEN 'v' WHEN ch = '' THEN '' ELSE 'c' END)"
+
+
+def _stems(source: str) -> str:
+    """CTEs that end in stem (word, stem) of the distinct words of ``source`` (term)."""
+
+    def m(n: str) -> str:
+        return f"(length(left(f, {n})) - length(replace(left(f, {n}), 'vc', ''))) // 2"
+
+    def endings(rules: dict[str, str], least: int) -> str:
+        whens = []
+        for ending, other in sorted(rules.items(), key=lambda r: -len(r[0])):
+            n = f"length(w) - {len(ending)}"
+            ok = f"{m(n)} >= {least}" + (f" AND regexp_matches(left(w, {n}), '[st]$')" if ending == "ion" else "")
+            whens.append(f"WHEN ends_with(w, '{ending}') THEN CASE WHEN {ok} THEN left(w, {n}) || '{other}' ELSE w END")
+        return f"CASE {' '.join(whens)} ELSE w END"
+
+    def mended(k: int) -> str:
+        n = f"(length(w) - {k})"
+        x, g = f"left(w, {n})", f"left(f, {n})"
+        return f"""CASE WHEN NOT contains({g}, 'v') THEN w WHEN regexp_matches({x}, '(at|bl|iz)$') THEN {x} || 'e'
+  WHEN ends_with({g}, 'c') AND right({x}, 1) = right(left(w, {n} - 1), 1) AND {n} > 1 AND NOT regexp_matches({x}, '[lsz]$') THEN left(w, {n} - 1)
+  WHEN {m(n)} = 1 AND ends_with({g}, 'cvc') AND NOT regexp_matches({x}, '[wxy]$') THEN {x} || 'e' ELSE {x} END"""
+
+    one = "length(w) - 1"
+    steps = [
+        endings(porter.PLURALS, 0),
+        f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {m('length(w) - 3')} > 0 THEN left(w, {one}) ELSE w END WHEN ends_with(w, 'ed') THEN {mended(2)} WHEN ends_with(w, 'ing') THEN {mended(3)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'y') AND contains(left(f, {one}), 'v') THEN left(w, {one}) || 'i' ELSE w END",
+        endings(porter.STEP_2, 1),
+        endings(porter.STEP_3, 1),
+        endings(dict.fromkeys(porter.STEP_4, ""), 2),
+        f"CASE WHEN ends_with(w, 'e') AND ({m(one)} > 1 OR ({m(one)} = 1 AND NOT (ends_with(left(f, {one}), 'cvc') AND NOT regexp_matches(left(w, {one}), '[wxy]$')))) THEN left(w, {one}) ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {m('length(w)')} > 1 THEN left(w, {one}) ELSE w END",
+    ]
+    out = [f"sw AS MATERIALIZED (SELECT DISTINCT term AS word FROM {source})", f"s0 AS MATERIALIZED (SELECT word, w, {VOWELS} AS f FROM (SELECT word, word AS w FROM sw WHERE regexp_full_match(word, '[a-z]{{3,}}')))"]
+    out += [f"s{i} AS MATERIALIZED (SELECT word, w, {VOWELS} AS f FROM (SELECT word, {step} AS w FROM s{i - 1}))" for i, step in enumerate(steps, 1)]
+    return ",\n".join([*out, f"stem AS MATERIALIZED (SELECT sw.word, coalesce(s.w, sw.word) AS stem FROM sw LEFT JOIN s{len(steps)} s ON s.word = sw.word)"])
+
+
+WORDS = """
 stops AS (SELECT ['a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'were', 'with'] AS s),
 dt AS (SELECT doc_id AS id, unnest([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') IF x <> '']) AS term FROM documents),
-tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM dt, stops WHERE NOT list_contains(s, term) GROUP BY ALL),
-q0 AS (SELECT item_id AS query, ([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') IF x <> '' AND NOT list_contains(s, x)]) AS ws FROM benchmark, stops),
-q AS MATERIALIZED (SELECT DISTINCT query, unnest(ws) AS term FROM q0),
+dw AS MATERIALIZED (SELECT id, term FROM dt, stops WHERE NOT list_contains(s, term))"""
+TOKENS = f"""{WORDS},
+q0 AS (SELECT item_id AS query, unnest([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') IF x <> '' AND NOT list_contains(s, x)]) AS term FROM benchmark, stops),
+allw AS (SELECT term FROM dw UNION ALL SELECT term FROM q0), {_stems("allw")},
+tf AS MATERIALIZED (SELECT id, stem AS term, count(*) AS tf FROM dw JOIN stem ON word = term GROUP BY ALL),
+q AS MATERIALIZED (SELECT DISTINCT query, stem AS term FROM q0 JOIN stem ON word = term),
 hits AS MATERIALIZED (
   SELECT h.query, h.id, round(h.rank, 9) AS rank FROM (SELECT query, id, count(DISTINCT q.term) AS met, sum(0.4 * ln(1 + tf)) AS rank FROM q JOIN tf ON tf.term = q.term GROUP BY ALL) h
   JOIN (SELECT query, count(*) AS needed FROM q GROUP BY 1) n ON n.query = h.query AND n.needed = h.met
@@ -439,6 +484,7 @@ SELECT dimension, category, n, share, CAST(place AS INTEGER) AS place FROM r WHE
     "subgraph": f"""WITH {EDGES}, {ROUNDED} SELECT src, dst, weight, context, relation FROM re
 WHERE (src IN (SELECT work_id FROM trust) OR dst IN (SELECT work_id FROM trust)) AND substr(src, 1, 1) IN ('C', 'P', 'A', 'V') AND substr(dst, 1, 1) IN ('C', 'P', 'A', 'V')
 ORDER BY weight DESC, src, dst, context, relation LIMIT 150""",
+    "word_stems": f"WITH {WORDS}, {_stems('dw')} SELECT word, stem FROM stem",
     "text_rank": f"WITH {TOKENS} SELECT query, id, rank FROM hits",
     "rrf_fuse": f"""WITH {TOKENS}, r AS (SELECT * FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY rank DESC, id % 17 DESC, id) AS text_rank FROM hits) WHERE text_rank <= 500),
 k AS (SELECT r.query, r.id, row_number() OVER (PARTITION BY r.query ORDER BY CAST(d.n_chars % 97 AS DOUBLE) DESC, r.id) AS mr FROM r JOIN documents d ON d.doc_id = r.id),

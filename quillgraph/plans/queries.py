@@ -343,7 +343,12 @@ def subgraph(spark, sf_dir):
 def _search(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("body"))
     queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(search.tokens(F.col("text"))).alias("term"))
-    return search.postings(docs), queries
+    return search.postings(docs, stemmed=True), search.stemmed_queries(queries)
+
+
+def word_stems(spark, sf_dir):
+    """Every word of the documents with its stem."""
+    return search.stems(_read(spark, sf_dir, "documents").select(F.explode(search.tokens(F.col("text"))).alias("term")))
 
 
 def text_rank(spark, sf_dir):
@@ -434,7 +439,7 @@ QUERIES = {
         node_kinds, transition, return_diagonal, propagate_seeds, propagate_signed, background, compose_mean, context_breakdown,
         ppr_fixed_iter, ring_share, ring_comparison, walk_scores, rank_percentiles, citation_percentile, popularity_pctile, jackknife, tie_groups, tie_runs,
         lift_rank, trust_units, rank_profile, recommendations, blindspots, simulate_moves, diversity_entropy, concentration, bfs_distance,
-        explain_paths, subgraph, text_rank, rrf_fuse, trigram_match, title_match_year, doi_normalise, eval_recall, eval_report, spearman, kendall, bib_split,
+        explain_paths, subgraph, word_stems, text_rank, rrf_fuse, trigram_match, title_match_year, doi_normalise, eval_recall, eval_report, spearman, kendall, bib_split,
         bib_features, page_furniture,
     )
 }
