@@ -11,8 +11,9 @@ from quillgraph.llm import scratch
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int) -> tuple[DataFrame | None, dict[int, int]]:
     """(doc_id, text) of labelled documents, and their labels by doc_id.
 
-    Of each label, up to ``rows`` rows come, the first by a hash of the id, and of these as many
-    as hold ``most_bytes`` of text together, one at the least; texts are whole. ``labels`` has
+    Of each label, up to ``rows`` rows come, the first by a hash of the id, and of these the first
+    ones that hold ``most_bytes`` of text together, one at the least; the text that would exceed it ends
+    the sample, so that long texts are as likely in it as short ones. Texts are whole. ``labels`` has
     doc_id and the 0/1 column ``label``; rows with a null in either and ids with both labels are
     left out. Of documents that repeat a doc_id the first text in order counts; null is empty.
     Without any such row the frame is None.
@@ -29,10 +30,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = scratch.table(texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "learned")
     sizes = found.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    held, kept = {0: 0, 1: 0}, {}
+    held, kept, full = {0: 0, 1: 0}, {}, set()
     for r in sizes:
         y = picked[r.doc_id]
-        if not held[y] or held[y] + r["size"] <= most_bytes:
+        if held[y] and held[y] + r["size"] > most_bytes:
+            full.add(y)
+        if y not in full:
             kept[r.doc_id] = y
             held[y] += max(1, r["size"])
     if len(kept) < len(sizes):

@@ -105,12 +105,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
     query's own id; equal scores go to the smaller vec_id. Vectors that are null or hold null or
     non-finite components, and rows without vec_id, take no part; vectors of different lengths do
     not meet. An empty table gives an empty result. Rows that repeat a vec_id each count as a
-    candidate; as queries they count once (the first of them met). Other columns are not read.
+    candidate; as a query the id counts once, with its least vector. Other columns are not read.
     """
     spark = vectors.sparkSession
     scratch.ship(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
-    asked = rows.where(is_query).dropDuplicates(["vec_id"])
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n_blocks = -(-asked.count() // QUERY_BLOCK)
     schema = "query_id long, vec_id long, score long"
     found = None

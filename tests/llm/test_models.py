@@ -182,3 +182,20 @@ def test_pipeline_stages(spark):
     mixed = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert mixed.where("taken <= 0 or taken > 3 * size").count() == 0
     assert mixed.join(before, "doc_id", "left_anti").count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, docs, rows, nothing, tmp_path):
+    """Nulls, empty texts, repeated ids and a clashing column go through all five stages; so does an empty table."""
+    import corpus_pipeline
+
+    good = [r for r in rows if r[0] is not None]
+    spark.createDataFrame([(r[0], 1, 0) for r in good] + [(900 + i, 0, 0) for i in range(5)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, good[0][1] or "x"), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table in (docs, nothing):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, now, str(tmp_path)).cache()
+            assert after.columns == table.columns and after.count() <= now.count(), name
+            now = after
+        mixed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+        assert mixed.where("taken <= 0").count() == 0 and mixed.count() <= now.count()
