@@ -1,7 +1,13 @@
 """The corpus pipeline: five stages, each written and read again by whoever runs them.
 
 A stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, others that a table has besides included, whatever their names.
+
+Null and empty texts are texts of no words: the quality network scores them like any other, they are
+no near copies, hold no repeated string and no benchmark passage, and the mix takes nothing of them.
+Of equal or near copies the smallest doc_id stays, a null one last; rows that repeat a doc_id are rows
+of their own. Empty tables go through every stage. Without labels every quality score is 0.5, which is
+below the threshold, so nothing stays; without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations

@@ -40,11 +40,20 @@ AUTHORISH = (
     r"[A-Z][\w'À-ɏ-]+\s+[A-Z]{1,3}\b)"
 )
 BRACKET = r"^\s*\[(\d{1,3})\]"
-ORDINAL = r"^\s*(\d{1,3})\.\s"
-ALPHA = r"^\s*\[([A-Z][A-Za-z+]{0,8}\d{2,4}[a-z]?)\]"
-AUTHOR_OPEN = r"^\s*([A-Z]\.\s*)*[A-Z][\p{L}'-]+,?\s"
+ORDINAL = r"^\s*(\d{1,3})\.\s+\S"
+ALPHA_KEY = r"[A-Z][a-zA-Z+\-]*\d{2}[a-z]?"
+ALPHA = rf"^\s*\[({ALPHA_KEY})\]"
+AUTHOR_OPEN = (
+    r"(?U)^(?:(?:[A-Z]\.[\s-]*)+[A-Z][\w'À-ɏ-]+|"
+    r"[A-Z][\w'À-ɏ-]+,?\s+(?:[A-Z]\.|[A-Z][a-z]+|and\b|et\b)|"
+    r"[A-Z][\w'À-ɏ-]+\s+[A-Z]{1,3}\b|"
+    r"(?:van|von|de|del|di|da)\s+[A-Z]|"
+    r"[A-Z][\w'À-ɏ-]+\s+et\s+al)"
+)
 SIGNAL = r"(?i)\b(1[89]\d{2}|20[0-2]\d|2030)\b|arXiv|\bdoi\b|10\.\d{4,9}/|\d+\s*[:(]\s*\d+|\bpp?\.\s*\d"
-VOLUME = r"\d+\s*[:(]\s*\d+|\bpp?\.\s*\d"
+VOLUME = r"(?i)(?:\d+\s*[:(]\s*\d+|\bpp?\.\s*\d|\bIn:|\bvol\.\s*\d)"
+AUTHOR_YEAR = r"(?U)\(([A-Z][\w'À-ɏ-]+(?:\s+et\s+al\.?)?,?\s+(?:1[89]|20)\d{2})"
+MARKERS = {"bracket_numeric": r"\[(\d{1,3})\]", "ordinal": r"\[(\d{1,3})\]", "alpha_key": rf"\[({ALPHA_KEY})\]", "indent": AUTHOR_YEAR}
 LEAD_KEY = r"^\s*(\[[^\]]{1,16}\]|\d{1,3}\.)\s*"
 METHODS = {"bracket_numeric": BRACKET, "ordinal": ORDINAL, "alpha_key": ALPHA}
 
@@ -199,8 +208,20 @@ def entries(lines: DataFrame) -> DataFrame:
     return out.withColumn("raw", tx.without_pages(tx.tidy(F.col("raw")))).where("raw != ''")
 
 
-def features(found: DataFrame) -> DataFrame:
-    """(doc, method, n_entries, ..., score, structural, failures) of each way of splitting."""
+def markers(body: DataFrame) -> DataFrame:
+    """(doc, method, n_markers): distinct citation marks in the lines before the bibliography, for each way of splitting."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+    whole = body.groupBy("doc").agg(text.alias("text"))
+    counts = [F.struct(F.lit(m).alias("method"), F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(1)))).alias("n_markers")) for m, p in MARKERS.items()]
+    return whole.select("doc", F.explode(F.array(*counts)).alias("m")).select("doc", "m.*")
+
+
+def features(found: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """(doc, method, n_entries, ..., score, structural, failures) of each way of splitting.
+
+    With ``marked``, of :func:`markers`, the score also averages how near the numbers of entries and of
+    marks are, where there are marks.
+    """
     body = F.regexp_replace("raw", LEAD_KEY, "")
     number = F.when(F.col("method").isin("bracket_numeric", "ordinal"), F.col("key").cast("int"))
     w = Window.partitionBy("doc", "method").orderBy("entry")
@@ -216,7 +237,13 @@ def features(found: DataFrame) -> DataFrame:
         (F.countDistinct("key") == F.count("*")).alias("unique_keys"),
     )
     length_ok = F.col("median_len").between(*ENTRY_LENGTHS)
-    score = (length_ok.cast("double") + F.col("author_frac") + F.col("year_frac") + F.col("volpage_frac")) / 4
+    parts = length_ok.cast("double") + F.col("author_frac") + F.col("year_frac") + F.col("volpage_frac")
+    score = parts / 4
+    if marked is not None:
+        f = f.join(marked.where("n_markers > 0"), ["doc", "method"], "left")
+        agreement = F.least("n_entries", "n_markers") / F.greatest("n_entries", "n_markers")
+        f = f.withColumn("marker_agreement", agreement)
+        score = F.when(F.col("n_markers").isNull(), parts / 4).otherwise((parts + agreement) / 5)
     structural = (F.col("n_entries") >= LEAST_STRUCTURAL) & F.when(F.col("method") == "alpha_key", F.col("unique_keys")).otherwise(F.coalesce("in_sequence", F.lit(False)))
     fails = F.filter(
         F.array(

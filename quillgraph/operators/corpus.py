@@ -13,8 +13,13 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def upsert(have: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``new`` replaces rows of ``have`` with the same key; repeating it changes nothing."""
-    return have.join(new.select(*keys), keys, "left_anti").unionByName(new.dropDuplicates(keys))
+    """``new`` replaces rows of ``have`` with the same key; repeating it changes nothing.
+
+    Of new rows with one key the least counts, by their other columns in order.
+    """
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*[c if c in keys else F.col(f"_r.`{c}`").alias(c) for c in new.columns]) if rest else new.distinct()
+    return have.join(new.select(*keys), keys, "left_anti").unionByName(one)
 
 
 def closed_citations(citations: DataFrame, works: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import display
 from quillgraph.operators import graph, lookup, resample
-from quillgraph.plans.oracles import CORPUS
-from quillgraph.plans.pages import FAMILIES, TRUSTED, _profile
+from quillgraph.plans.oracles import CORPUS, EDGES
+from quillgraph.plans.pages import _profile
 from quillgraph.plans.queries import _read, _round
 from quillgraph.sources import testdata
 
@@ -40,26 +40,22 @@ def people_texts(spark, sf_dir):
     return c.works_base.select("id").join(lists.withColumnRenamed("work_id", "id"), "id", "left").select("id", display.people_text(F.col("names"), 2).alias("people"))
 
 
-def _families(c):
-    return graph.citation_edges(c.citations, c.works_base).unionByName(graph.entity_families(c))
-
-
 def engine_neighbours(spark, sf_dir):
     c, _, trust = _profile(spark, sf_dir)
-    found = lookup.neighbours(_round(_families(c), "weight"), trust.select(F.col("work_id").alias("node")), "all", offset=5, count=20, gte=0.01, lt=0.9)
+    found = lookup.neighbours(_round(graph.build(c), "weight"), trust.select(F.col("work_id").alias("node")), "all", offset=5, count=20, gte=0.01, lt=0.9)
     return found
 
 
 def engine_scores(spark, sf_dir):
     """Trusted papers as egos, their scores by the strongest edge: papers of a range, paged."""
     c, _, trust = _profile(spark, sf_dir)
-    found = _families(c).join(trust.select(F.col("work_id").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("ego"), F.col("dst").alias("node")).agg(F.max("weight").alias("score"))
+    found = graph.build(c).join(trust.select(F.col("work_id").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("ego"), F.col("dst").alias("node")).agg(F.max("weight").alias("score"))
     return lookup.scores(_round(found, "score"), "author", 0, 50, gt=0.1, lte=0.6)
 
 
 def engine_mutual(spark, sf_dir):
     c = testdata.read(spark, sf_dir).stored()
-    found = graph.citation_edges(c.citations, c.works_base).groupBy(F.col("src").alias("ego"), F.col("dst").alias("node")).agg(F.max("weight").alias("score"))
+    found = graph.build(c).groupBy(F.col("src").alias("ego"), F.col("dst").alias("node")).agg(F.max("weight").alias("score"))
     return _round(lookup.mutual(found), "score", "back")
 
 
@@ -139,11 +135,11 @@ SELECT p_partkey, CASE WHEN u THEN 'couldn''t check OpenAlex' ELSE ['matched by
   CASE WHEN NOT u AND m IN (3, 4) THEN p_partkey % 10 / 10 END AS confidence, NOT w AND r AS will_be_added, CASE WHEN u THEN NOT w AND NOT r ELSE m = 5 AND (w OR NOT r) END AS unmatched FROM v""",
     "people_texts": f"""WITH {CORPUS}, l AS (SELECT work_id, list(s_name ORDER BY position) AS names FROM wa JOIN supplier ON 'A' || s_suppkey = e GROUP BY 1)
 SELECT id, CASE WHEN names IS NULL THEN 'Unattributed' ELSE array_to_string(names[1:2], ', ') || CASE WHEN len(names) > 2 THEN ' and ' || (len(names) - 2) || ' more' ELSE '' END END AS people FROM base LEFT JOIN l ON work_id = id""",
-    "engine_neighbours": f"""WITH {FAMILIES}, {TRUSTED}, a AS (SELECT src AS node, dst AS other, round(weight, 9) AS weight, context FROM family_edges UNION ALL SELECT dst, src, round(weight, 9), context FROM family_edges WHERE src <> dst)
+    "engine_neighbours": f"""WITH {EDGES}, a AS (SELECT src AS node, dst AS other, round(weight, 9) AS weight, context FROM edges UNION ALL SELECT dst, src, round(weight, 9), context FROM edges WHERE src <> dst)
 SELECT * FROM (SELECT CAST(row_number() OVER (PARTITION BY node ORDER BY weight DESC, other, context) AS INTEGER) AS place, node, other, weight, context FROM a WHERE weight >= 0.01 AND weight < 0.9 AND node IN (SELECT work_id FROM trust)) WHERE place BETWEEN 6 AND 25""",
-    "engine_scores": f"""WITH {FAMILIES}, {TRUSTED}, s AS (SELECT src AS ego, dst AS node, round(max(weight), 9) AS score FROM family_edges WHERE src IN (SELECT work_id FROM trust) GROUP BY ALL)
+    "engine_scores": f"""WITH {EDGES}, s AS (SELECT src AS ego, dst AS node, round(max(weight), 9) AS score FROM edges WHERE src IN (SELECT work_id FROM trust) GROUP BY ALL)
 SELECT * FROM (SELECT CAST(row_number() OVER (PARTITION BY ego ORDER BY score DESC, node) AS INTEGER) AS place, ego, node, score FROM s WHERE node LIKE 'A%' AND score > 0.1 AND score <= 0.6) WHERE place <= 50""",
-    "engine_mutual": f"""WITH {FAMILIES}, s AS MATERIALIZED (SELECT src AS ego, dst AS node, max(weight) AS score FROM cites GROUP BY ALL)
+    "engine_mutual": f"""WITH {EDGES}, s AS MATERIALIZED (SELECT src AS ego, dst AS node, max(weight) AS score FROM edges GROUP BY ALL)
 SELECT a.ego, a.node, round(a.score, 9) AS score, round(b.score, 9) AS back FROM s a JOIN s b ON a.ego = b.node AND a.node = b.ego""",
     "engine_pruned": """WITH e AS (SELECT l_suppkey AS src, l_extendedprice * l_extendedprice AS w FROM lineitem), m AS (SELECT src, max(w) AS top FROM e GROUP BY 1)
 SELECT src, count(*) AS n, min(round(w, 2)) AS least FROM e JOIN m USING (src) WHERE w > 0.001 * top GROUP BY 1""",

@@ -264,13 +264,17 @@ rs AS MATERIALIZED (SELECT r.replicate, t.work_id AS node, t.weight FROM trust t
 {signed("rp", "rs", ("replicate",))}"""
 
 
-def _jackknife(scores: str, n_units: int, n_replicates: int, table: str = "works") -> str:
+def _bands(scores: str, n_units: int, n_replicates: int, table: str = "works") -> str:
     return f"""
 fullr AS (SELECT node, score FROM {scores} JOIN {table} ON id = node WHERE replicate = 0 AND {SHOWN}),
 band AS (
   SELECT f.node, f.score, stddev_pop(coalesce(o.score, 0)) * sqrt({n_units - 1}) AS se
   FROM fullr f, (SELECT unnest(range(1, {n_replicates + 1})) AS replicate) r LEFT JOIN {scores} o ON o.node = f.node AND o.replicate = r.replicate GROUP BY ALL
-)
+)"""
+
+
+def _jackknife(scores: str, n_units: int, n_replicates: int) -> str:
+    return f"""{_bands(scores, n_units, n_replicates)}
 SELECT node, round(score, 9) AS score, round(se, 9) AS stderr, round(greatest(0, score - 1.96 * se), 9) AS ci_low, round(score + 1.96 * se, 9) AS ci_high FROM band"""
 
 
@@ -406,7 +410,7 @@ SELECT *, (SELECT count(*) FROM cit) AS n_citations, round(n_linked / greatest(n
     "snowball": f"""WITH {CORPUS} SELECT dst_id AS id, count(DISTINCT src_id) AS referrers, CASE WHEN count(DISTINCT src_id) >= 3 THEN 'promote' ELSE 'stub' END AS decision
 FROM cit WHERE dst_id NOT IN (SELECT id FROM base WHERE id LIKE 'C%' OR year < 1990) GROUP BY 1""",
     "briefs": f"""WITH {CORPUS} SELECT id AS node, title, year, substr(venue_id, 2) AS venue, coalesce(a.names, '') AS authors FROM base
-LEFT JOIN (SELECT work_id, string_agg(s_name, ', ' ORDER BY position) AS names FROM wa JOIN supplier ON 'A' || s_suppkey = e GROUP BY 1) a ON work_id = id WHERE id LIKE 'P%'""",
+LEFT JOIN (SELECT work_id, string_agg(s_name, ', ' ORDER BY position) AS names FROM wa JOIN supplier ON 'A' || s_suppkey = e GROUP BY 1) a ON work_id = id""",
     "edges_citation": f"WITH {CORPUS}, {AGED} SELECT src, dst, round(weight, 9) AS weight, context, relation FROM cites",
     "edges_entity": f"WITH {EDGES} SELECT src, dst, round(weight, 9) AS weight, context, relation FROM edges WHERE context <> 'citation'",
     "coupling_topk": f"WITH {COUPLING} {_neighbours('cp', 'couples')}",
@@ -459,7 +463,12 @@ SELECT row_number() OVER (ORDER BY first) AS run, tie_group, size, first, last,
 bs AS MATERIALIZED (SELECT node, 1.0 / (SELECT count(*) FROM ns) AS mass FROM ns), {diffuse("bg", "bs")}
 SELECT r.node, round(ln(r.score + 1e-9) - 0.5 * ln(coalesce(round(bg.score, 12), 0) + 1e-9), 6) AS lift FROM ranking r LEFT JOIN bg ON bg.node = r.node""",
     "trust_units": f"WITH {EDGES}, {UNITS} SELECT * FROM units",
-    "rank_profile": f"WITH {PROFILE} x AS (SELECT 1), " + _jackknife("pc", 5, 5).replace("FROM band", "FROM band WHERE round(score, 9) > 0.0000001"),
+    "rank_profile": f"""WITH {PROFILE} x AS (SELECT 1), {_bands("pc", 5, 5)},
+told AS (SELECT node, s * 1.0 AS score, s * round(se / score, 8) AS stderr, s * round(greatest(0, score - 1.96 * se) / score, 8) AS ci_low, s * round((score + 1.96 * se) / score, 8) AS ci_high
+  FROM (SELECT *, CAST(printf('%.8e', score) AS DOUBLE) AS s FROM band)),
+pos AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, node) AS INTEGER) AS rank FROM told),
+apart AS (SELECT *, CASE WHEN abs(score - lag(score) OVER o) > (stderr + lag(stderr) OVER o) / 2 THEN 1 ELSE 0 END AS new FROM pos WINDOW o AS (ORDER BY rank))
+SELECT node, score, stderr, ci_low, ci_high, true AS reliable, rank, CAST(sum(new) OVER (ORDER BY rank) AS BIGINT) AS tie_group FROM apart""",
     "recommendations": f"""WITH {RANKING}, {MERIT}, re AS (SELECT * FROM edges), {_levels(4, 30000, "seeds")}, dist AS ({_all_levels(4)}),
 pool AS (SELECT r.node, r.score, coalesce(m.score, 0) AS merit, coalesce(least(distance, 4) / 4, 1.0) AS novelty FROM ranking r LEFT JOIN merit m ON m.node = r.node LEFT JOIN dist ON dist.node = r.node),
 pc AS (SELECT *, cume_dist() OVER (ORDER BY score) AS tp, cume_dist() OVER (ORDER BY merit) AS gp FROM pool),

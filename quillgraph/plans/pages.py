@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as tx
 from quillgraph.operators import corpus, graph, pages, rank, resample, score, search, state, traverse
 from quillgraph.plans.lineage import cut
-from quillgraph.plans.oracles import AGED, CORPUS, ENTITY, TRIGRAMS
+from quillgraph.plans.oracles import CORPUS, EDGES, TRIGRAMS
 from quillgraph.plans.queries import _misspelt, _read, _round, _titles
 from quillgraph.sources import testdata
 
@@ -45,13 +45,12 @@ def hop_distance(spark, sf_dir):
 
 def adjacency_scores(spark, sf_dir):
     c, _, trust = _profile(spark, sf_dir)
-    edges = graph.dedupe(graph.citation_edges(c.citations, c.works_base).unionByName(graph.entity_families(c)))
-    return _round(score.adjacency(edges, trust.select(F.col("work_id").alias("node")), []), "score")
+    return _round(score.adjacency(graph.build(c), trust.select(F.col("work_id").alias("node")), []), "score")
 
 
 def relation_counts(spark, sf_dir):
     c = testdata.read(spark, sf_dir).stored()
-    return pages.relation_counts(graph.citation_edges(c.citations, c.works_base).unionByName(graph.entity_families(c)))
+    return pages.relation_counts(cut(graph.build(c), "edges"))
 
 
 def integrity(spark, sf_dir):
@@ -196,7 +195,6 @@ diversity AS (SELECT dimension, n_obs, n_categories, round(entropy, 9) AS entrop
 LISTS = f"""{CORPUS},
 a AS (SELECT id, row_number() OVER (ORDER BY in_corpus_cited_by DESC, id) AS r FROM works WHERE NOT is_stub QUALIFY r <= 50),
 b AS (SELECT id, row_number() OVER (ORDER BY cited_by_count DESC, id) AS r FROM works WHERE NOT is_stub QUALIFY r <= 50)"""
-FAMILIES = f"{CORPUS}, {AGED}, {ENTITY}, family_edges AS MATERIALIZED (SELECT * FROM cites UNION ALL SELECT * FROM entity)"
 HOPS = """
 links AS MATERIALIZED (SELECT src_id AS a, dst_id AS b FROM cit UNION SELECT dst_id, src_id FROM cit),
 l0 AS (SELECT work_id AS node FROM trust), l1 AS MATERIALIZED (SELECT DISTINCT b AS node FROM links JOIN l0 ON a = node),
@@ -220,9 +218,9 @@ FROM f LEFT JOIN t ON t.work_id = id LEFT JOIN i ON i.work_id = id LEFT JOIN tru
 SELECT round(diversity, 6) AS diversity, round(echo, 6) AS echo, CASE WHEN echo >= 0.7 THEN 'narrow' WHEN echo >= 0.4 THEN 'mixed' ELSE 'broad' END AS band FROM e""",
     "hop_distance": f"""WITH {CORPUS}, {TRUSTED}, {HOPS}
 SELECT id AS node, CAST(CASE WHEN id IN (FROM l0) THEN 0 WHEN id IN (FROM l1) THEN 1 WHEN id IN (FROM l2) THEN 2 WHEN id IN (FROM l3) THEN 3 ELSE 99 END AS INTEGER) AS hops FROM works""",
-    "adjacency_scores": f"WITH {FAMILIES}, {TRUSTED} SELECT dst AS node, round(max(weight), 9) AS score FROM family_edges JOIN trust ON work_id = src GROUP BY 1",
-    "relation_counts": f"""WITH {FAMILIES}, ends AS (SELECT context, relation, src AS node FROM family_edges UNION ALL SELECT context, relation, dst FROM family_edges),
-n AS (SELECT context, relation, count(DISTINCT node) AS n_nodes FROM ends GROUP BY ALL), m AS (SELECT context, relation, count(*) AS n_edges FROM family_edges GROUP BY ALL)
+    "adjacency_scores": f"WITH {EDGES} SELECT dst AS node, round(max(edges.weight), 9) AS score FROM edges JOIN trust ON work_id = src GROUP BY 1",
+    "relation_counts": f"""WITH {EDGES}, ends AS (SELECT context, relation, src AS node FROM edges UNION ALL SELECT context, relation, dst FROM edges),
+n AS (SELECT context, relation, count(DISTINCT node) AS n_nodes FROM ends GROUP BY ALL), m AS (SELECT context, relation, count(*) AS n_edges FROM edges GROUP BY ALL)
 SELECT context, relation, n_edges, n_nodes FROM m JOIN n USING (context, relation)""",
     "integrity": f"""WITH {CORPUS} SELECT (SELECT count(*) - count(DISTINCT id) FROM base) AS n_repeated_ids, (SELECT count(*) FROM base WHERE year IS NULL) AS n_without_year,
 (SELECT count(*) FROM base WHERE NOT is_stub AND venue_id IS NULL) AS n_without_venue,

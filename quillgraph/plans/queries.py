@@ -83,7 +83,7 @@ def snowball(spark, sf_dir):
 
 def briefs(spark, sf_dir):
     c = testdata.read(spark, sf_dir)
-    return rank.briefs(c.works_base.select(F.col("id").alias("node")).where("node like 'P%'"), c.works_base, c.work_authors, c.names)
+    return rank.briefs(c.works_base.select(F.col("id").alias("node")), c.works_base, c.work_authors, c.names)
 
 
 def edges_citation(spark, sf_dir):
@@ -268,9 +268,13 @@ def trust_units(spark, sf_dir):
 
 
 def rank_profile(spark, sf_dir):
+    """Every visible paper with its band, rank, tie group and flag; scores to nine digits, bands to as many places below."""
     s = _Setting(spark, sf_dir)
     found = rank.rank_profile(s.edges, s.works, s.trust, _units(s), score.context_weights(spark))
-    return _round(found, "score", "stderr", "ci_low", "ci_high").where("score > 0.0000001").select("node", "score", "stderr", "ci_low", "ci_high")
+    digits = F.format_string("%.8e", "score").cast("double")
+    told = found.select("node", digits.alias("score"), *((digits * F.round(F.col(c) / F.col("score"), 8)).alias(c) for c in ("stderr", "ci_low", "ci_high")), "reliable")
+    # numbers as told decide ranks and ties, so that they are those of any engine
+    return resample.tie_groups(resample.ranked(cut(told, "told"), "score"), "score", "stderr", "rank")
 
 
 def flagship(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
+from quillgraph.operators import corpus
 
 # The fields that are read of a full record and of a stub.
 FULL = """id string, doi string, display_name string, publication_year int, publication_date string, cited_by_count long,
@@ -36,13 +37,17 @@ def works(full: DataFrame, stubs: DataFrame) -> DataFrame:
         "cited_by_count",
         tx.bare_doi(F.col("doi")).alias("doi"),
         "type",
+        F.left("language", F.lit(8)).alias("language"),
+        F.coalesce(F.col("open_access.is_oa"), F.lit(False)).alias("is_oa"),
         F.lit(False).alias("is_stub"),
         tx.short_id(F.col("primary_location.source.id")).alias("venue_id"),
     )
-    missing = {c: F.lit(None).cast("string") for c in ("abstract", "doi", "venue_id")}
+    missing = {c: F.lit(None).cast("string") for c in ("abstract", "doi", "venue_id", "language")} | {"is_oa": F.lit(False)}
     b = stubs.select(tx.short_id(F.col("id")).alias("id"), F.col("display_name").alias("title"), F.col("publication_year").alias("year"), "cited_by_count", "type", F.lit(True).alias("is_stub"))
-    b = b.withColumns(missing).join(a.select("id"), "id", "left_anti").dropDuplicates(["id"])
-    return a.dropDuplicates(["id"]).unionByName(b)
+    b = b.withColumns(missing).join(a.select("id"), "id", "left_anti")
+    # of records that repeat an id, the most cited one counts, then the least by its other columns
+    first = lambda df: corpus.first_per_key(df, ["id"], [F.desc("cited_by_count"), *(c for c in df.columns if c not in ("id", "cited_by_count"))])
+    return first(a).unionByName(first(b).select(*a.columns))
 
 
 def citations(full: DataFrame) -> DataFrame:
@@ -57,7 +62,25 @@ def work_authors(full: DataFrame) -> DataFrame:
 
 def work_topics(full: DataFrame) -> DataFrame:
     rows = full.select(tx.short_id(F.col("id")).alias("work_id"), F.explode("topics").alias("t"))
-    return rows.select("work_id", tx.short_id(F.col("t.id")).alias("topic_id"), F.col("t.score").alias("score")).dropDuplicates(["work_id", "topic_id"])
+    return rows.select("work_id", tx.short_id(F.col("t.id")).alias("topic_id"), F.col("t.score").alias("score")).groupBy("work_id", "topic_id").agg(F.max("score").alias("score"))
+
+
+def work_institutions(full: DataFrame) -> DataFrame:
+    """(work_id, institution_id) of all authors' institutions, once each."""
+    rows = full.select(tx.short_id(F.col("id")).alias("work_id"), F.explode("authorships").alias("a")).select("work_id", F.explode("a.institutions").alias("i"))
+    return rows.where("i.id is not null").select("work_id", tx.short_id(F.col("i.id")).alias("institution_id")).distinct()
+
+
+def dimensions(full: DataFrame) -> dict[str, DataFrame]:
+    """The rows of authors, venues, topics and institutions, one for each id, with the least of each other column."""
+    author = full.select(F.explode("authorships").alias("a"))
+    rows = {
+        "authors": author.select("a.author.id", "a.author.display_name", "a.author.orcid"),
+        "venues": full.select("primary_location.source.id", "primary_location.source.display_name", F.left("primary_location.source.type", F.lit(32)).alias("type"), F.left("primary_location.source.issn_l", F.lit(16)).alias("issn_l"), F.col("primary_location.source.host_organization_name").alias("publisher")),
+        "topics": full.select(F.explode("topics").alias("t")).select("t.id", "t.display_name"),
+        "institutions": author.select(F.explode("a.institutions").alias("i")).select("i.id", "i.display_name", "i.ror", F.left("i.country_code", F.lit(8)).alias("country_code")),
+    }
+    return {name: df.where("id is not null").withColumn("id", tx.short_id(F.col("id"))).groupBy("id").agg(*(F.min(c).alias(c) for c in df.columns if c != "id")) for name, df in rows.items()}
 
 
 def write_json(df: DataFrame, path: str) -> None:
