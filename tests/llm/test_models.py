@@ -186,8 +186,6 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_on_odd_rows(spark, docs, rows, nothing, tmp_path):
     """Nulls, empty texts, repeated ids and a clashing column go through all five stages; so does an empty table."""
-    import corpus_pipeline
-
     good = [r for r in rows if r[0] is not None]
     spark.createDataFrame([(r[0], 1, 0) for r in good] + [(900 + i, 0, 0) for i in range(5)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(0, good[0][1] or "x"), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
