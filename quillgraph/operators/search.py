@@ -35,8 +35,11 @@ def postings(docs: DataFrame, stemmed: bool = False) -> DataFrame:
 
 
 def stems(words: DataFrame) -> DataFrame:
-    """(word, stem) of the distinct words of a frame with a column term."""
-    return words.select(F.col("term").alias("word")).distinct().withColumn("stem", porter.stem(F.col("word")))
+    """(word, stem) of the distinct words of a frame with a column term.
+
+    Written once: a join on stems must not be pushed below the distinct, where each occurrence would be stemmed.
+    """
+    return cut(words.select(F.col("term").alias("word")).distinct().withColumn("stem", porter.stem(F.col("word"))), "stems")
 
 
 def with_stems(rows: DataFrame, known: DataFrame) -> DataFrame:
