@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators import corpus, graph, ordered
+from quillgraph.functions import text as tx
+from quillgraph.operators import corpus, graph, ordered, search
+from quillgraph.plans.lineage import cut
+
+# What an imported bibliography's papers are trusted with, and how near a title must be.
+IMPORT_STRENGTH, IMPORT_THRESHOLD = 3, 0.55
 
 
 def set_trust(trust: DataFrame, changes: DataFrame) -> DataFrame:
@@ -65,6 +70,26 @@ def undo(trust: DataFrame, sources: DataFrame, citations: DataFrame, upload_id:
     return {"trust": trust.join(gone, "work_id", "left_anti"), "sources": rest, "citations": kept}
 
 
+def import_bibliography(entries: DataFrame, works: DataFrame, trust: DataFrame, threshold: float = IMPORT_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(matches, trust) after a bibliography's entries became trust of strength IMPORT_STRENGTH.
+
+    ``entries`` is (ref, doi, title, url) with distinct refs, ``works`` (id, doi, title). An entry is matched by
+    its DOI, that of its url if it has none, else by the title at ``threshold`` or more, ties by id.
+    Matches are (ref, label, work_id, method, added); works that are trusted already keep what they have.
+    """
+    own = entries.select("ref", "title", F.coalesce(tx.normal_doi(F.col("doi")), tx.normal_doi(F.col("url"))).alias("_doi"))
+    known = works.where("doi is not null").select(tx.normal_doi(F.col("doi")).alias("_doi"), F.col("id").alias("work_id")).where("_doi is not null")
+    by_doi = cut(own.join(known, "_doi").groupBy("ref").agg(F.min("work_id").alias("work_id")), "matches")
+    left = own.join(by_doi.select("ref"), "ref", "left_anti").where("title is not null")
+    by_title = search.trigram_matches(left.select(F.col("ref").alias("query"), F.col("title").alias("text")), works.where("title is not null").select("id", "title"), threshold)
+    found = by_doi.withColumn("method", F.lit("doi")).unionByName(by_title.select(F.col("query").alias("ref"), F.col("id").alias("work_id"), F.lit("title").alias("method")))
+    labelled = own.select("ref", F.coalesce("title", "ref").alias("label")).join(found, "ref", "left")
+    have = trust.select("work_id", F.lit(True).alias("_have"))
+    matches = cut(labelled.join(have, "work_id", "left").select("ref", "label", "work_id", "method", (F.col("work_id").isNotNull() & F.col("_have").isNull()).alias("added")), "matches")
+    fresh = matches.where("added").select("work_id").distinct().select("work_id", F.lit(IMPORT_STRENGTH).alias("strength"), F.lit(False).alias("is_distrust"))
+    return matches, trust.select("work_id", "strength", "is_distrust").unionByName(fresh)
+
+
 def hidden_uploads(works: DataFrame, uploads: DataFrame, profile: int) -> DataFrame:
     """(work_id) of papers that came with uploads of others and not of this profile."""
     own = uploads.where(F.col("profile_id") == profile).select(F.col("work_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
@@ -15,6 +15,8 @@ FULL = """id string, doi string, display_name string, publication_year int, publ
  topics array<struct<id: string, display_name: string, score: double>>, referenced_works array<string>,
  abstract_inverted_index map<string, array<int>>, type string, language string, open_access struct<is_oa: boolean>"""
 STUB = "id string, display_name string, publication_year int, cited_by_count long, type string"
+#: A larger BibTeX file is refused.
+MOST_BIBTEX = 4 * 1024 * 1024
 LAYOUT = "doc string, pos int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, page int, col int"
 
 
@@ -87,17 +89,53 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
-def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """(ref, doi, title, url) of the entries of BibTeX files, braces and escapes taken out."""
-    whole = spark.read.text(path, wholetext=True)
-    entry = whole.select(F.explode(F.slice(F.split("value", r"(?m)^\s*@"), 2, 1_000_000)).alias("e"))
-
-    def field(name: str):
-        inner = F.regexp_extract("e", rf'(?is)\b{name}\s*=\s*[{{"](.*?)["}}]\s*,?\s*(\n|\}}\s*$)', 1)
-        return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(inner, r"[{}\\]", ""), r"\s+", " ")), F.lit(""))
-
-    key = F.regexp_extract("e", r"^\w+\s*\{\s*([^,\s]+)", 1)
-    return entry.select(key.alias("ref"), field("doi").alias("doi"), field("title").alias("title"), field("url").alias("url")).where("ref != ''")
+def read_bibtex(spark: SparkSession, path: str, most_bytes: int = MOST_BIBTEX) -> DataFrame:
+    """(file, entry, ref, doi, title, url) of the entries of BibTeX files, braces and escapes taken out.
+
+    Files are read as UTF-8, or as Latin-1 if they are not valid; larger ones than ``most_bytes`` are left
+    out (see :func:`refused_bibtex`). A file is cut into marks and what lies between; running sums give
+    each mark its depth of braces, and whether it is inside quotes, so commas part fields only at the
+    entry's own depth. Comments, preambles and string definitions are no entries. Fields that
+    repeat a name count once, by their first; what follows an unclosed brace belongs to its entry.
+    """
+    raw = spark.read.format("binaryFile").load(path).where(F.col("length") <= most_bytes)
+    plain = F.col("content").cast("string")
+    text = F.when(F.is_valid_utf8(plain), plain).otherwise(F.decode("content", "ISO-8859-1"))
+    return bibtex_entries(raw.select(F.col("path").alias("file"), text.alias("text")))
+
+
+def refused_bibtex(spark: SparkSession, path: str, most_bytes: int = MOST_BIBTEX) -> DataFrame:
+    """(file, reason) of files that hold too much; empty files are passed over by Spark's readers."""
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") > most_bytes)
+    return files.select(F.col("path").alias("file"), F.lit("too large").alias("reason"))
+
+
+def bibtex_entries(files: DataFrame) -> DataFrame:
+    """The entries of (file, text), as :func:`read_bibtex` has them."""
+    marks = files.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(r'(?s)(\\.|[{}",@]|[^{}",@\\]+|\\$)'), F.lit(1))).alias("i", "t"))
+    line = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # a file is bounded
+    change = F.when(F.col("t") == "{", 1).when(F.col("t") == "}", -1).otherwise(0)
+    deep = marks.withColumn("after", F.sum(change).over(line)).withColumn("before", F.col("after") - change)
+    # quotes count at an entry's own depth alone
+    quoted = deep.withColumn("quotes", F.sum(F.when((F.col("t") == '"') & (F.col("before") == 1), 1).otherwise(0)).over(line) % 2)
+    starts = quoted.withColumn("entry", F.sum(F.when((F.col("t") == "@") & (F.col("before") <= 0), 1).otherwise(0)).over(line))
+    inner = Window.partitionBy("file", "entry").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    comma = (F.col("t") == ",") & (F.col("before") == 1) & (F.col("quotes") == 0)
+    fields = starts.where("entry > 0").withColumn("field", F.sum(comma.cast("int")).over(inner)).where(~comma & ~((F.col("t") == "}") & (F.col("after") == 0)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x.t), "")
+    parts = fields.where((F.col("before") > 0) | (F.col("field") == 0)).groupBy("file", "entry", "field").agg(joined.alias("raw"))
+    name = F.lower(F.trim(F.regexp_replace(F.substring_index("raw", "=", 1), r"\s+", " ")))
+    value = F.regexp_replace(F.expr("substring(raw, instr(raw, '=') + 1)"), r'^\s*"|"\s*$', "")
+    clean = F.nullif(F.trim(F.regexp_replace(F.regexp_replace(value, r"[{}\\]", ""), r"\s+", " ")), F.lit(""))
+    head = F.when(F.col("field") == 0, F.col("raw"))
+
+    def first(wanted: str):
+        return F.min(F.when((F.col("field") > 0) & (name == wanted) & F.col("raw").contains("="), F.struct("field", clean.alias("v")))).v.alias(wanted)
+
+    found = parts.groupBy("file", "entry").agg(F.max(head).alias("_head"), *(first(c) for c in ("doi", "title", "url")))
+    kind, key = F.lower(F.trim(F.regexp_extract("_head", r"(?s)^@([^{]*)", 1))), F.trim(F.regexp_extract("_head", r"(?s)\{(.*)$", 1))
+    known = found.withColumns({"_kind": kind, "ref": key}).where(~F.col("_kind").isin("comment", "preamble", "string", "") & (F.col("ref") != ""))
+    return known.select("file", "entry", "ref", "doi", "title", "url")
 
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
