@@ -33,8 +33,8 @@ def test_entries_by_depth(spark, tmp_path):
 
 
 def test_import_keeps_what_is_trusted(spark):
-    entries = spark.createDataFrame([("a", "10.1/ABC", None, None), ("b", None, "Nearly the same tittle", None), ("c", None, None, "http://x"), ("d", None, "Mine already", "https://doi.org/10.9/q")], "ref string, doi string, title string, url string")
-    works = spark.createDataFrame([("W1", "https://doi.org/10.1/abc", "Other"), ("W2", None, "Nearly the same title"), ("W3", "10.9/Q", "zzz")], "id string, doi string, title string")
+    entries = spark.createDataFrame([("a", "10.1000/ABC", None, None), ("b", None, "Nearly the same tittle", None), ("c", None, None, "http://x"), ("d", None, "Mine already", "https://doi.org/10.9999/q")], "ref string, doi string, title string, url string")
+    works = spark.createDataFrame([("W1", "https://doi.org/10.1000/abc", "Other"), ("W2", None, "Nearly the same title"), ("W3", "10.9999/Q", "zzz")], "id string, doi string, title string")
     trust = spark.createDataFrame([("W3", 5, False)], "work_id string, strength int, is_distrust boolean")
     matches, after = state.import_bibliography(entries, works, trust)
     assert {(r.ref, r.label, r.work_id, r.method, r.added) for r in matches.collect()} == {("a", "a", "W1", "doi", True), ("b", "Nearly the same tittle", "W2", "title", True), ("c", "c", None, None, False), ("d", "Mine already", "W3", "doi", False)}
