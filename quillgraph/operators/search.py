@@ -76,10 +76,17 @@ def trigram_matches(queries: DataFrame, titles: DataFrame, threshold: float, yea
     ``queries`` is (query, text[, year]), ``titles`` (id, title[, year]); with ``years`` both
     must be within one year. Candidates share one of the query's rarest trigrams: a title at
     similarity t shares ceil(t n) of a query's n trigrams, so one of the rarest
-    n - ceil(t n) + 1 is among them whatever the rest.
+    n - ceil(t n) + 1 is among them whatever the rest. Queries whose trigrams are exactly those of a
+    title need no candidates: nothing is more similar, so the least id of such titles is theirs.
     """
     a = queries.withColumn("grams", tx.trigrams(F.col("text"))).withColumn("n", F.size("grams"))
     b = titles.select("id", "title", *(["year"] if years else [])).withColumn("title_grams", tx.trigrams(F.col("title"))).withColumn("m", F.size("title_grams"))
+    near = ["_year"] if years else []
+    titled = b.where("m > 0").withColumn("_key", F.array_join(F.array_sort("title_grams"), "|"))
+    asked = a.where("n > 0").select("query", F.array_join(F.array_sort("grams"), "|").alias("_key"), *([F.explode(F.array(*[F.col("year") + i for i in (-1, 0, 1)])).alias("_year")] if years else []))
+    first = titled.groupBy("_key", *([F.col("year").alias("_year")] if years else [])).agg(F.min("id").alias("id"))
+    same = cut(asked.join(first, ["_key", *near]).groupBy("query").agg(F.min("id").alias("id")), "same")
+    a = a.join(same.select("query"), "query", "left_anti")
     by_gram = b.select("id", F.explode("title_grams").alias("gram"))
     common = by_gram.groupBy("gram").agg(F.count("*").alias("df"))
     wanted = a.select("query", "n", F.explode("grams").alias("gram")).join(common, "gram")  # grams of no title match nothing
@@ -94,7 +101,8 @@ def trigram_matches(queries: DataFrame, titles: DataFrame, threshold: float, yea
         full = full.where(F.abs(F.col("query_year") - F.col("year")) <= 1)
     scored = full.withColumn("similarity", tx.similarity(F.col("grams"), F.col("title_grams"))).where(F.col("similarity") >= threshold)
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("i", F.row_number().over(best)).where("i = 1").select("query", "id", F.round("similarity", 9).alias("similarity"))
+    found = scored.withColumn("i", F.row_number().over(best)).where("i = 1").select("query", "id", F.round("similarity", 9).alias("similarity"))
+    return found.unionByName(same.withColumn("similarity", F.lit(1.0)))
 
 
 def rrf(text: DataFrame, merit: DataFrame, k: int = RRF_K, limit: int = SEARCH_LIMIT) -> DataFrame:

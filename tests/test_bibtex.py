@@ -1,4 +1,7 @@
-from quillgraph.operators import state
+from pyspark.sql import functions as F
+
+from quillgraph.operators import search, state
+from quillgraph.plans import upkeep
 from quillgraph.sources import files
 
 BIB = r'''Some words before, with "quotes" and a {brace}.
@@ -39,3 +42,24 @@ def test_import_keeps_what_is_trusted(spark):
     matches, after = state.import_bibliography(entries, works, trust)
     assert {(r.ref, r.label, r.work_id, r.method, r.added) for r in matches.collect()} == {("a", "a", "W1", "doi", True), ("b", "Nearly the same tittle", "W2", "title", True), ("c", "c", None, None, False), ("d", "Mine already", "W3", "doi", False)}
     assert {tuple(r) for r in after.collect()} == {("W3", 5, False), ("W1", 3, False), ("W2", 3, False)}
+
+
+def test_titles_that_are_equal_need_no_candidates(spark):
+    """Equal trigrams go to the least id, within a year if years count; the others by candidates as before."""
+    titles = spark.createDataFrame([(i, f"Steel bolt of kind {i // 2}", 1990 + i) for i in range(40)], "id long, title string, year int")
+    queries = titles.select(F.col("id").alias("query"), F.upper("title").alias("text"), (F.col("year") - 1).alias("year"))
+    found = search.trigram_matches(queries, titles, 0.5)
+    assert {(r.query, r.id, r.similarity) for r in found.collect()} == {(i, i // 2 * 2, 1.0) for i in range(40)}
+    near = {r.query: (r.id, r.similarity) for r in search.trigram_matches(queries.where("query in (6, 7)"), titles, 0.95, years=True).collect()}
+    assert near == {6: (6, 1.0), 7: (6, 1.0)}  # a year before 1997 is 1996, that of number 6
+    other = spark.createDataFrame([(1, "steel bolts of kind 7"), (2, "??"), (3, None)], "query long, text string")
+    assert {(r.query, r.id) for r in search.trigram_matches(other, titles, 0.5).collect()} == {(1, 14)}
+
+
+def test_large_bibliographies_are_cut_into_files_that_are_read(spark, tmp_path):
+    """40,000 parts of one brand stand in several files, all below the reader's bound."""
+    part = spark.range(1, 40_001).select(F.col("id").alias("p_partkey"), F.concat(F.lit("part "), "id").alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("BOLT").alias("p_type"), F.lit(5).alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    for name in ("customer", "supplier", "orders", "lineitem", "nation"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    assert upkeep.bibtex_import(spark, str(tmp_path)).where("work_id is not null").count() == 40_000
