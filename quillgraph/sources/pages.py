@@ -1,7 +1,8 @@
 """Works as pages of JSON lines, most cited first, and a source that reads only the pages asked for.
 
 Pages lie in folders by type and year. Filters on those two columns are taken by the source, which
-then opens no page of another type or year; what it can't judge stays with Spark. A page is one task.
+then opens no page of another type or year; what it can't judge stays with Spark. A page is one task,
+and several are if there are very many, since a small page takes less time than a task's start.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 
 NAME = "work_pages"
 SCHEMA = "id string, title string, cited_by_count long, type string, year int, page int"
+#: Tasks that pages are read in at most; more pages than that share tasks.
+MOST_TASKS = 500
 #: Rows of a page, as the interface that such pages come from gives at most.
 PER_PAGE = 200
 
@@ -64,23 +67,22 @@ class _Reader(DataSourceReader):
                 n = int(year.base_name.partition("=")[2])
                 if all(_holds(f, n) for f in self.filters if f.attribute == ("year",)):
                     for page in system.get_file_info(fs.FileSelector(year.path)):
-                        found.append(InputPartition((values["type"], n, int(page.base_name.partition("=")[2]), page.path)))
-        return found or [InputPartition(None)]
+                        found.append((values["type"], n, int(page.base_name.partition("=")[2]), page.path))
+        each = max(1, -(-len(found) // MOST_TASKS))
+        return [InputPartition(found[i : i + each]) for i in range(0, len(found), each)] or [InputPartition([])]
 
     def read(self, partition):
         from pyarrow import fs
 
-        if partition.value is None:
-            return
-        kind, year, page, path = partition.value
-        system, _ = fs.FileSystem.from_uri(self.folder)
-        for file in system.get_file_info(fs.FileSelector(path)):
-            if file.extension == "txt":
-                with system.open_input_stream(file.path) as stream:
-                    for line in stream.read().decode().split("\n"):
-                        if line:
-                            row = json.loads(line)
-                            yield row["id"], row["title"], row["cited_by_count"], kind, year, page
+        for kind, year, page, path in partition.value:
+            system, _ = fs.FileSystem.from_uri(self.folder)
+            for file in system.get_file_info(fs.FileSelector(path)):
+                if file.extension == "txt":
+                    with system.open_input_stream(file.path) as stream:
+                        for line in stream.read().decode().split("\n"):
+                            if line:
+                                row = json.loads(line)
+                                yield row["id"], row["title"], row["cited_by_count"], kind, year, page
 
 
 class WorkPages(DataSource):

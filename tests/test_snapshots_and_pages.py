@@ -66,3 +66,11 @@ def test_pages_take_filters(spark, capsys):
         assert r.hi <= df.where((F.col("type") == r.type) & (F.col("year") == r.year) & (F.col("page") == 0)).agg(F.min("cited_by_count")).first()[0]
         break
     assert pages.read_pages(spark, "file://" + folder).where("year = 1800").count() == 0
+
+
+def test_very_many_pages_share_tasks(spark):
+    folder = "file://" + tempfile.mkdtemp(prefix="quill-pages-") + "/pages"
+    works = spark.range(600).select(F.concat(F.lit("W"), "id").alias("id"), F.lit("t").alias("title"), F.col("id").alias("cited_by_count"), F.lit("book").alias("type"), F.lit(1990).alias("year"))
+    pages.write_pages(works, folder, per_page=1)
+    df = pages.read_pages(spark, folder)
+    assert df.rdd.getNumPartitions() == 300 and df.select("id", "page").distinct().count() == 600
