@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import display
-from quillgraph.operators import lookup, rank, traverse
+from quillgraph.operators import graph, lookup, rank, traverse
+from quillgraph.sources import testdata
 
 EDGE = "src string, dst string, weight double, context string, relation string"
 
@@ -63,3 +64,21 @@ def test_lookups(spark):
     assert [r.id for r in lookup.shown(works, spark.createDataFrame([("1", 7)], "work_id string, profile_id int"), None).collect()] == ["2"]
     raw = spark.createDataFrame([('{"l": [1, 2]}',), ('{"l": 3}',), ("no json",), (None,)], "raw string")
     assert [r.n for r in raw.select(lookup.n_listed(F.col("raw"), "l").alias("n")).collect()] == [2, 0, 0, 0]
+
+
+def test_mutual_ways_take_parallel_edges_and_meet_once(spark):
+    rows = [("P1", "P2", 0.3, "a", "x"), ("P1", "P2", 0.9, "b", "x"), ("P2", "P1", 0.4, "a", "x"), ("P3", "P1", 0.5, "a", "x"), ("P4", "P4", 0.2, "a", "x"), ("P6", "P5", 0.7, "a", "x"), ("P5", "P6", 0.1, "b", "x")]
+    edges = spark.createDataFrame(rows, EDGE)
+    found = lookup.mutual_ways(edges)
+    strongest = edges.groupBy(F.col("src").alias("ego"), F.col("dst").alias("node")).agg(F.max("weight").alias("score"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, lookup.mutual(strongest).collect()))
+    assert ("P4", "P4", 0.2, 0.2) in set(map(tuple, found.collect()))
+    assert lookup.mutual_ways(edges)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_edges_around_nodes_are_those_of_the_whole_graph(spark):
+    c = testdata.read(spark, "/root/testdata/sf0.001").stored()
+    nodes = testdata.trust_set(c.works).select(F.col("work_id").alias("node"))
+    ids = {r.node for r in nodes.collect()}
+    want = {tuple(r) for r in graph.build(c).collect() if r.src in ids or r.dst in ids}
+    assert {tuple(r) for r in graph.around(c, nodes).collect()} == want
