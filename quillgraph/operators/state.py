@@ -74,15 +74,20 @@ def import_bibliography(entries: DataFrame, works: DataFrame, trust: DataFrame,
     """(matches, trust) after a bibliography's entries became trust of strength IMPORT_STRENGTH.
 
     ``entries`` is (ref, doi, title, url) with distinct refs, ``works`` (id, doi, title). An entry is matched by
-    its DOI, that of its url if it has none, else by the title at ``threshold`` or more, ties by id.
+    its DOI, that of its url if it has none, else by the title at ``threshold`` or more, ties by id. Trigrams are a
+    set, so different titles can have the same ones: of these, a work whose title is the entry's word for word goes first.
     Matches are (ref, label, work_id, method, added); works that are trusted already keep what they have.
     """
     own = entries.select("ref", "title", F.coalesce(tx.normal_doi(F.col("doi")), tx.normal_doi(F.col("url"))).alias("_doi"))
     known = works.where("doi is not null").select(tx.normal_doi(F.col("doi")).alias("_doi"), F.col("id").alias("work_id")).where("_doi is not null")
     by_doi = cut(own.join(known, "_doi").groupBy("ref").agg(F.min("work_id").alias("work_id")), "matches")
     left = own.join(by_doi.select("ref"), "ref", "left_anti").where("title is not null")
+    first = works.where(F.size(tx.trigrams(F.col("title"))) > 0).groupBy("title").agg(F.min("id").alias("work_id"))
+    equal = cut(left.join(first, "title").select("ref", "work_id"), "matches")
+    left = left.join(equal.select("ref"), "ref", "left_anti")
     by_title = search.trigram_matches(left.select(F.col("ref").alias("query"), F.col("title").alias("text")), works.where("title is not null").select("id", "title"), threshold)
-    found = by_doi.withColumn("method", F.lit("doi")).unionByName(by_title.select(F.col("query").alias("ref"), F.col("id").alias("work_id"), F.lit("title").alias("method")))
+    titled = equal.unionByName(by_title.select(F.col("query").alias("ref"), F.col("id").alias("work_id"))).withColumn("method", F.lit("title"))
+    found = by_doi.withColumn("method", F.lit("doi")).unionByName(titled)
     labelled = own.select("ref", F.coalesce("title", "ref").alias("label")).join(found, "ref", "left")
     have = trust.select("work_id", F.lit(True).alias("_have"))
     matches = cut(labelled.join(have, "work_id", "left").select("ref", "label", "work_id", "method", (F.col("work_id").isNotNull() & F.col("_have").isNull()).alias("added")), "matches")
