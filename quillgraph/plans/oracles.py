@@ -289,12 +289,13 @@ ps AS MATERIALIZED (SELECT view, replicate, node, weight FROM pr, (SELECT DISTIN
 {compose("pc", "pv", {"author": 1.0, "topic": 1.0, "venue": 1.0, "institution": 1.0}, ("replicate",))},"""
 
 
-def _levels(depth: int, cap: int, seeds: str) -> str:
+def _levels(depth: int, cap: int | None, seeds: str) -> str:
+    first = "" if cap is None else f" ORDER BY w DESC, 1 LIMIT {cap}"
     out = [f"l0 AS MATERIALIZED (SELECT DISTINCT node, 0 AS distance FROM {seeds})"]
     for k in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT node FROM l{i}" for i in range(k))
         out.append(
-            f"l{k} AS MATERIALIZED (SELECT node, {k} AS distance FROM (SELECT dst AS node, max(weight) AS w FROM re JOIN l{k - 1} ON src = node GROUP BY 1 ORDER BY w DESC, 1 LIMIT {cap}) WHERE node NOT IN ({seen}))"
+            f"l{k} AS MATERIALIZED (SELECT node, {k} AS distance FROM (SELECT dst AS node, max(weight) AS w FROM re JOIN l{k - 1} ON src = node GROUP BY 1{first}) WHERE node NOT IN ({seen}))"
         )
     return ",\n".join(out)
 
@@ -469,7 +470,7 @@ told AS (SELECT node, s * 1.0 AS score, s * round(se / score, 8) AS stderr, s *
 pos AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, node) AS INTEGER) AS rank FROM told),
 apart AS (SELECT *, CASE WHEN abs(score - lag(score) OVER o) > (stderr + lag(stderr) OVER o) / 2 THEN 1 ELSE 0 END AS new FROM pos WINDOW o AS (ORDER BY rank))
 SELECT node, score, stderr, ci_low, ci_high, true AS reliable, rank, CAST(sum(new) OVER (ORDER BY rank) AS BIGINT) AS tie_group FROM apart""",
-    "recommendations": f"""WITH {RANKING}, {MERIT}, re AS (SELECT * FROM edges), {_levels(4, 30000, "seeds")}, dist AS ({_all_levels(4)}),
+    "recommendations": f"""WITH {RANKING}, {MERIT}, re AS (SELECT * FROM edges), {_levels(4, None, "seeds")}, dist AS ({_all_levels(4)}),
 pool AS (SELECT r.node, r.score, coalesce(m.score, 0) AS merit, coalesce(least(distance, 4) / 4, 1.0) AS novelty FROM ranking r LEFT JOIN merit m ON m.node = r.node LEFT JOIN dist ON dist.node = r.node),
 pc AS (SELECT *, cume_dist() OVER (ORDER BY score) AS tp, cume_dist() OVER (ORDER BY merit) AS gp FROM pool),
 b AS (SELECT node, round((1 - 0.4) * tp + 0.4 * gp * novelty, 9) AS blend, tp, gp, novelty FROM pc)
