@@ -72,10 +72,14 @@ def decade(year: Column) -> Column:
     return F.when(year.isNotNull(), F.concat((F.floor(year / 10) * 10).cast("string"), F.lit("s")))
 
 
+def words(text: Column) -> Column:
+    """The words of letters and digits of a text, in lower case."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of the words of a text, each word with two spaces before and one after."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    padded = F.transform(words(text), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
 

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import porter
 from quillgraph.functions import text as tx
+from quillgraph.operators import nearest
 from quillgraph.plans.lineage import cut
 from quillgraph.schema import RRF_K, SEARCH_LIMIT
 
 # Words that are not indexed, and the weights of title and body.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
 CLASS_WEIGHTS = {"A": 1.0, "B": 0.4}
+#: Titles that share a query's rarest word and are looked at before all others; more of them are left to the blocks.
+KNOWN = 100
 
 
 def tokens(text: Column) -> Column:
@@ -74,35 +77,29 @@ def trigram_matches(queries: DataFrame, titles: DataFrame, threshold: float, yea
     """(query, id, similarity): each query's best title at ``threshold`` or more, ties by id.
 
     ``queries`` is (query, text[, year]), ``titles`` (id, title[, year]); with ``years`` both
-    must be within one year. Candidates share one of the query's rarest trigrams: a title at
-    similarity t shares ceil(t n) of a query's n trigrams, so one of the rarest
-    n - ceil(t n) + 1 is among them whatever the rest. Queries whose trigrams are exactly those of a
-    title need no candidates: nothing is more similar, so the least id of such titles is theirs.
+    must be within one year. Queries whose trigrams are exactly those of a
+    title need no candidates: nothing is more similar, so the least id of such titles is theirs. The others
+    know a title that shares their rarest word, if few titles do, and look for what is as similar at least.
     """
-    a = queries.withColumn("grams", tx.trigrams(F.col("text"))).withColumn("n", F.size("grams"))
-    b = titles.select("id", "title", *(["year"] if years else [])).withColumn("title_grams", tx.trigrams(F.col("title"))).withColumn("m", F.size("title_grams"))
-    near = ["_year"] if years else []
-    titled = b.where("m > 0").withColumn("_key", F.array_join(F.array_sort("title_grams"), "|"))
-    asked = a.where("n > 0").select("query", F.array_join(F.array_sort("grams"), "|").alias("_key"), *([F.explode(F.array(*[F.col("year") + i for i in (-1, 0, 1)])).alias("_year")] if years else []))
-    first = titled.groupBy("_key", *([F.col("year").alias("_year")] if years else [])).agg(F.min("id").alias("id"))
+    near = ["year"] if years else []
+    a = queries.select("query", "text", *near, tx.trigrams(F.col("text")).alias("grams")).where(F.size("grams") > 0)
+    b = cut(titles.select("id", "title", *near, tx.trigrams(F.col("title")).alias("grams")).where(F.size("grams") > 0), "titles")
+    key = F.array_join(F.array_sort("grams"), "|").alias("_key")
+    asked = a.select("query", key, *([F.explode(F.array(*[F.col("year") + i for i in (-1, 0, 1)])).alias("year")] if years else []))
+    first = b.select("id", key, *near).groupBy("_key", *near).agg(F.min("id").alias("id"))
     same = cut(asked.join(first, ["_key", *near]).groupBy("query").agg(F.min("id").alias("id")), "same")
-    a = a.join(same.select("query"), "query", "left_anti")
-    by_gram = b.select("id", F.explode("title_grams").alias("gram"))
-    common = by_gram.groupBy("gram").agg(F.count("*").alias("df"))
-    wanted = a.select("query", "n", F.explode("grams").alias("gram")).join(common, "gram")  # grams of no title match nothing
-    # how many may be missed counts those of no title too
-    met = F.count("*").over(Window.partitionBy("query"))
-    order = Window.partitionBy("query").orderBy("df", "gram")
-    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.col("met"))
-    rare = wanted.withColumn("met", met).withColumn("i", F.row_number().over(order)).where(F.col("i") <= prefix)
-    pairs = rare.join(by_gram, "gram").select("query", "id").distinct()
-    full = pairs.join(a.select("query", "grams", *([F.col("year").alias("query_year")] if years else [])), "query").join(b, "id")
+    a = cut(a.join(same.select("query"), "query", "left_anti"), "queries")
+    words = lambda text: F.explode(F.array_distinct(tx.words(F.col(text)))).alias("word")
+    of_titles = b.select("id", words("title"))
+    rare = of_titles.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") <= KNOWN)
+    rarest = a.select("query", words("text")).join(rare, "word").groupBy("query").agg(F.min(F.struct("df", "word")).word.alias("word"))
+    pairs = rarest.join(of_titles, "word").join(a.select("query", F.col("grams").alias("_grams"), *([F.col("year").alias("_year")] if years else [])), "query").join(b, "id")
     if years:
-        full = full.where(F.abs(F.col("query_year") - F.col("year")) <= 1)
-    scored = full.withColumn("similarity", tx.similarity(F.col("grams"), F.col("title_grams"))).where(F.col("similarity") >= threshold)
-    best = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    found = scored.withColumn("i", F.row_number().over(best)).where("i = 1").select("query", "id", F.round("similarity", 9).alias("similarity"))
-    return found.unionByName(same.withColumn("similarity", F.lit(1.0)))
+        pairs = pairs.where(F.abs(F.col("_year") - F.col("year")) <= 1)
+    known = pairs.groupBy("query").agg(F.max(tx.similarity(F.col("_grams"), F.col("grams"))).alias("least"))
+    a = cut(a.join(known, "query", "left").select("query", "grams", *near, F.coalesce("least", F.lit(0.0)).alias("least")), "queries")
+    found = nearest.best(a, b, threshold, years)
+    return found.select("query", "id", F.round("similarity", 9).alias("similarity")).unionByName(same.withColumn("similarity", F.lit(1.0)))
 
 
 def rrf(text: DataFrame, merit: DataFrame, k: int = RRF_K, limit: int = SEARCH_LIMIT) -> DataFrame:
